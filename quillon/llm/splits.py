@@ -115,16 +115,17 @@ def assign_splits(
     id_col: str = "pair_no",
     shares: dict[str, float] | None = None,
     exact_sizes: int = 256,
-    slices: int = 64,
+    slices: int | None = None,
 ) -> DataFrame:
     """(id, group_id, old_split, new_split) for every row: related rows share a split, shares hold per label as far as
     groups allow.
 
     A group's label is the one most of its rows have (ties: the smallest; null counts as a label). Rows without names
-    are groups of one. Equal groups are told apart by a hash of their id, so reruns agree. An empty table gives an empty
+    are groups of one. Equal groups are ordered by a hash of their id, so reruns agree whatever the partitioning. An empty table gives an empty
     result.
     """
     shares = shares or {"train": 0.8, "val": 0.1, "test": 0.1}
+    slices = slices or max(64, 4 * int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows, labels = related_groups(records, id_col)
     grouped = rows.join(labels, "node", "left").select(
         "id", "split", F.coalesce("label", F.lit("")).alias("label"), F.coalesce("root", "node", F.concat(F.lit("\u0001row "), "id")).alias("group_id")
@@ -135,8 +136,10 @@ def assign_splits(
         F.sum("n").alias("size"), F.min(F.struct((-F.col("n")).alias("k"), "label")).getField("label").alias("label")
     )
     groups = groups.select(
-        "group_id", "label", "size", _size_class(F.col("size"), exact_sizes).alias("bin"), F.pmod(F.xxhash64("group_id"), F.lit(slices)).alias("slice")
+        "group_id", "label", "size", _size_class(F.col("size"), exact_sizes).alias("bin"), F.xxhash64("group_id").alias("order")
     )
+    # ranges of the hash: ranks can be counted slice by slice, and their number does not change the order
+    groups = groups.withColumn("slice", F.floor((F.col("order") / 2.0**64 + 0.5) * slices))
     groups = stage(groups, "p4-groups")
     counts = stage(groups.groupBy("label", "bin", "slice").agg(F.count("*").alias("n"), F.sum("size").alias("rows")), "p4-counts")
     histogram = counts.groupBy("label", "bin").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
@@ -147,7 +150,7 @@ def assign_splits(
     before = counts.select(
         "label", "bin", "slice", (F.sum("n").over(W.partitionBy("label", "bin").orderBy("slice")) - F.col("n")).alias("before")
     ).join(bounds, ["label", "bin"])
-    rank = F.row_number().over(W.partitionBy("label", "bin", "slice").orderBy(F.xxhash64("group_id", F.lit(1)), "group_id"))
+    rank = F.row_number().over(W.partitionBy("label", "bin", "slice").orderBy("order", "group_id"))
     ranked = groups.withColumn("nth", rank).join(before, ["label", "bin", "slice"])
     at = F.col("nth") + F.col("before")
     pick = F.lit(names[-1])
