@@ -21,12 +21,14 @@ EPS = 1e-9
 BLOCK = 2048
 
 
-def blocks(vectors: DataFrame, n_rows: int, prefix: str) -> DataFrame:
-    """One row per block of about BLOCK vectors: (``prefix``_block, ``prefix``s: array<struct<id, vec>>)."""
+def blocks(vectors: DataFrame, n_rows: int, prefix: str, by: str | None = None) -> DataFrame:
+    """One row per block of about BLOCK vectors: (``prefix``_block, ``prefix``s: array<struct<id, vec>>), of one value
+    of ``by`` each if that is given."""
     n = max(1, -(-n_rows // BLOCK))
+    keys = [by] if by else []
     return (
-        vectors.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias(f"{prefix}_block"))
-        .agg(F.collect_list(F.struct("id", "vec", *[c for c in vectors.columns if c not in ("id", "vec")])).alias(f"{prefix}s"))
+        vectors.groupBy(*keys, F.pmod(F.xxhash64("id"), F.lit(n)).alias(f"{prefix}_block"))
+        .agg(F.collect_list(F.struct("id", "vec", *[c for c in vectors.columns if c not in ("id", "vec", by)])).alias(f"{prefix}s"))
     )
 
 

@@ -12,7 +12,7 @@ from quillon.operators import retrieval as R
 from quillon.plans import base as B
 from quillon.plans.registry import query
 from quillon.plans.retrieval_queries import _E
-from quillon.session import read_table
+from quillon.session import read_table, stage
 
 _S = f"WITH {B.SCORES_SQL}"
 
@@ -141,11 +141,15 @@ def twin_shape(spark, sf):
     return read_table(spark, sf, "item_scores").groupBy("pair_key").agg((F.bool_or(c == "swap") & F.bool_or(c == "random")).alias("complete"), F.countDistinct(c).alias("n_conditions"))
 
 
-@query(f"""WITH {B.POOL_SQL}, s AS (SELECT * FROM pool WHERE len(x) = 12 AND sample_id < 'truce_stock:st05'), p AS (SELECT a.sample_id AS id, b.sample_id AS other, round(list_max(list_transform(list_zip(a.x, b.x), lambda t: abs(t[1] - t[2]))), 6) AS gap FROM s a JOIN s b ON a.sample_id <> b.sample_id)
-SELECT id, min(gap) AS gap, arg_min(other, struct_pack(g := gap, o := other)) AS nearest FROM p GROUP BY id""", name="nearest_series")
+@query("""WITH pool AS (SELECT sample_id, min(pair_no) AS no, arg_min(series, pair_no) AS x FROM pairs WHERE sample_id IS NOT NULL AND len(series) > 0 GROUP BY sample_id),
+p AS (SELECT a.sample_id AS id, b.sample_id AS other, round(list_max(list_transform(list_zip(a.x, b.x), lambda t: abs(t[1] - t[2]))), 6) AS gap FROM pool a JOIN pool b ON a.sample_id <> b.sample_id AND len(a.x) = len(b.x) WHERE a.no % 50 = 0)
+SELECT id, min(gap) AS gap, arg_min(other, struct_pack(g := gap, o := other)) AS nearest, min(gap) < 1e-3 AS duplicate FROM p GROUP BY id""")
 def nearest_series(spark, sf):
-    """JON-10, JON-20: nearest other series of the same length by largest gap, in blocks; a named id range as the feature's query set."""
-    s = B.pool(spark, sf).where((F.size("x") == 12) & (F.col("sample_id") < "truce_stock:st05")).select(F.col("sample_id").alias("id"), F.col("x").alias("vec"))
+    """JON-10, JON-20: nearest other series of the same length by largest gap. The query set is every sample whose first
+    row's number is divisible by 50, searched against all samples, block by block within a length."""
+    rows = read_table(spark, sf, "pairs").where("sample_id is not null and size(series) > 0").groupBy("sample_id")
+    s = rows.agg(F.min("pair_no").alias("no"), F.min_by("series", "pair_no").alias("vec")).withColumnRenamed("sample_id", "id").withColumn("length", F.size("vec"))
+    s = stage(s, "pool")
     import numpy as np
     import pandas as pd
 
@@ -167,8 +171,9 @@ def nearest_series(spark, sf):
                 best = gap[np.arange(len(a)), at]
                 yield pd.DataFrame({"id": a, "gap": best, "nearest": [b[i] for i in at]})[np.isfinite(best)]
 
-    near = R.blocks(s, n, "query").crossJoin(R.blocks(s, n, "member")).select("querys", "members").mapInPandas(run, "id string, gap double, nearest string")
-    return near.groupBy("id").agg(F.min("gap").alias("gap"), F.min_by("nearest", F.struct("gap", "nearest")).alias("nearest"))
+    q = R.blocks(s.where("no % 50 = 0").select("id", "vec", "length"), n, "query", by="length")
+    near = q.join(R.blocks(s.select("id", "vec", "length"), n, "member", by="length"), "length").select("querys", "members").mapInPandas(run, "id string, gap double, nearest string")
+    return near.groupBy("id").agg(F.min("gap").alias("gap"), F.min_by("nearest", F.struct("gap", "nearest")).alias("nearest"), (F.min("gap") < 1e-3).alias("duplicate"))
 
 
 @query("""WITH c AS (SELECT component || ':' || value_a || '/' || value_b AS pair, value_a, value_b FROM component_pairs WHERE slot = 'fluct'), l AS (SELECT pair_no, trim(lower(split_part(class_label, ';', 1)), ' ') AS f FROM pairs WHERE class_label IS NOT NULL)

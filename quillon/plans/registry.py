@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Builder = Callable[[SparkSession, str], DataFrame]
 _ENTRIES: dict[str, tuple[Builder, str | None]] = {}
 #: Modules of this package that register queries.
-MODULES = ("retrieval_queries", "array_queries", "stats_queries", "text_queries", "item_queries", "audit_queries")
+MODULES = ("retrieval_queries", "array_queries", "stats_queries", "text_queries", "item_queries", "audit_queries", "source_queries")
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Builder], Builder]:
