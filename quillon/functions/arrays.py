@@ -32,7 +32,7 @@ def mean(x: Column) -> Column:
 def pop_sd(x: Column) -> Column:
     """Population standard deviation, two passes."""
     squares = bind(mean(x), lambda m: total(F.transform(x, lambda v: (v - m) * (v - m))))
-    return F.sqrt(squares / F.size(x))
+    return F.when(F.size(x) > 0, F.sqrt(squares / F.size(x)))
 
 
 def spread(x: Column) -> Column:
@@ -63,7 +63,7 @@ def hash_order(n: Column, row_id: Column, condition: str, seed: int) -> Column:
     tagged = F.transform(
         F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.md5(key_at(row_id, condition, seed, i)).alias("h"), i.alias("i"))
     )
-    return F.when(n > 0, F.transform(F.array_sort(tagged), lambda s: s["i"])).otherwise(F.array().cast("array<int>"))
+    return F.when(n > 0, F.transform(F.array_sort(tagged), lambda s: s["i"])).when(n == 0, F.array().cast("array<int>"))
 
 
 def take(x: Column, order: Column) -> Column:
@@ -107,7 +107,7 @@ def mask_with_mean(x: Column, row_id: Column, seed: int = 42, ratio: float = 0.2
 
 
     def filled(at: Column) -> Column:
-        left = total(F.filter(x, lambda v, i: ~F.array_contains(at, i))) / (F.size(x) - F.size(at))
+        left = F.try_divide(total(F.filter(x, lambda v, i: ~F.array_contains(at, i))), F.size(x) - F.size(at))
         return bind(left, lambda fill: fill_at(x, at, fill))
 
     return bind(masked_positions(x, row_id, seed, ratio), filled)
@@ -116,8 +116,8 @@ def mask_with_mean(x: Column, row_id: Column, seed: int = 42, ratio: float = 0.2
 def patches(x: Column, width: int) -> Column:
     """Blocks of ``width`` values; a shorter rest is the last block."""
     n = F.ceil(F.size(x) / width).cast("int")
-    return F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.slice(x, b * width + 1, F.lit(width)))).otherwise(
-        F.array().cast("array<array<double>>")
+    return F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.slice(x, b * width + 1, F.lit(width)))).when(
+        F.size(x) == 0, F.array().cast("array<array<double>>")
     )
 
 

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillon.functions.numbers import rounded
+from quillon.operators.inference import correlation
+
 
 def series_features(series: DataFrame, id_col: str, x_col: str) -> DataFrame:
     """Twelve features per series: means of thirds, leading least-squares coefficients of degree 1 to 3 on [0, 1],
@@ -26,18 +29,20 @@ def series_features(series: DataFrame, id_col: str, x_col: str) -> DataFrame:
     two_thirds = F.floor(2 * F.col("n") / 3)
     p2 = u2 - F.col("m2")
     p3 = u2 * F.col("u") - F.col("m4") / F.col("m2") * F.col("u")
+    both = F.when(F.col("nz").isNotNull(), F.col("z"))
+    lag1 = correlation(both, F.col("nz"))
     when_avg = lambda cond, v: F.avg(F.when(cond, v))
     return z.groupBy("id").agg(
-        F.round(when_avg(F.col("p") < third, F.col("z")), 6).alias("first_third"),
-        F.round(when_avg((F.col("p") >= third) & (F.col("p") < two_thirds), F.col("z")), 6).alias("second_third"),
-        F.round(when_avg(F.col("p") >= two_thirds, F.col("z")), 6).alias("last_third"),
-        F.round(2 * F.sum(F.col("z") * F.col("u")) / F.sum(u2), 5).alias("slope"),
-        F.round(4 * F.sum(F.col("z") * p2) / F.sum(p2 * p2), 5).alias("curvature"),
-        F.round(8 * F.sum(F.col("z") * p3) / F.sum(p3 * p3), 5).alias("cubic"),
-        F.round(F.avg(F.pow("z", F.lit(3.0))), 5).alias("skew"),
-        F.round(F.avg(F.pow("z", F.lit(4.0))), 5).alias("kurtosis"),
-        F.round(F.max(F.abs("dz")), 6).alias("biggest_jump"),
-        F.round(F.avg((F.abs("dz") > 1).cast("double")), 6).alias("jump_rate"),
-        F.round(when_avg(F.col("psg").isNotNull(), (F.col("sg") != F.col("psg")).cast("double")), 6).alias("reversal_rate"),
-        F.round(F.coalesce(F.nanvl(F.corr("z", "nz"), F.lit(0.0)), F.lit(0.0)), 5).alias("lag1"),
+        rounded(when_avg(F.col("p") < third, F.col("z")), 6).alias("first_third"),
+        rounded(when_avg((F.col("p") >= third) & (F.col("p") < two_thirds), F.col("z")), 6).alias("second_third"),
+        rounded(when_avg(F.col("p") >= two_thirds, F.col("z")), 6).alias("last_third"),
+        rounded(2 * F.sum(F.col("z") * F.col("u")) / F.sum(u2), 5).alias("slope"),
+        rounded(4 * F.sum(F.col("z") * p2) / F.sum(p2 * p2), 5).alias("curvature"),
+        rounded(8 * F.sum(F.col("z") * p3) / F.sum(p3 * p3), 5).alias("cubic"),
+        rounded(F.avg(F.pow("z", F.lit(3.0))), 5).alias("skew"),
+        rounded(F.avg(F.pow("z", F.lit(4.0))), 5).alias("kurtosis"),
+        rounded(F.max(F.abs("dz")), 6).alias("biggest_jump"),
+        rounded(F.avg((F.abs("dz") > 1).cast("double")), 6).alias("jump_rate"),
+        rounded(when_avg(F.col("psg").isNotNull(), (F.col("sg") != F.col("psg")).cast("double")), 6).alias("reversal_rate"),
+        rounded(F.coalesce(lag1, F.lit(0.0)), 5).alias("lag1"),
     ).withColumnRenamed("id", id_col)

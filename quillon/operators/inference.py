@@ -54,6 +54,11 @@ def interval(x: Column, level: float = 0.95) -> tuple[Column, Column]:
     return F.percentile(x, F.lit(tail)), F.percentile(x, F.lit(1 - tail))
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson's r as an aggregate; null without variance on both sides or with a single row."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def average_ranks(df: DataFrame, group: list[str], value: str, out: str = "rank") -> DataFrame:
     """Ranks of ``value`` within the group, ties sharing their mean rank."""
     w = W.partitionBy(*group)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillon.functions.arrays import dot
+from quillon.functions.numbers import rounded
 
 EPS = 1e-9
 BLOCK = 2048
@@ -117,8 +118,8 @@ def metrics(rank: str = "rank", cuts: tuple[int, ...] = (1, 5, 10)) -> list[Colu
     r = F.col(rank)
     return [
         F.count(r).alias("n"),
-        F.round(F.avg(1 / r), 6).alias("mrr"),
-        *[F.round(F.avg((r <= k).cast("double")), 6).alias(f"r_at_{k}") for k in cuts],
+        rounded(F.avg(1 / r), 6).alias("mrr"),
+        *[rounded(F.avg((r <= k).cast("double")), 6).alias(f"r_at_{k}") for k in cuts],
         F.median(r).cast("double").alias("median_rank"),
     ]
 

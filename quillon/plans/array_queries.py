@@ -7,11 +7,20 @@ from pyspark.sql import Window as W
 
 from quillon.functions import arrays as A
 from quillon.functions import hashing as H
+from quillon.functions.numbers import rounded
 from quillon.plans import base as B
 from quillon.plans.registry import query
 from quillon.session import read_table
 
-X, ID = F.col("x"), F.col("sample_id")
+
+def xs():
+    return F.col("x")
+
+
+def sid():
+    return F.col("sample_id")
+
+
 _P = f"WITH {B.POOL_SQL}"
 _ALL = B.ORDER_SQL.format(n="len(x)", c="sf_all")
 _HALF = B.ORDER_SQL.format(n="len(x) // 2", c="sf_half")
@@ -29,28 +38,28 @@ def _d(sql: str) -> str:
 @query(f"{_P}, {_MS} SELECT sample_id, len(x) AS n, round(m, 6) AS mean, round(s, 6) AS sd, round(list_max(z), 6) AS top, round(list_min(z), 6) AS bottom FROM (SELECT *, {_ZN} AS z FROM ms)")
 def znorm_series(spark, sf):
     """MTH-01: population z-norm, constant series to zeros."""
-    z = A.znorm(X)
+    z = A.znorm(xs())
     return B.pool(spark, sf).select(
-        "sample_id", F.size("x").cast("long").alias("n"), F.round(A.mean(X), 6).alias("mean"), F.round(A.pop_sd(X), 6).alias("sd"), z.alias("z")
-    ).select("sample_id", "n", "mean", "sd", F.round(F.array_max("z"), 6).alias("top"), F.round(F.array_min("z"), 6).alias("bottom"))
+        "sample_id", F.size("x").cast("long").alias("n"), rounded(A.mean(xs()), 6).alias("mean"), rounded(A.pop_sd(xs()), 6).alias("sd"), z.alias("z")
+    ).select("sample_id", "n", "mean", "sd", rounded(F.array_max("z"), 6).alias("top"), rounded(F.array_min("z"), 6).alias("bottom"))
 
 
 @query(f"{_P} SELECT sample_id, {_d(f'list_transform({_ALL}, lambda i: x[i + 1])')} AS digest FROM pool")
 def perm_all(spark, sf):
     """ARR-01."""
-    return B.pool(spark, sf).select("sample_id", A.digest(A.permute(X, ID)).alias("digest"))
+    return B.pool(spark, sf).select("sample_id", A.digest(A.permute(xs(), sid())).alias("digest"))
 
 
 @query(f"{_P} SELECT sample_id, {_d(f'list_concat(list_transform({_HALF}, lambda i: x[i + 1]), x[len(x) // 2 + 1 : len(x)])')} AS digest FROM pool")
 def perm_half(spark, sf):
     """ARR-02."""
-    return B.pool(spark, sf).select("sample_id", A.digest(A.permute_first_half(X, ID)).alias("digest"))
+    return B.pool(spark, sf).select("sample_id", A.digest(A.permute_first_half(xs(), sid())).alias("digest"))
 
 
 @query(f"{_P} SELECT sample_id, {_d('list_concat(x[len(x) // 2 + 1 : len(x)], x[1 : len(x) // 2])')} AS digest FROM pool")
 def half_swap(spark, sf):
     """ARR-03."""
-    return B.pool(spark, sf).select("sample_id", A.digest(A.swap_halves(X)).alias("digest"))
+    return B.pool(spark, sf).select("sample_id", A.digest(A.swap_halves(xs())).alias("digest"))
 
 
 @query(f"""{_P}, {_MS}, z AS (SELECT sample_id, {_ZN} AS z, {_MASKED} AS pos FROM ms)
@@ -58,11 +67,11 @@ SELECT sample_id, len(pos) AS k, list_sum(list_transform(z, lambda v, i: i * CAS
   len(list_filter(pos, lambda i: z[i + 1] = 0)) AS already_zero FROM z""")
 def mask_zero(spark, sf):
     """ARR-04: masked positions of the normalised series set to zero, and how many were zero already."""
-    both = F.struct(A.znorm(X).alias("z"), A.masked_positions(X, ID, 42).alias("at"))
+    both = F.struct(A.znorm(xs()).alias("z"), A.masked_positions(xs(), sid(), 42).alias("at"))
 
     def measured(p):
         filled = A.fill_at(p["z"], p["at"], F.lit(0.0))
-        terms = F.transform(filled, lambda v, i: (i + 1).cast("long") * F.round(F.round(v, 4) * 10000).cast("long"))
+        terms = F.transform(filled, lambda v, i: (i + 1).cast("long") * F.round(rounded(v, 4) * 10000).cast("long"))
         return F.struct(
             F.size(p["at"]).cast("long").alias("k"),
             F.aggregate(terms, F.lit(0).cast("long"), lambda a, v: a + v).alias("digest"),
@@ -77,15 +86,15 @@ l AS (SELECT *, list_filter(x, lambda v, i: NOT list_contains(pos, i - 1)) AS ke
 SELECT sample_id, round(list_sum(kept) / len(kept), 6) AS survivor_mean, len(x) AS n, len(pos) AS k FROM l""")
 def mask_survivor_mean(spark, sf):
     """ARR-05: mean-preserving masking; the mean of the filled series is that of the survivors."""
-    y = A.bind(A.mask_with_mean(X, ID), lambda y: A.mean(y))
+    y = A.bind(A.mask_with_mean(xs(), sid()), lambda y: A.mean(y))
     k = F.floor(F.size("x") * F.lit(0.2))
-    return B.pool(spark, sf).select("sample_id", F.round(y, 6).alias("survivor_mean"), F.size("x").cast("long").alias("n"), k.alias("k"))
+    return B.pool(spark, sf).select("sample_id", rounded(y, 6).alias("survivor_mean"), F.size("x").cast("long").alias("n"), k.alias("k"))
 
 
 @query(f"""{_P} SELECT sample_id, {_d("list_transform(list_sort(list_transform(x, lambda v, i: {'b': (i - 1) // 16, 'h': md5(sample_id || '|sf_within_patch|42|' || (i - 1)), 'v': v})), lambda s: s.v)")} AS digest FROM pool""")
 def patch_within(spark, sf):
     """ARR-06."""
-    return B.pool(spark, sf).select("sample_id", A.digest(A.permute_within_patches(X, ID)).alias("digest"))
+    return B.pool(spark, sf).select("sample_id", A.digest(A.permute_within_patches(xs(), sid())).alias("digest"))
 
 
 _ACROSS = B.ORDER_SQL.format(n="ceil(len(x) / 16)::INT", c="sf_across_patch")
@@ -94,7 +103,7 @@ _ACROSS = B.ORDER_SQL.format(n="ceil(len(x) / 16)::INT", c="sf_across_patch")
 @query(f"{_P} SELECT sample_id, {_d(f'flatten(list_transform({_ACROSS}, lambda i: x[i * 16 + 1 : i * 16 + 16]))')} AS digest FROM pool")
 def patch_across(spark, sf):
     """ARR-07."""
-    return B.pool(spark, sf).select("sample_id", A.digest(A.permute_patches(X, ID)).alias("digest"))
+    return B.pool(spark, sf).select("sample_id", A.digest(A.permute_patches(xs(), sid())).alias("digest"))
 
 
 _U = B.U_SQL.format("sample_id || '|resample|42|' || (i - 1)")
@@ -105,8 +114,8 @@ SELECT sample_id, {_d('list_transform(pos, lambda i: x[i + 1])')} AS digest, rou
 def resample_bag(spark, sf):
     """ARR-08: draws with replacement and the share of positions never drawn."""
     n = F.size("x")
-    at = F.transform("x", lambda v, i: F.floor(H.uniform(A.key_at(ID, "resample", 42, i)) * n).cast("int"))
-    drawn = A.bind(at, lambda a: F.struct(A.digest(A.take(X, a)).alias("digest"), F.round(1 - F.size(F.array_distinct(a)) / n, 6).alias("never_drawn")))
+    at = F.transform("x", lambda v, i: F.floor(H.uniform(A.key_at(sid(), "resample", 42, i)) * n).cast("int"))
+    drawn = A.bind(at, lambda a: F.struct(A.digest(A.take(xs(), a)).alias("digest"), rounded(1 - F.size(F.array_distinct(a)) / n, 6).alias("never_drawn")))
     return B.pool(spark, sf).select("sample_id", drawn.alias("d")).select("sample_id", "d.*")
 
 
@@ -118,8 +127,8 @@ _GU, _GV = B.U_SQL.format("sample_id || '|gaussian_u|42|' || (i - 1)"), B.U_SQL.
 SELECT sample_id, round(y[1], 6) AS first, round(list_max(y), 6) AS top, round(list_sum(y) / len(y), 6) AS mean FROM g""")
 def gaussian_match(spark, sf):
     """ARR-09: matched normal surrogate."""
-    y = B.pool(spark, sf).select("sample_id", A.gaussian(X, ID).alias("y"))
-    return y.select("sample_id", F.round(F.get("y", F.lit(0)), 6).alias("first"), F.round(F.array_max("y"), 6).alias("top"), F.round(A.mean(F.col("y")), 6).alias("mean"))
+    y = B.pool(spark, sf).select("sample_id", A.gaussian(xs(), sid()).alias("y"))
+    return y.select("sample_id", rounded(F.get("y", F.lit(0)), 6).alias("first"), rounded(F.array_max("y"), 6).alias("top"), rounded(A.mean(F.col("y")), 6).alias("mean"))
 
 
 # --- several channels: the event types of a user, right-aligned in a block of 16 hours
@@ -181,8 +190,8 @@ def channel_census(spark, sf):
         F.count_if(A.spread(F.col("v")) == 0).alias("n_dead"),
         F.sum("n").cast("long").alias("n_points"),
         F.sum(F.size(F.filter("v", lambda t: t == 0))).cast("long").alias("n_zero"),
-        F.round(F.sqrt(F.avg(F.col("m") * F.col("m"))), 4).alias("rms_mean"),
-        F.round(F.avg("s"), 4).alias("mean_sd"),
+        rounded(F.sqrt(F.avg(F.col("m") * F.col("m"))), 4).alias("rms_mean"),
+        rounded(F.avg("s"), 4).alias("mean_sd"),
     )
 
 
@@ -192,20 +201,20 @@ SELECT count(*) AS n, count(*) FILTER (list_sort(a) = list_sort(x)) AS same_valu
 def applied_checks(spark, sf):
     """ARR-13, SET-08, GAT-08: multisets equal, tails untouched, no-ops counted, constant series unchanged."""
     rest = lambda y: F.slice(y, F.floor(F.size("x") / 2).cast("int") + 1, F.size("x"))
-    p = B.pool(spark, sf).select("x", A.permute(X, ID).alias("a"), A.permute_first_half(X, ID).alias("h"))
+    p = B.pool(spark, sf).select("x", A.permute(xs(), sid()).alias("a"), A.permute_first_half(xs(), sid()).alias("h"))
     return p.agg(
         F.count("*").alias("n"),
-        F.count_if(A.same_values(F.col("a"), X)).alias("same_values"),
-        F.count_if(rest(F.col("h")) == rest(X)).alias("tail_kept"),
-        F.count_if(F.col("a") == X).alias("no_op"),
-        F.count_if((A.spread(X) == 0) & (F.col("a") == X)).alias("constant_unchanged"),
+        F.count_if(A.same_values(F.col("a"), xs())).alias("same_values"),
+        F.count_if(rest(F.col("h")) == rest(xs())).alias("tail_kept"),
+        F.count_if(F.col("a") == xs()).alias("no_op"),
+        F.count_if((A.spread(xs()) == 0) & (F.col("a") == xs())).alias("constant_unchanged"),
     )
 
 
 @query(f"{_P}, {_MS} SELECT sample_id, array_to_string(list_transform({_ZN}, lambda v: greatest(-99, least(99, round_even(round(v * 10, 9), 0)))::INT), ',') AS text FROM ms")
 def series_serialize(spark, sf):
     """STR-19, MTH-03: quantised text of the normalised series (values first rounded to 9 digits)."""
-    z = B.pool(spark, sf).select("sample_id", A.znorm(X).alias("z"))
+    z = B.pool(spark, sf).select("sample_id", A.znorm(xs()).alias("z"))
     q = F.transform("z", lambda v: F.greatest(F.lit(-99.0), F.least(F.lit(99.0), F.rint(F.round(v * 10, 9)))).cast("int"))
     return z.select("sample_id", F.array_join(F.transform(q, lambda v: v.cast("string")), ",").alias("text"))
 
@@ -214,7 +223,7 @@ def series_serialize(spark, sf):
 SELECT n, count(*) AS n_series, sum(len(list_filter(z, lambda v: abs(v) > 2)))::BIGINT AS n_clipped, sum(len(list_filter(z, lambda v: round_even(round(v * 10, 9), 0) = 0)))::BIGINT AS n_zero FROM q GROUP BY n""")
 def clip_audit(spark, sf):
     """ARR-21, ARR-14: how many values hit the clip bound or quantise to zero."""
-    q = B.pool(spark, sf).select(F.size("x").cast("long").alias("n"), A.znorm(X).alias("z"))
+    q = B.pool(spark, sf).select(F.size("x").cast("long").alias("n"), A.znorm(xs()).alias("z"))
     return q.groupBy("n").agg(
         F.count("*").alias("n_series"),
         F.sum(F.size(F.filter("z", lambda v: F.abs(v) > 2))).cast("long").alias("n_clipped"),
@@ -231,8 +240,8 @@ def series_resize(spark, sf):
     """MTH-15: linear interpolation to 9 points and decimation to 5."""
     return B.pool(spark, sf).select(
         "sample_id",
-        F.round(A.total(F.transform(A.resize(X, 9), lambda v, i: (i + 1) * v)), 4).alias("resized"),
-        F.round(A.total(F.transform(A.decimate(X, 5), lambda v, i: (i + 1) * v)), 4).alias("decimated"),
+        rounded(A.total(F.transform(A.resize(xs(), 9), lambda v, i: (i + 1) * v)), 4).alias("resized"),
+        rounded(A.total(F.transform(A.decimate(xs(), 5), lambda v, i: (i + 1) * v)), 4).alias("decimated"),
     )
 
 
@@ -247,8 +256,8 @@ def pad_mask(spark, sf):
     return t.select(
         "sample_id",
         F.col("width").cast("long").alias("width"),
-        F.size(F.filter(A.pad_mask(X, F.col("width")), lambda b: ~b)).cast("long").alias("padding"),
-        A.digest(A.pad(X, F.col("width"))).alias("digest"),
+        F.size(F.filter(A.pad_mask(xs(), F.col("width")), lambda b: ~b)).cast("long").alias("padding"),
+        A.digest(A.pad(xs(), F.col("width"))).alias("digest"),
     )
 
 
@@ -258,9 +267,9 @@ def series_geometry(spark, sf):
     """ARR-14, GAT-10: constant series, distinct values and largest spread by length."""
     return B.pool(spark, sf).groupBy(F.size("x").cast("long").alias("n")).agg(
         F.count("*").alias("n_series"),
-        F.count_if(A.spread(X) == 0).alias("n_constant"),
-        F.round(F.avg(F.size(F.array_distinct("x"))), 6).alias("mean_distinct"),
-        F.round(F.max(A.spread(X)), 6).alias("widest"),
+        F.count_if(A.spread(xs()) == 0).alias("n_constant"),
+        rounded(F.avg(F.size(F.array_distinct("x"))), 6).alias("mean_distinct"),
+        rounded(F.max(A.spread(xs())), 6).alias("widest"),
     )
 
 
@@ -270,12 +279,12 @@ SELECT sample_id, round(0 - m, 6) AS offset_value, round(CASE WHEN far >= 3 THEN
   'mean=' || round(m, 4)::VARCHAR IS NOT NULL AS has_text, n FROM p""")
 def prefix_numbers(spark, sf):
     """STR-21: offset and scale of a series' numeric prefix."""
-    far = A.bind(A.mean(X), lambda m: F.array_max(F.transform("x", lambda v: F.abs(v - m))))
+    far = A.bind(A.mean(xs()), lambda m: F.array_max(F.transform("x", lambda v: F.abs(v - m))))
     return B.pool(spark, sf).select(
         "sample_id",
-        F.round(F.lit(0.0) - A.mean(X), 6).alias("offset_value"),
-        F.round(F.when(far >= 3, far / 3).otherwise(1.0), 6).alias("scale_value"),
-        A.mean(X).isNotNull().alias("has_text"),
+        rounded(F.lit(0.0) - A.mean(xs()), 6).alias("offset_value"),
+        rounded(F.when(far >= 3, far / 3).otherwise(1.0), 6).alias("scale_value"),
+        A.mean(xs()).isNotNull().alias("has_text"),
         F.size("x").cast("long").alias("n"),
     )
 
@@ -291,7 +300,7 @@ def five_number_text(spark, sf):
     return B.pool(spark, sf).select(
         "sample_id",
         F.concat(
-            F.lit("["), part("mean", A.mean(X)), part("std", A.pop_sd(X)), part("min", F.array_min("x")), part("max", F.array_max("x")), F.lit("length="), F.size("x").cast("string"), F.lit("]")
+            F.lit("["), part("mean", A.mean(xs())), part("std", A.pop_sd(xs())), part("min", F.array_min("x")), part("max", F.array_max("x")), F.lit("length="), F.size("x").cast("string"), F.lit("]")
         ).alias("summary"),
     )
 
@@ -313,7 +322,7 @@ SELECT condition, count(*) AS n, sum({_d("CASE condition WHEN 'ex_half' THEN lis
 def condition_dispatch(spark, sf):
     """ARR-20, PRJ-11: condition list exploded to jobs, one transformed series each; order-free digest per condition."""
     jobs = B.pool(spark, sf).withColumn("condition", F.explode(F.array(*map(F.lit, ("ex_half", "reverse", "unperturbed")))))
-    y = F.when(F.col("condition") == "ex_half", A.swap_halves(X)).when(F.col("condition") == "reverse", F.reverse("x")).otherwise(X)
+    y = F.when(F.col("condition") == "ex_half", A.swap_halves(xs())).when(F.col("condition") == "reverse", F.reverse("x")).otherwise(xs())
     return jobs.withColumn("d", A.digest(y) % 1000003).groupBy("condition").agg(F.count("*").alias("n"), F.sum("d").alias("digest"))
 
 
@@ -338,7 +347,7 @@ def moving_average(spark, sf):
     w = W.partitionBy("sample_id").orderBy("p").rowsBetween(-(_W // 2), _W // 2)
     ma = long.withColumn("ma", F.sum("v").over(w) / _W)
     return ma.groupBy("sample_id").agg(
-        F.round(F.max("ma"), 6).alias("top"), F.round(F.min("ma"), 6).alias("bottom"), F.round(F.avg(F.abs(F.col("v") - F.col("ma"))), 6).alias("rough")
+        rounded(F.max("ma"), 6).alias("top"), rounded(F.min("ma"), 6).alias("bottom"), rounded(F.avg(F.abs(F.col("v") - F.col("ma"))), 6).alias("rough")
     )
 
 

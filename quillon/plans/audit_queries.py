@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillon.functions import arrays as A
+from quillon.functions.numbers import rounded
 from quillon.operators import gates as G
 from quillon.operators import items as I
 from quillon.operators import retrieval as R
@@ -57,7 +58,7 @@ def margin_outcome(spark, sf):
     """PRJ-08, FLT-07: strict forced choice (a tie is wrong) and the readout that takes ties."""
     s = read_table(spark, sf, "item_scores").where("not isnan(sim_correct) and not isnan(sim_distractor) and sim_correct is not null and sim_distractor is not null")
     c, d = F.col("sim_correct"), F.col("sim_distractor")
-    return s.select("seed", "item_id", (c > d).alias("right_choice"), (c >= d).alias("readout"), F.round(c - d, 6).alias("margin")).distinct()
+    return s.select("seed", "item_id", (c > d).alias("right_choice"), (c >= d).alias("readout"), rounded(c - d, 6).alias("margin")).distinct()
 
 
 @query("SELECT pair_no, caption_id, CAST(k AS BIGINT) AS k, trim(piece, ' ') AS piece, dataset || '#' || k AS new_id FROM (SELECT pair_no, caption_id, dataset, unnest(string_split(caption, '. ')) AS piece, generate_subscripts(string_split(caption, '. '), 1) - 1 AS k FROM pairs WHERE caption IS NOT NULL)")
@@ -94,7 +95,7 @@ def items_with_series(spark, sf):
     i = read_table(spark, sf, "probe1_items").select("item_id", "sample_id")
     p = read_table(spark, sf, "pairs").where("sample_id is not null and size(series) > 0").join(i, "sample_id", "left_semi")
     pool = p.groupBy("sample_id").agg(F.min_by("series", "pair_no").alias("x"))
-    return i.join(pool, "sample_id").select("item_id", F.size("x").cast("long").alias("n"), F.round(F.get("x", F.lit(0)), 6).alias("first"))
+    return i.join(pool, "sample_id").select("item_id", F.size("x").cast("long").alias("n"), rounded(F.get("x", F.lit(0)), 6).alias("first"))
 
 
 @query("""WITH i AS (SELECT item_id, md5(caption_correct) AS c, md5(caption_distractor) AS d, sample_id FROM probe1_items), t AS (SELECT md5(t) AS h, any_value(length(t)) AS n FROM (SELECT caption_correct AS t FROM probe1_items UNION SELECT caption_distractor FROM probe1_items) WHERE t IS NOT NULL GROUP BY 1)
@@ -114,7 +115,7 @@ def lossless_join_audit(spark, sf):
     run = lambda seeds, name: B.scores(spark, sf).where(F.col("seed").isin(*seeds)).groupBy("item_id").agg(F.avg("margin").alias(name))
     j = run(["42", "43"], "a").join(run(["43", "44"], "b"), "item_id", "full_outer")
     gap = F.abs(F.col("a") - F.col("b"))
-    return j.agg(F.count_if(F.expr("a is null")).alias("only_right"), F.count_if(F.expr("b is null")).alias("only_left"), F.count("*").alias("n"), F.round(F.max(gap), 6).alias("widest"), F.count_if(gap <= 1e-9).alias("n_equal"))
+    return j.agg(F.count_if(F.expr("a is null")).alias("only_right"), F.count_if(F.expr("b is null")).alias("only_left"), F.count("*").alias("n"), rounded(F.max(gap), 6).alias("widest"), F.count_if(gap <= 1e-9).alias("n_equal"))
 
 
 @query("""WITH s AS (SELECT DISTINCT item_id FROM item_scores), i AS (SELECT item_id, component FROM probe1_items) SELECT component, count(*) AS n_items, count(s.item_id) AS n_scored, count(*) - count(s.item_id) AS n_orphans FROM i LEFT JOIN s USING (item_id) GROUP BY component""")
@@ -234,7 +235,7 @@ SELECT component, src, round(max(m) - min(m), 6) AS spread, count(*) AS n FROM c
 def slice_spread(spark, sf):
     """AGG-23, AGG-11: two-level aggregate over a cube, spread of seeds."""
     c = B.scores(spark, sf).groupBy("component", F.split_part("sample_id", F.lit(":"), F.lit(1)).alias("src"), "seed").agg(F.avg("margin").alias("m"))
-    return c.cube("component", "src").agg(F.round(F.max("m") - F.min("m"), 6).alias("spread"), F.count("*").alias("n"))
+    return c.cube("component", "src").agg(rounded(F.max("m") - F.min("m"), 6).alias("spread"), F.count("*").alias("n"))
 
 
 @query("SELECT split_part(item_id, '|', 1) AS prefix, sum(length(caption_correct))::BIGINT AS total FROM probe1_items GROUP BY 1 ORDER BY total DESC, prefix LIMIT 12")
@@ -248,7 +249,7 @@ def overlapping_cells(spark, sf):
     """FLT-10, FLT-02: rows counted in every cell they belong to."""
     o = B.scores(spark, sf).groupBy("seed", "component").agg(F.avg(F.col("correct").cast("int")).alias("acc"))
     cells = F.array_compact(F.array(F.lit("overall"), F.when(F.startswith("component", F.lit("C4")), "texture"), F.when(F.col("acc") > 0.5, "above half")))
-    return o.select(F.explode(cells).alias("cell"), "acc").groupBy("cell").agg(F.count("*").alias("n"), F.round(F.avg("acc"), 6).alias("acc"))
+    return o.select(F.explode(cells).alias("cell"), "acc").groupBy("cell").agg(F.count("*").alias("n"), rounded(F.avg("acc"), 6).alias("acc"))
 
 
 _SETS = "a AS (SELECT DISTINCT sample_id FROM probe1_items), b AS (SELECT DISTINCT sample_id FROM manual_validation_sample)"
@@ -323,8 +324,8 @@ def degradation_profile(spark, sf):
     m0 = F.avg(1 / F.col("r0"))
     mrr = F.avg(1 / F.col("rank"))
     return r.groupBy("condition").agg(
-        F.count("*").alias("n"), F.round(mrr, 6).alias("mrr"), F.round(1 - mrr / m0, 6).alias("degradation"), F.round(F.avg(F.col("r0") / F.col("rank")), 6).alias("retention"),
-        F.round(F.avg(F.ln(F.col("rank") / F.col("r0"))), 6).alias("log_ratio"), F.round(m0 - mrr, 6).alias("delta"),
+        F.count("*").alias("n"), rounded(mrr, 6).alias("mrr"), rounded(1 - mrr / m0, 6).alias("degradation"), rounded(F.avg(F.col("r0") / F.col("rank")), 6).alias("retention"),
+        rounded(F.avg(F.ln(F.col("rank") / F.col("r0"))), 6).alias("log_ratio"), rounded(m0 - mrr, 6).alias("delta"),
     )
 
 
@@ -337,7 +338,7 @@ def in_batch_softmax(spark, sf):
     s = v.join(v.select("batch", F.col("vec").alias("other")), "batch").select("id", "label", A.dot(F.col("vec"), F.col("other")).alias("s"))
     top = F.max("s").over(W.partitionBy("id"))
     z = s.withColumn("top", top).groupBy("id", "label").agg((F.ln(F.sum(F.exp(F.col("s") - F.col("top")))) + F.max("top")).alias("lse"))
-    return z.groupBy("label").agg(F.round(F.avg("lse"), 6).alias("logsumexp"))
+    return z.groupBy("label").agg(rounded(F.avg("lse"), 6).alias("logsumexp"))
 
 
 @query("SELECT component, count(*) AS n, sum(greatest(1, length(caption_correct) // 4))::BIGINT AS tokens, round(sum(greatest(1, length(caption_correct) // 4)) * 0.13 / 1000000, 9) AS cost, sum(greatest(1, length(caption_correct) // 4)) BETWEEN 1 AND 1000000 AS in_budget FROM probe1_items GROUP BY component")

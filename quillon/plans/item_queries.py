@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillon.functions import text as T
+from quillon.functions.numbers import rounded
 from quillon.operators import items as I
 from quillon.operators import sampling as S
 from quillon.plans import base as B
@@ -141,7 +142,7 @@ def interleave_prefix(spark, sf):
     """WIN-16, WIN-17, SMP-04, SRT-04: reading order of a judgment sheet whose every prefix is stratified."""
     r = S.interleave(read_table(spark, sf, "probe1_items").select("item_id", "component"), ["component"], "item_id")
     o = r.withColumn("i", F.row_number().over(W.orderBy("position", "component", "item_id")).cast("long"))  # a sheet for people
-    return o.select("item_id", F.round("position", 6).alias("position"), F.col("i").alias("reading_order"), (F.floor((F.col("i") - 1) / 100) + 1).alias("batch"))
+    return o.select("item_id", rounded("position", 6).alias("position"), F.col("i").alias("reading_order"), (F.floor((F.col("i") - 1) / 100) + 1).alias("batch"))
 
 
 _BAD = "md5('bad|' || item_id) < '2'"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillon.functions import arrays as A
+from quillon.functions.numbers import rounded
 from quillon.operators import retrieval as R
 from quillon.plans import base as B
 from quillon.plans.registry import query
@@ -64,7 +65,7 @@ def retrieval_grouping_sets(spark, sf):
 @query(f"WITH {_COUNTS} SELECT label, round(avg((n_greater = 0)::INT), 6) AS p_at_1 FROM cnt GROUP BY label")
 def p_at_1_ties(spark, sf):
     """WIN-06: ties for the top count as correct."""
-    return counts(spark, sf).groupBy("label").agg(F.round(F.avg((F.col("n_greater") == 0).cast("double")), 6).alias("p_at_1"))
+    return counts(spark, sf).groupBy("label").agg(rounded(F.avg((F.col("n_greater") == 0).cast("double")), 6).alias("p_at_1"))
 
 
 @query(f"""WITH {_COUNTS}, back AS (SELECT member_id AS query_id,
@@ -100,7 +101,7 @@ _TOP = f"""{_SIM}, top AS (SELECT query_id, label, member_id, member_label, roun
 def topk_neighbours(spark, sf):
     """SRT-02: the five best members other than the query itself."""
     top = R.top_members(B.half_swapped(spark, sf), B.vectors(spark, sf), 5)
-    return top.select("query_id", "member_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    return top.select("query_id", "member_id", F.col("rank").cast("long").alias("rank"), rounded("score", 6).alias("score"))
 
 
 @query(f"""WITH {_TOP}, rel AS (SELECT query_id, rank, (label = member_label)::INT AS r FROM top WHERE rank <= 10),
@@ -115,7 +116,7 @@ def map_at_10_label(spark, sf):
     member = vec.select(F.col("id").alias("member_id"), F.col("label").alias("member_label"))
     ranked = top.join(label, "query_id").join(member, "member_id").withColumn("rel", (F.col("label") == F.col("member_label")).cast("int"))
     relevant = label.join(label.groupBy("label").agg(F.count("*").alias("n_relevant")), "label").select("query_id", "n_relevant")
-    return R.average_precision(ranked, relevant).select("query_id", F.round("ap", 6).alias("ap"))
+    return R.average_precision(ranked, relevant).select("query_id", rounded("ap", 6).alias("ap"))
 
 
 @query(f"""WITH {_TOP.replace('FROM sim)', 'FROM sim WHERE query_id <> member_id)')}
@@ -128,8 +129,8 @@ def rank_margin_neighbours(spark, sf):
     return top.select(
         "query_id",
         F.col("rank").cast("long").alias("rank"),
-        F.round(F.lag("score").over(w) - F.col("score"), 6).alias("above"),
-        F.round(F.col("score") - F.lead("score").over(w), 6).alias("below"),
+        rounded(F.lag("score").over(w) - F.col("score"), 6).alias("above"),
+        rounded(F.col("score") - F.lead("score").over(w), 6).alias("below"),
     )
 
 
@@ -152,7 +153,7 @@ def chance_ceiling(spark, sf):
     both = ranked.join(lab.select("label", h.alias("h")), "label")
     return both.agg(
         F.round(F.avg("h"), 9).alias("ceiling"),
-        F.round((F.avg(1 / R.average_rank()) - 0.01) / (F.avg("h") - 0.01), 6).alias("position"),
+        rounded((F.avg(1 / R.average_rank()) - 0.01) / (F.avg("h") - 0.01), 6).alias("position"),
     )
 
 
@@ -166,7 +167,7 @@ def judge_similarity(spark, sf):
     n = vec.count()
     near = R.top_members(vec, vec, n).join(labels, "member_id")
     best = near.groupBy("query_id", "signal").agg(F.max("score").alias("best"))
-    return best.groupBy("query_id").agg(F.count_if(F.col("best") > 0.3).alias("n_relevant"), F.round(F.max("best"), 6).alias("best"))
+    return best.groupBy("query_id").agg(F.count_if(F.col("best") > 0.3).alias("n_relevant"), rounded(F.max("best"), 6).alias("best"))
 
 
 @query(f"""WITH {_E} SELECT label, round(avg(sqrt(list_dot_product(e, e))), 6) AS mean_norm,
@@ -174,7 +175,7 @@ def judge_similarity(spark, sf):
 def unit_norm_gate(spark, sf):
     """ARR-18, GAT-15: L2 norms of the vectors."""
     n = A.norm(F.col("vec"))
-    return B.vectors(spark, sf).groupBy("label").agg(F.round(F.avg(n), 6).alias("mean_norm"), F.count_if(F.abs(n - 1) > 1e-3).alias("n_off"))
+    return B.vectors(spark, sf).groupBy("label").agg(rounded(F.avg(n), 6).alias("mean_norm"), F.count_if(F.abs(n - 1) > 1e-3).alias("n_off"))
 
 
 @query(f"""WITH {_E} SELECT label, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS length, round(v[1], 6) AS first FROM (
@@ -183,4 +184,4 @@ def mean_pooled_vectors(spark, sf):
     """MTH-14: mean-pooled vector per label: its length and first value before normalising."""
     at = B.vectors(spark, sf).select("label", F.posexplode("vec").alias("j", "v"))
     means = at.groupBy("label", "j").agg(F.avg("v").alias("v"))
-    return means.groupBy("label").agg(F.round(F.sqrt(F.sum(F.col("v") * F.col("v"))), 6).alias("length"), F.round(F.max(F.when(F.col("j") == 0, F.col("v"))), 6).alias("first"))
+    return means.groupBy("label").agg(rounded(F.sqrt(F.sum(F.col("v") * F.col("v"))), 6).alias("length"), rounded(F.max(F.when(F.col("j") == 0, F.col("v"))), 6).alias("first"))

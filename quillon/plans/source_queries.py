@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillon.functions.numbers import rounded
 from quillon.operators import ml
 from quillon.operators.features import series_features
 from quillon.plans import base as B
@@ -111,7 +112,7 @@ def encoder_cache_miss(spark, sf):
     runs = [S.encode_missing(t, spark, cache, S.hash_encoder()) for t in (texts.where(F.md5("text") < "8"), texts, texts)]
     back = spark.read.parquet(cache)
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v.cast("double") * v))
-    return back.agg(*[F.lit(n).cast("long").alias(k) for n, k in zip(runs, ("first_run", "second_run", "third_run"))], F.count("*").alias("cached"), F.round(F.avg(norm), 4).alias("norm"))
+    return back.agg(*[F.lit(n).cast("long").alias(k) for n, k in zip(runs, ("first_run", "second_run", "third_run"))], F.count("*").alias("cached"), rounded(F.avg(norm), 4).alias("norm"))
 
 
 @query("SELECT probe_condition, count(*) AS n, count(DISTINCT item_id) AS n_items FROM probe1_items GROUP BY probe_condition")
@@ -143,7 +144,7 @@ def json_shapes(spark, sf):
 def encode_series_batches(spark, sf):
     """MLO-04, ARR-16: batched encoder over series of equal length (a random projection stands in for a model)."""
     pool = B.pool(spark, sf).select(F.col("sample_id").alias("id"), "x")
-    return ml.encode_series(pool).select("id", F.size("vec").alias("width"), F.round(F.get("vec", F.lit(0)), 4).alias("first"))
+    return ml.encode_series(pool).select("id", F.size("vec").alias("width"), rounded(F.get("vec", F.lit(0)), 4).alias("first"))
 
 
 @query()
@@ -153,7 +154,7 @@ def logreg_cv(spark, sf):
     features = series_features(pool, "sample_id", "x").withColumn("label", F.when(F.startswith("sample_id", F.lit("truce_synth")), "synth").when(F.startswith("sample_id", F.lit("truce_stock")), "stock"))
     columns = [c for c in features.columns if c not in ("sample_id", "label")]
     predicted = ml.cross_validate(features.where("label is not null"), "label", columns, "sample_id")
-    return predicted.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(F.col("right").cast("double")), 4).alias("accuracy"))
+    return predicted.groupBy("label").agg(F.count("*").alias("n"), rounded(F.avg(F.col("right").cast("double")), 4).alias("accuracy"))
 
 
 _TS = "date_trunc('hour', ts)"

@@ -5,30 +5,41 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillon.functions.numbers import rounded
 from quillon.operators import inference as I
 from quillon.plans import base as B
 from quillon.plans.registry import query
 from quillon.session import read_table
 
 _S = f"WITH {B.SCORES_SQL}"
-ACC = F.col("correct").cast("double")
-SWAP, RANDOM = F.col("probe_condition") == "swap", F.col("probe_condition") == "random"
+
+
+def outcome():
+    return F.col("correct").cast("double")
+
+
+def is_swap():
+    return F.col("probe_condition") == "swap"
+
+
+def is_random():
+    return F.col("probe_condition") == "random"
 
 
 def r6(c, name):
-    return F.round(c, 6).alias(name)
+    return rounded(c, 6).alias(name)
 
 
 def r8(c, name):
     """Eight digits, where six would cut interpolated values at exact halves."""
-    return F.round(c, 8).alias(name)
+    return rounded(c, 8).alias(name)
 
 
 @query(f"""{_S} SELECT seed, component, round(avg(correct::INT) FILTER (probe_condition = 'swap'), 6) AS swap_acc, round(avg(correct::INT) FILTER (probe_condition = 'random'), 6) AS random_acc,
   round(avg(margin), 6) AS mean_margin, round(avg(correct::INT) FILTER (probe_condition = 'random') - avg(correct::INT) FILTER (probe_condition = 'swap'), 6) AS gap FROM scores GROUP BY seed, component""")
 def accuracy_gap(spark, sf):
     """AGG-02: accuracy and margin by seed and component, gap random minus swap."""
-    swap, random = F.avg(F.when(SWAP, ACC)), F.avg(F.when(RANDOM, ACC))
+    swap, random = F.avg(F.when(is_swap(), outcome())), F.avg(F.when(is_random(), outcome()))
     return B.scores(spark, sf).groupBy("seed", "component").agg(r6(swap, "swap_acc"), r6(random, "random_acc"), r6(F.avg("margin"), "mean_margin"), r6(random - swap, "gap"))
 
 
@@ -38,7 +49,7 @@ def per_signal_counts(spark, sf):
     """AGG-03."""
     right = F.col("correct")
     return B.scores(spark, sf).groupBy("sample_id").agg(
-        F.count_if(SWAP & right).alias("swap_right"), F.count_if(SWAP & ~right).alias("swap_wrong"), F.count_if(RANDOM & right).alias("random_right"), F.count_if(RANDOM & ~right).alias("random_wrong")
+        F.count_if(is_swap() & right).alias("swap_right"), F.count_if(is_swap() & ~right).alias("swap_wrong"), F.count_if(is_random() & right).alias("random_right"), F.count_if(is_random() & ~right).alias("random_wrong")
     )
 
 
@@ -50,10 +61,10 @@ _SEEDS = f"{_S}, a AS (SELECT seed, component, avg(correct::INT) AS acc FROM sco
   bool_and(acc > 0.5) AS all_above, bool_or(acc > 0.5) AS any_above FROM a GROUP BY component""")
 def seed_summary(spark, sf):
     """AGG-06, AGG-07, AGG-14, STA-19: mean of per-seed means, t interval, noise floor, replication over seeds."""
-    a = B.scores(spark, sf).groupBy("seed", "component").agg(F.avg(ACC).alias("acc"))
+    a = B.scores(spark, sf).groupBy("seed", "component").agg(F.avg(outcome()).alias("acc"))
     sd, n = F.stddev_samp("acc"), F.count("*")
     return a.groupBy("component").agg(
-        r6(F.avg("acc"), "mean"), r6(sd, "sd"), r6(F.min("acc"), "low"), r6(F.max("acc"), "high"), n.alias("n"), r6(I.t_half_width(sd, n), "half_width"), F.round(sd / F.avg("acc") * 100, 4).alias("noise_pct"),
+        r6(F.avg("acc"), "mean"), r6(sd, "sd"), r6(F.min("acc"), "low"), r6(F.max("acc"), "high"), n.alias("n"), r6(I.t_half_width(sd, n), "half_width"), rounded(sd / F.avg("acc") * 100, 4).alias("noise_pct"),
         F.bool_and(F.col("acc") > 0.5).alias("all_above"), F.bool_or(F.col("acc") > 0.5).alias("any_above"),
     )
 
@@ -69,7 +80,7 @@ def sufficient_stats_mean(spark, sf):
 def clusters(spark, sf):
     """Per component and sample: sums of outcomes and counts in each condition."""
     return B.scores(spark, sf).where("sample_id is not null").groupBy("component", "sample_id").agg(
-        F.sum(F.when(SWAP, ACC).otherwise(0.0)).alias("ss"), F.count_if(SWAP).alias("sn"), F.sum(F.when(RANDOM, ACC).otherwise(0.0)).alias("rs"), F.count_if(RANDOM).alias("rn")
+        F.sum(F.when(is_swap(), outcome()).otherwise(0.0)).alias("ss"), F.count_if(is_swap()).alias("sn"), F.sum(F.when(is_random(), outcome()).otherwise(0.0)).alias("rs"), F.count_if(is_random()).alias("rn")
     )
 
 
@@ -125,7 +136,7 @@ _PU = B.U_SQL.format("'p42|' || b || '|' || sample_id")
 
 
 @query(f"""{_S}, cl AS (SELECT component, sample_id, sum(correct::INT) AS s, count(*) AS n FROM scores WHERE sample_id IS NOT NULL GROUP BY ALL),
-w AS (SELECT *, {_PU} AS u FROM cl, range(0, 50) t(b)), rep AS (SELECT component, b, sum(s * ({_PW}))::DOUBLE / sum(n * ({_PW})) AS m FROM w GROUP BY ALL)
+w AS (SELECT *, {_PU} AS u FROM cl, range(0, 50) t(b)), rep AS (SELECT component, b, sum(s * ({_PW}))::DOUBLE / sum(n * ({_PW})) AS m FROM w GROUP BY ALL HAVING sum({_PW}) > 0)
 SELECT component, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM rep GROUP BY component""")
 def poisson_bootstrap_ci(spark, sf):
     """STA-01 without an index over clusters: Poisson weights, map-side sums only."""
@@ -161,7 +172,7 @@ def did_joint(spark, sf):
     s = B.scores(spark, sf).where("sample_id is not null")
     low_seed = s.agg(F.min("seed").alias("lo"))  # one row
     s = s.join(F.broadcast(low_seed), F.col("seed") == F.col("lo"), "left")
-    a, c = SWAP & F.col("lo").isNotNull(), RANDOM & F.col("lo").isNotNull()
+    a, c = is_swap() & F.col("lo").isNotNull(), is_random() & F.col("lo").isNotNull()
     cl = s.groupBy("sample_id").agg(
         F.sum(F.when(a, F.col("margin")).otherwise(0.0)).alias("a"), F.count_if(a).alias("an"), F.sum(F.when(c, F.col("margin")).otherwise(0.0)).alias("c"), F.count_if(c).alias("cn")
     )
@@ -175,7 +186,7 @@ _PAIRED = f"""{_S}, m AS (SELECT component, pair_key, round(avg(margin) FILTER (
 
 def paired(spark, sf):
     """Per twin pair the difference of mean margins, swap minus random; null without a twin."""
-    d = F.avg(F.when(SWAP, F.col("margin"))) - F.avg(F.when(RANDOM, F.col("margin")))
+    d = F.avg(F.when(is_swap(), F.col("margin"))) - F.avg(F.when(is_random(), F.col("margin")))
     return B.scores(spark, sf).groupBy("component", "pair_key").agg(r6(d, "d"))
 
 
@@ -187,14 +198,14 @@ w AS (SELECT component, count(*)::DOUBLE AS n, sum(CASE WHEN d > 0 THEN rk ELSE
 @query(f"{_WX} SELECT component, n::BIGINT AS n, wp AS w_plus, wm AS w_minus, round((wp - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - corr / 48.0), 6) AS z FROM w")
 def wilcoxon_w(spark, sf):
     """STA-09: signed-rank statistic and z."""
-    return I.wilcoxon(paired(spark, sf), ["component"], "d").withColumn("z", F.round("z", 6))
+    return I.wilcoxon(paired(spark, sf), ["component"], "d").withColumn("z", rounded("z", 6))
 
 
 @query()
 def wilcoxon_p(spark, sf):
     """STA-09 with p-values (no error function in SQL)."""
     w = I.wilcoxon(paired(spark, sf), ["component"], "d")
-    return w.select("component", F.round(I.normal_p(F.col("z")), 6).alias("p_two_sided"), F.round(I.normal_p(F.col("z"), False), 6).alias("p_greater"))
+    return w.select("component", rounded(I.normal_p(F.col("z")), 6).alias("p_two_sided"), rounded(I.normal_p(F.col("z"), False), 6).alias("p_greater"))
 
 
 @query(f"""{_S}, r AS (SELECT component, probe_condition = 'swap' AS first, rank() OVER (PARTITION BY component ORDER BY margin) + (count(*) OVER (PARTITION BY component, margin) - 1) / 2.0::DOUBLE AS rk,
@@ -203,8 +214,8 @@ g AS (SELECT component, count(*) FILTER (first)::DOUBLE AS n1, count(*) FILTER (
 SELECT component, n1::BIGINT AS n1, n2::BIGINT AS n2, r1 - n1 * (n1 + 1) / 2 AS u, round((r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - c / ((n1 + n2) * (n1 + n2 - 1)))), 6) AS z FROM g""")
 def mannwhitney_u(spark, sf):
     """STA-10."""
-    s = B.scores(spark, sf).select("component", "margin", SWAP.alias("first"))
-    return I.mann_whitney(s, ["component"], "margin", "first").withColumn("z", F.round("z", 6))
+    s = B.scores(spark, sf).select("component", "margin", is_swap().alias("first"))
+    return I.mann_whitney(s, ["component"], "margin", "first").withColumn("z", rounded("z", 6))
 
 
 _TWIN = f"""{_S}, t AS (SELECT seed, component, pair_key, bool_and(correct) FILTER (probe_condition = 'swap') AS sw, bool_and(correct) FILTER (probe_condition = 'random') AS rd FROM scores GROUP BY ALL),
@@ -214,7 +225,7 @@ _MCN = """CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transfo
 
 def discordant(spark, sf):
     """Per seed and component: twin pairs right only under swap (b) or only under random (c)."""
-    twin = B.scores(spark, sf).groupBy("seed", "component", "pair_key").agg(F.bool_and(F.when(SWAP, F.col("correct"))).alias("sw"), F.bool_and(F.when(RANDOM, F.col("correct"))).alias("rd"))
+    twin = B.scores(spark, sf).groupBy("seed", "component", "pair_key").agg(F.bool_and(F.when(is_swap(), F.col("correct"))).alias("sw"), F.bool_and(F.when(is_random(), F.col("correct"))).alias("rd"))
     return twin.groupBy("seed", "component").agg(F.count_if(F.col("sw") & ~F.col("rd")).alias("b"), F.count_if(F.col("rd") & ~F.col("sw")).alias("c"))
 
 
@@ -253,7 +264,7 @@ def unordered_pairs(spark, sf):
     """Mean margins per unordered pair of swapped values."""
     pair = F.array_join(F.array_sort(F.array("swap_from", "swap_to")), "|")
     u = B.scores(spark, sf).where("swap_from is not null and swap_to is not null").groupBy("component", pair.alias("pair"))
-    return u.agg(r6(F.avg(F.when(SWAP, F.col("margin"))), "a"), r6(F.avg(F.when(RANDOM, F.col("margin"))), "b")).where("a is not null and b is not null")
+    return u.agg(r6(F.avg(F.when(is_swap(), F.col("margin"))), "a"), r6(F.avg(F.when(is_random(), F.col("margin"))), "b")).where("a is not null and b is not null")
 
 
 @query(f"""{_UP}, r AS (SELECT component, a, b, rank() OVER (PARTITION BY component ORDER BY a) + (count(*) OVER (PARTITION BY component, a) - 1) / 2.0::DOUBLE AS ra,
@@ -262,7 +273,7 @@ SELECT component, count(*) AS n, round(corr(a, b), 5) AS pearson, round(corr(ra,
 def spearman_pairs(spark, sf):
     """MTH-09, MTH-10, JON-07, FLT-06: correlation over unordered pairs with a minimum support."""
     r = I.average_ranks(I.average_ranks(unordered_pairs(spark, sf), ["component"], "a", "ra"), ["component"], "b", "rb")
-    return r.groupBy("component").agg(F.count("*").alias("n"), F.round(F.corr("a", "b"), 5).alias("pearson"), F.round(F.corr("ra", "rb"), 5).alias("spearman")).where("n >= 3")
+    return r.groupBy("component").agg(F.count("*").alias("n"), rounded(I.correlation("a", "b"), 5).alias("pearson"), rounded(I.correlation("ra", "rb"), 5).alias("spearman")).where("n >= 3")
 
 
 @query(f"""{_UP}, ix AS (SELECT a, b, row_number() OVER (ORDER BY component || '#' || pair) - 1 AS idx, count(*) OVER () AS k FROM u),
@@ -279,7 +290,7 @@ def corr_bootstrap(spark, sf):
     va, vb = F.col("saa") - F.col("sa") * F.col("sa") / F.col("n"), F.col("sbb") - F.col("sb") * F.col("sb") / F.col("n")
     r = rep.select(F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb)).alias("r")).where("r is not null")
     low, high = I.interval(F.col("r"))
-    return r.agg(F.count("*").alias("n_rep"), F.round(low, 5).alias("low"), F.round(high, 5).alias("high"))
+    return r.agg(F.count("*").alias("n_rep"), rounded(low, 5).alias("low"), rounded(high, 5).alias("high"))
 
 
 @query(f"""{_S}, c AS (SELECT sample_id, sum(margin) AS s, count(*) AS n FROM scores WHERE sample_id IS NOT NULL GROUP BY sample_id), t AS (SELECT sum(s) AS s, sum(n) AS n FROM c)
@@ -296,7 +307,7 @@ _WC = "len(list_filter(string_split_regex(trim({0}), '\\s+'), lambda w: w <> '')
 
 
 @query(f"""{_S}, j AS (SELECT s.component, s.probe_condition, s.margin, {_WC.format('i.caption_correct')} - {_WC.format('i.caption_distractor')} AS diff FROM scores s JOIN probe1_items i USING (item_id) WHERE i.caption_distractor IS NOT NULL)
-SELECT coalesce(component, 'all') AS component, probe_condition, count(*) AS n, round(corr(diff, margin), 5) AS r FROM j GROUP BY GROUPING SETS ((probe_condition), (component, probe_condition))""")
+SELECT coalesce(component, 'all') AS component, probe_condition, count(*) AS n, round(CASE WHEN stddev_pop(diff) > 0 AND stddev_pop(margin) > 0 THEN corr(diff, margin) END, 5) AS r FROM j GROUP BY GROUPING SETS ((probe_condition), (component, probe_condition))""")
 def length_margin_corr(spark, sf):
     """STA-22: correlation of length difference and margin, overall and per component."""
     from quillon.functions.text import word_count
@@ -305,7 +316,7 @@ def length_margin_corr(spark, sf):
         read_table(spark, sf, "probe1_items").where("caption_distractor is not null").select("item_id", (word_count(F.col("caption_correct")) - word_count(F.col("caption_distractor"))).alias("diff")), "item_id"
     )
     sets = j.groupingSets([[F.col("probe_condition")], [F.col("component"), F.col("probe_condition")]], F.col("component"), F.col("probe_condition"))
-    return sets.agg(F.count("*").alias("n"), F.round(F.corr("diff", "margin"), 5).alias("r")).withColumn("component", F.coalesce("component", F.lit("all")))
+    return sets.agg(F.count("*").alias("n"), rounded(I.correlation("diff", "margin"), 5).alias("r")).withColumn("component", F.coalesce("component", F.lit("all")))
 
 
 @query(f"""{_S}, o AS (SELECT component, item_id, count(DISTINCT correct) AS k, count(*) AS n, avg(abs(margin)) AS m FROM scores GROUP BY ALL)
@@ -322,7 +333,7 @@ def partition_report(spark, sf):
     """STA-23: the same cells by a partition of the items."""
     part = F.when(F.col("clause_replaced_from").isNull(), "no clause").otherwise("clause")
     t = B.scores(spark, sf).join(read_table(spark, sf, "probe1_items").select("item_id", part.alias("part")), "item_id")
-    return t.groupBy("part").agg(F.count("*").alias("n"), F.countDistinct("pair_key").alias("n_pairs"), r6(F.avg(ACC), "acc"), r6(F.avg("margin"), "margin"), r6(F.median("margin"), "median"))
+    return t.groupBy("part").agg(F.count("*").alias("n"), F.countDistinct("pair_key").alias("n_pairs"), r6(F.avg(outcome()), "acc"), r6(F.avg("margin"), "margin"), r6(F.median("margin"), "median"))
 
 
 @query(f"""{_S} SELECT component, round(quantile_cont(margin, 0.025), 8) AS p025, round(quantile_cont(margin, 0.5), 8) AS p50, round(quantile_cont(margin, 0.975), 8) AS p975,
@@ -344,7 +355,7 @@ def moments(spark, sf):
     m = F.col("margin")
     mean = F.sum(m) / F.count("*")
     return B.scores(spark, sf).groupBy("component", "seed").agg(
-        r6(mean, "mean"), F.round(F.sqrt(F.greatest(F.sum(m * m) / F.count("*") - mean * mean, F.lit(0.0))), 5).alias("sd"), F.count("*").alias("n"),
+        r6(mean, "mean"), rounded(F.sqrt(F.greatest(F.sum(m * m) / F.count("*") - mean * mean, F.lit(0.0))), 5).alias("sd"), F.count("*").alias("n"),
         F.when(F.max(m) == F.max(F.abs(m)), "up").otherwise("down").alias("reach"), F.max_by("item_id", F.struct("margin", "item_id")).alias("best_item"),
     )
 
@@ -354,7 +365,7 @@ o AS (SELECT seed, string_agg(component, ' > ' ORDER BY round(d, 6) DESC NULLS L
 SELECT seed, severity, (SELECT count(DISTINCT severity) FROM o) AS n_orders FROM o""")
 def severity_order(spark, sf):
     """SRT-07: components ordered by degradation per seed, and how many different orders there are."""
-    d = F.round(F.avg(F.when(RANDOM, F.col("margin"))) - F.avg(F.when(SWAP, F.col("margin"))), 6)
+    d = rounded(F.avg(F.when(is_random(), F.col("margin"))) - F.avg(F.when(is_swap(), F.col("margin"))), 6)
     a = B.scores(spark, sf).groupBy("seed", "component").agg(d.alias("d"))
     key = F.struct(F.coalesce(-F.col("d"), F.lit(float("inf"))).alias("k"), "component")
     o = a.groupBy("seed").agg(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda s: s["component"]), " > ").alias("severity"))

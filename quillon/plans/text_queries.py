@@ -8,16 +8,20 @@ from quillon.functions import dates as D
 from quillon.functions import text as T
 from quillon.functions import vocabulary as V
 from quillon.functions.arrays import bind
+from quillon.functions.numbers import rounded
 from quillon.plans.registry import query
 from quillon.session import read_table
 
-CAP = F.col("caption")
 _SENT = r"list_filter(list_transform(string_split(regexp_replace({0}, '([.!?])[ \t\r\n]+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ')), lambda s: s <> '')"
 _WORDS = r"len(list_filter(string_split_regex(trim({0}, ' '), '\s+'), lambda w: w <> ''))"
 _LIST = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
 _RE = lambda p: "'" + p.replace("'", "''") + "'"
 
 
+def cap():
+    return F.col("caption")
+
+
 def captions(spark, sf):
     return read_table(spark, sf, "pairs").where("caption is not null")
 
@@ -25,7 +29,7 @@ def captions(spark, sf):
 @query(f"SELECT pair_no, len({_SENT.format('caption')}) AS n_sentences, ({_SENT.format('caption')})[1] AS first_sentence FROM pairs WHERE caption IS NOT NULL")
 def sentence_split(spark, sf):
     """STR-01."""
-    s = T.sentences(CAP)
+    s = T.sentences(cap())
     return captions(spark, sf).select("pair_no", F.size(s).cast("long").alias("n_sentences"), F.get(s, F.lit(0)).alias("first_sentence"))
 
 
@@ -37,7 +41,7 @@ SELECT pair_no, CASE WHEN len(s) >= 2 AND f <> 'clean' THEN len(s) - 1 ELSE len(
 def clause_split(spark, sf):
     """STR-02, PRJ-02: last sentence to the fluctuation unless clean."""
     fluctuation = F.trim(F.lower(F.split_part("class_label", F.lit(";"), F.lit(1))))
-    shape, last = T.clauses(CAP, fluctuation)
+    shape, last = T.clauses(cap(), fluctuation)
     return captions(spark, sf).where("class_label is not null").select("pair_no", F.size(shape).cast("long").alias("n_shape"), last.alias("fluctuation_clause"))
 
 
@@ -50,7 +54,7 @@ def word_balance(spark, sf):
     longer = F.when(F.col("c") > F.col("d"), 1.0).when(F.col("c") == F.col("d"), 0.5).otherwise(0.0)
     delta = F.col("c") - F.col("d")
     return i.groupBy("component", "probe_condition").agg(
-        F.round(F.avg(longer), 6).alias("pick_longer"), F.round(F.avg(delta), 6).alias("mean_delta"), F.round(F.avg(F.abs(delta)), 6).alias("mean_abs_delta"), F.count("*").alias("n")
+        rounded(F.avg(longer), 6).alias("pick_longer"), rounded(F.avg(delta), 6).alias("mean_delta"), rounded(F.avg(F.abs(delta)), 6).alias("mean_abs_delta"), F.count("*").alias("n")
     )
 
 
@@ -58,14 +62,14 @@ def word_balance(spark, sf):
 SELECT w AS word, count(*) AS n_captions FROM w WHERE NOT list_contains({_LIST(V.STOP_WORDS)}, w) GROUP BY w ORDER BY n_captions DESC, w LIMIT 25""")
 def word_docfreq(spark, sf):
     """STR-05, STR-15, AGG-16, SRT-03: captions containing each word, the 25 most frequent."""
-    w = captions(spark, sf).select(F.explode(T.content_words(CAP)).alias("word"))
+    w = captions(spark, sf).select(F.explode(T.content_words(cap())).alias("word"))
     return w.groupBy("word").agg(F.count("*").alias("n_captions")).orderBy(F.desc("n_captions"), "word").limit(25)
 
 
 @query("\nUNION ALL ".join(f"SELECT {_RE(p)} AS pattern, count(*) AS n_captions FROM pairs WHERE regexp_matches(caption, {_RE('(?i)' + chr(92) + 'b(?:' + p + ')' + chr(92) + 'b')}) HAVING count(*) > 0" for p in V.ORDER_CLAIMS[:40]))
 def pattern_docfreq(spark, sf):
     """STR-06, AGG-16: captions containing each pattern of a family."""
-    hits = captions(spark, sf).select(F.explode(T.matched(CAP, V.ORDER_CLAIMS[:40])).alias("pattern"))
+    hits = captions(spark, sf).select(F.explode(T.matched(cap(), V.ORDER_CLAIMS[:40])).alias("pattern"))
     return hits.groupBy("pattern").agg(F.count("*").alias("n_captions"))
 
 
@@ -79,13 +83,13 @@ r AS (SELECT pair_no, CASE WHEN length(regexp_replace(t, '[^a-zA-Z]', '', 'g'))
 @query(f"{_RULE} SELECT pair_no, CASE reason WHEN 'order_claim' THEN 'dependent' WHEN 'negated_motion' THEN 'invariant' WHEN 'anchored' THEN 'invariant' ELSE 'ambiguous' END AS label, reason FROM r")
 def rule_classify(spark, sf):
     """TXT-01, STR-07, STR-08: three-way priority classifier of captions."""
-    return captions(spark, sf).select("pair_no", T.order_label(CAP).alias("r")).select("pair_no", "r.label", "r.reason")
+    return captions(spark, sf).select("pair_no", T.order_label(cap()).alias("r")).select("pair_no", "r.label", "r.reason")
 
 
 @query(f"{_RULE} SELECT dataset, reason, count(*) AS n FROM r JOIN pairs USING (pair_no) GROUP BY ALL")
 def rule_census(spark, sf):
     """TXT-01 counted by dataset, AGG-01."""
-    return captions(spark, sf).select("dataset", T.order_label(CAP)["reason"].alias("reason")).groupBy("dataset", "reason").agg(F.count("*").alias("n"))
+    return captions(spark, sf).select("dataset", T.order_label(cap())["reason"].alias("reason")).groupBy("dataset", "reason").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH l AS (SELECT pair_no, {_FL} AS f, trim(lower(split_part(class_label, ';', 2)), ' ') AS s FROM pairs WHERE class_label IS NOT NULL)
@@ -153,20 +157,20 @@ def _score_sql(stems):
   (SELECT pair_no, {_first_sql(V.UP_STEMS)} AS u, {_first_sql(V.DOWN_STEMS)} AS d, ({_score_sql(V.UP_STEMS)}) - ({_score_sql(V.DOWN_STEMS)}) AS score FROM pairs WHERE caption IS NOT NULL)""")
 def first_direction(spark, sf):
     """STR-09, STR-10: first direction stem and net stem count."""
-    return captions(spark, sf).select("pair_no", T.first_direction(CAP).alias("direction"), T.stem_score(CAP).cast("long").alias("score"))
+    return captions(spark, sf).select("pair_no", T.first_direction(cap()).alias("direction"), T.stem_score(cap()).cast("long").alias("score"))
 
 
 @query(r"""SELECT pair_no, trim(regexp_replace(regexp_replace(caption, '[A-Z][A-Za-z.]*(?: County)?(?:,? [A-Z][A-Za-z.]*)*', '<PLACE>', 'g'), '[ \t\r\n]+', ' ', 'g'), ' ') AS frame FROM pairs WHERE caption IS NOT NULL""")
 def frame_extract(spark, sf):
     """STR-14."""
-    return captions(spark, sf).select("pair_no", T.frame(CAP).alias("frame"))
+    return captions(spark, sf).select("pair_no", T.frame(cap()).alias("frame"))
 
 
 @query(r"""SELECT pair_no, replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(caption, '\bRis', chr(1), 'g'), '\bris', chr(2), 'g'), '\bFall', chr(3), 'g'), '\bfall', chr(4), 'g'),
   chr(1), 'Fall'), chr(2), 'fall'), chr(3), 'Ris'), chr(4), 'ris') AS swapped FROM pairs WHERE caption IS NOT NULL""")
 def stem_swap(spark, sf):
     """STR-13: stems swapped both ways with their suffixes."""
-    return captions(spark, sf).select("pair_no", T.swap_stems(CAP, "ris", "fall").alias("swapped"))
+    return captions(spark, sf).select("pair_no", T.swap_stems(cap(), "ris", "fall").alias("swapped"))
 
 
 _MAP = {"first": "last", "last": "first", "left": "right", "right": "left", "smooth": "noisy", "noisy": "smooth"}
@@ -177,7 +181,7 @@ _MAPSQL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in _MAP.items()) + "}"
   WHEN upper(p[1]) = p[1] AND lower(p[1]) <> p[1] THEN upper(m[lower(p)][1]) || m[lower(p)][2:] ELSE m[lower(p)] END), '') AS swapped FROM (SELECT pair_no, caption, {_MAPSQL} AS m FROM pairs WHERE caption IS NOT NULL)""")
 def word_swap(spark, sf):
     """STR-12, MAP-03: simultaneous whole-word substitution with an inverse map."""
-    return captions(spark, sf).select("pair_no", T.swap_words(CAP, _MAP).alias("swapped"))
+    return captions(spark, sf).select("pair_no", T.swap_words(cap(), _MAP).alias("swapped"))
 
 
 @query("""SELECT idx, CASE WHEN instr(caption_correct, clause_replaced_from) > 0 THEN substr(caption_correct, 1, instr(caption_correct, clause_replaced_from) - 1) || clause_replaced_to || substr(caption_correct, instr(caption_correct, clause_replaced_from) + length(clause_replaced_from)) ELSE caption_correct END AS rebuilt,

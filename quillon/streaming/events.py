@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions.numbers import rounded
 from quillon.session import new_folder
 
 _SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -43,7 +44,7 @@ def run_complete(result: DataFrame, spark: SparkSession, name: str) -> DataFrame
 def windowed_counts(stream: DataFrame, width: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Events and values per window and type; events later than the watermark are dropped once their window closed."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
-    return stream.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(
+    return stream.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), rounded(F.sum("value"), 4).alias("total")).select(
         F.col("w.start").alias("start"), "event_type", "n", "total"
     )
 
