@@ -8,14 +8,16 @@ scan small without losing a pair:
 * a hash also carries the coarse shape of the record's normalised series (a grid cell over a few positions; evaluation
   records probe every cell within the tolerance), so captions are only looked up where the series can match;
 * only the rarest ``n - ceil(t*n) + 1`` tokens of a record are looked up: two sets of similarity t share one of them
-  under any common order. The order puts a bounded list of the corpus' most frequent tokens last;
+  under any common order. The order puts a bounded list of the corpus' most frequent tokens last. In cells of many
+  records, combinations of two or three of the rarest tokens are looked up instead, which similar records share too,
+  and 128 parity bits of the tokens, carried along, refuse most pairs before they are compared;
 * records that are equal in side, series and words form one class, so hot copies meet once and are expanded at the end.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -114,33 +116,87 @@ def signatures(
     return records.select("id", "side", "series", "caption").mapInArrow(run, _SCHEMA)
 
 
-def _rare_prefix(classes: DataFrame, threshold: float, frequent: list[int]) -> DataFrame:
-    """(rep, side, n, cells, gram): the tokens of each class that must be looked up, rarest first."""
+def schemes_of(n: int, threshold: float, bounds: tuple[tuple[int, int], ...]) -> list[tuple[int, int, bool]]:
+    """The lookups a record of n words takes part in, as (scheme, tokens per key, own).
+
+    Scheme k serves the pairs whose larger record has more words than bound k-1 and at most bound k; such a pair shares
+    ceil(t * larger) words, of which every key takes some. A record is ``own`` in the scheme of its size; in a higher one
+    that its similar records may reach it only meets records that are own there."""
+    out, low = [], 0
+    for k, (high, size) in enumerate((*bounds, (1 << 62, 1))):
+        if n <= high and (n > low or n >= threshold * (low + 1) - 1e-9):
+            out.append((k, size, n > low))
+        low = high
+    return out
+
+
+def parity_bits(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits per row, each the parity of the tokens that fall on it. Rows whose bits differ in d places differ in at
+    least d tokens."""
+    bit = np.uint64(1) << (tokens & np.uint64(63))
+    upper = (tokens & np.uint64(64)) != 0
+    starts = np.cumsum(counts) - counts
+    if not len(tokens):
+        return np.zeros(len(counts), np.uint64), np.zeros(len(counts), np.uint64)
+    zero = np.uint64(0)
+    return np.bitwise_xor.reduceat(np.where(upper, zero, bit), starts), np.bitwise_xor.reduceat(np.where(upper, bit, zero), starts)
+
+
+def _rare_grams(classes: DataFrame, threshold: float, frequent: list[int], bounds: tuple[tuple[int, int], ...]) -> DataFrame:
+    """(rep, side, n, cells, low, high, single, joint): the parity bits and keys by which each class is looked up, made of its rarest tokens.
+
+    ``single``, for cells of few records: the first n - ceil(t*n) + 1 tokens, of which two similar records share one.
+    ``joint``, for hot cells: all combinations of ``size`` tokens among the first n - ceil(t*n) + size, by the schemes of
+    ``schemes_of``; two similar records share such a combination too, and others hardly ever do."""
     common = np.array(frequent, dtype=np.int64)[::-1]
     by_value = np.argsort(common)
     common_sorted = common[by_value]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        picks: dict[tuple[int, int], np.ndarray] = {}
+        plans: dict[int, list[tuple[int, int, bool]]] = {}
         for batch in batches:
             tokens = batch.column(0).flatten().to_numpy(zero_copy_only=False)
             counts = np.diff(batch.column(0).offsets.to_numpy()).astype(np.int64)
+            hot = batch.column(1).to_numpy(zero_copy_only=False)
+            side = batch.column(3).to_numpy(zero_copy_only=False)
             rank = np.zeros(len(tokens), dtype=np.int64)
             if len(common):
                 at = np.minimum(np.searchsorted(common_sorted, tokens), len(common) - 1)
                 rank = np.where(common_sorted[at] == tokens, by_value[at] + 1, 0)
             row = np.repeat(np.arange(len(counts)), counts)
             tokens = tokens[np.lexsort((tokens, rank, row))]
-            prefix = counts - np.ceil(threshold * counts - 1e-9).astype(np.int64) + 1
-            prefix = np.minimum(prefix, counts)
+            need = np.ceil(threshold * counts - 1e-9).astype(np.int64)
             start = np.cumsum(counts) - counts
             nth = np.arange(len(tokens)) - np.repeat(start, counts)
-            grams = tokens[nth < np.repeat(prefix, counts)]
+            prefix = np.minimum(counts - need + 1, counts)
+            single = tokens[nth < np.repeat(prefix, counts)]
+            low, high = parity_bits(tokens.view(np.uint64), counts)
+            joint, sizes = [np.zeros(0, np.uint64)], np.zeros(len(counts), np.int64)
+            for r in np.flatnonzero(hot).tolist():
+                n = int(counts[r])
+                if n not in plans:
+                    plans[n] = schemes_of(n, threshold, bounds)
+                for k, size, own in plans[n]:
+                    width = n - max(int(need[r]), size) + size
+                    if (width, size) not in picks:
+                        picks[(width, size)] = np.array(list(combinations(range(width), size)), dtype=np.int64)
+                    chosen = tokens[start[r] + picks[(width, size)]].view(np.uint64)
+                    key = np.full(len(chosen), k + 1, dtype=np.uint64)
+                    for c in range(size):
+                        key = T.mix(key * np.uint64(31) + chosen[:, c])
+                    # 1: both own; 2: the evaluation record is own, the training record is not; 3: the other way round
+                    for role in ((1, 2 + int(side[r] == 0)) if own else (2 + int(side[r] == 1),)):
+                        joint.append(key + np.uint64(role))
+                        sizes[r] += len(key)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], T.long_lists(grams, prefix)], names=["rep", "side", "n", "cells", "grams"]
+                [*batch.columns[2:], T.longs(low), T.longs(high), T.long_lists(single, prefix), T.long_lists(np.concatenate(joint), sizes)],
+                names=["rep", "side", "n", "cells", "low", "high", "single", "joint"],
             )
 
-    return classes.select("tokens", "rep", "side", "n", "cells").mapInArrow(
-        run, "rep long, side int, n int, cells array<long>, grams array<long>"
+    cells = "cells array<struct<cell:long,hot:boolean>>"
+    return classes.select("tokens", F.exists("cells", lambda c: c["hot"]).alias("hot"), "rep", "side", "n", "cells").mapInArrow(
+        run, f"rep long, side int, n int, {cells}, low long, high long, single array<long>, joint array<long>"
     )
 
 
@@ -180,6 +236,8 @@ def cross_split_overlaps(
     threshold: float = 0.6,
     tolerance: float = 0.05,
     frequent: int = 4096,
+    hot_cell: int = 1000,
+    bounds: tuple[tuple[int, int], ...] = ((1, 1), (3, 2), (12, 3), (64, 2)),
     small: int = 1_000_000,
 ) -> DataFrame:
     """All (eval_id, train_id, n_hits, containment, similarity) of records found in both an evaluation and a train split.
@@ -203,29 +261,30 @@ def cross_split_overlaps(
     classes = held.groupBy(*same).agg(
         F.min("id").alias("rep"), F.min("n").alias("n"), F.first("cells").alias("cells"), F.first("tokens").alias("tokens")
     )
-    # keep classes whose cell occurs on the other side too
-    cell_sides = (
-        held.select("side", F.explode("cells").alias("cell")).groupBy("cell").agg(F.bit_or(F.expr("shiftleft(1, side)")).alias("sides"))
+    # keep classes whose cell occurs on the other side too; cells of many rows are hot
+    per_cell = held.select("side", F.explode("cells").alias("cell")).groupBy("cell").agg(
+        F.bit_or(F.expr("shiftleft(1, side)")).alias("sides"), (F.count("*") > hot_cell).alias("hot")
     )
-    shared = cell_sides.where("sides = 3").select("cell")
-    live = classes.select("rep", F.explode("cells").alias("cell")).join(shared, "cell", "left_semi").groupBy("rep").agg(
-        F.collect_list("cell").alias("cells")
+    shared = per_cell.where("sides = 3").select("cell", "hot")
+    live = classes.select("rep", F.explode("cells").alias("cell")).join(shared, "cell").groupBy("rep").agg(
+        F.collect_list(F.struct("cell", "hot")).alias("cells")
     )
     live = stage(classes.drop("cells").join(live, "rep"), "p1-classes")
     top = (
         live.select(F.explode("tokens").alias("t")).groupBy("t").count().orderBy(F.desc("count"), "t").limit(frequent).select("t").collect()
     )  # a list of bounded length, however large the corpus
-    grams = (
-        _rare_prefix(live, threshold, [r.t for r in top])
-        .select("rep", "side", "n", F.explode("cells").alias("cell"), "grams")
-        .select("rep", "side", "n", "cell", F.explode("grams").alias("gram"))
-        .select("rep", "side", "n", F.xxhash64("cell", "gram").alias("key"))
-    )
-    left = grams.where("side = 1").select("key", F.col("rep").alias("eval_rep"), F.col("n").alias("en"))
-    right = grams.where("side = 0").select("key", F.col("rep").alias("train_rep"), F.col("n").alias("tn"))
+    spread = _rare_grams(live, threshold, [r.t for r in top], bounds).withColumn("c", F.explode("cells"))
+    gram = F.explode(F.when(F.col("c.hot"), F.col("joint")).otherwise(F.col("single")))
+    sizes = ("n", "low", "high")
+    grams = spread.select("rep", "side", *sizes, "c", gram.alias("gram")).select("rep", "side", *sizes, F.xxhash64("c.cell", "gram").alias("key"))
+    left = grams.where("side = 1").select("key", F.col("rep").alias("eval_rep"), *[F.col(c).alias(f"e_{c}") for c in sizes])
+    right = grams.where("side = 0").select("key", F.col("rep").alias("train_rep"), *[F.col(c).alias(f"t_{c}") for c in sizes])
+    # what may differ at most between two records of these sizes, against what differs at least
+    apart = F.expr("bit_count(e_low ^ t_low) + bit_count(e_high ^ t_high)")
     hits = (
         left.join(right, "key")
-        .where((F.least("en", "tn") >= threshold * F.greatest("en", "tn") - 1e-9))
+        .where(F.least("e_n", "t_n") >= threshold * F.greatest("e_n", "t_n") - 1e-9)
+        .where(apart <= (F.col("e_n") + F.col("t_n")) * ((1 - threshold) / (1 + threshold)) + 1e-9)
         .select("eval_rep", "train_rep")
         .distinct()
     )
@@ -279,8 +338,3 @@ def overlap_report(records: DataFrame, overlaps: DataFrame, id_col: str = "pair_
             F.round(F.avg("best"), 6).alias("mean_containment"),
         )
     )
-
-
-def prefix_length(n: int, threshold: float) -> int:
-    """How many of n tokens must be looked up for a similarity of ``threshold``."""
-    return n - math.ceil(threshold * n - 1e-9) + 1

@@ -51,9 +51,11 @@ def make_pairs(n=240, seed=3):
     return rows
 
 
-def test_overlaps_equal_brute_force(spark):
+@pytest.mark.parametrize("hot_cell,bounds", [(1000, ((64, 2),)), (0, ((1, 1), (3, 2), (12, 3), (64, 2))), (0, ((1, 1), (5, 2), (9, 3))), (20, ((2, 1),))])
+def test_overlaps_equal_brute_force(spark, hot_cell, bounds):
     rows = make_pairs()
-    found = {(r.eval_id, r.train_id): r for r in overlap.cross_split_overlaps(spark.createDataFrame(rows, PAIRS), small=10).collect()}
+    overlaps = overlap.cross_split_overlaps(spark.createDataFrame(rows, PAIRS), small=10, hot_cell=hot_cell, bounds=bounds)
+    found = {(r.eval_id, r.train_id): r for r in overlaps.collect()}
     expected = set()
     for a in rows:
         for b in rows:
