@@ -27,6 +27,8 @@ from pyspark.sql import Window as W
 from quillon.llm.text import mix
 from quillon.session import stage
 
+#: Windows that one row holds at most.
+PART = 20_000
 _BASE = 0x2545F4914F6CDD1D  # odd, so that its powers have inverses modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -78,52 +80,76 @@ def compact_windows(points: np.ndarray, gram: int, span: int) -> tuple[np.ndarra
 
 
 def text_windows(documents: DataFrame, id_col: str, text_col: str, gram: int, span: int) -> DataFrame:
-    """(id, text_key, n_chars, windows) of the texts with at least ``span`` characters."""
+    """(id, text_key, n_chars, part, windows) of the texts with at least ``span`` characters; the windows of a long text are
+    spread over several parts."""
     picked = documents.select(
         F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.length(text_col).alias("n_chars"), F.col(text_col).cast("string").alias("text")
     ).where(F.col("n_chars") >= span)
     windows = pa.list_(pa.struct([("value", pa.int64()), ("at", pa.int32()), ("low", pa.int32()), ("high", pa.int32())]))
 
+    rows: list[tuple] = []
+    held = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal rows, held
+        parts = [(i, key, n, first // PART, *[c[first : first + PART] for c in found]) for i, key, n, found in rows for first in range(0, max(1, len(found[0])), PART)]
+        rows, held = [], 0
+        if not parts:
+            return
+        ids, keys, sizes, numbers, *columns = zip(*parts)
+        value, at, low, high = (np.concatenate(c) for c in columns)
+        structs = pa.StructArray.from_arrays(
+            [pa.array(value.view(np.int64)), *[pa.array(c.astype(np.int32)) for c in (at, low, high)]], names=["value", "at", "low", "high"]
+        )
+        ends = np.cumsum([0, *[len(c) for c in columns[0]]]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), structs).cast(windows)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(numbers, pa.int32()), lists], names=["id", "text_key", "n_chars", "part", "windows"]
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nonlocal held
         for batch in batches:
-            found = [
-                compact_windows(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), gram, span)
-                for x in batch.column(3).to_pylist()
-            ]
-            if not found:
-                continue
-            sizes = np.cumsum([0, *[len(f[0]) for f in found]])
-            value, at, low, high = (np.concatenate(c) for c in zip(*found))
-            rows = pa.StructArray.from_arrays(
-                [pa.array(value.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], names=["value", "at", "low", "high"]
-            )
-            lists = pa.ListArray.from_arrays(pa.array(sizes.astype(np.int32)), rows).cast(windows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], names=["id", "text_key", "n_chars", "windows"])
-
-    return picked.mapInArrow(run, "id long, text_key long, n_chars int, windows array<struct<value:long,at:int,low:int,high:int>>")
+            for k, text in enumerate(batch.column(3).to_pylist()):
+                points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                rows.append((batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].as_py(), compact_windows(points, gram, span)))
+                held += len(rows[-1][3][0])
+                if held >= PART:
+                    yield from flush()
+        yield from flush()
+
+    return picked.mapInArrow(run, "id long, text_key long, n_chars int, part int, windows array<struct<value:long,at:int,low:int,high:int>>")
 
 
 def _contexts(gram: int, span: int):
-    """Cuts the characters around every anchor that a span through it can reach."""
+    """Cuts the characters around every anchor that a span through it can reach. Anchors that follow each other with equal
+    surroundings, as in repetitive texts, are one row; ``extra`` is how far the last lies behind the first."""
     reach = span - gram
 
+    names = ["text_key", "value", "at", "extra", "low", "high", "before", "around"]
+    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.string()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["text_key", "value", "at", "low", "high", "before", "around"]
         for batch in batches:
-            for key, text, anchors in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                for k in range(0, len(anchors), 5000):
-                    part = anchors[k : k + 5000]
-                    starts = [max(0, a["at"] - reach) for a in part]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([key] * len(part), pa.int64()),
-                            pa.array([a["value"] for a in part], pa.int64()),
-                            *[pa.array([a[c] for a in part], pa.int32()) for c in ("at", "low", "high")],
-                            pa.array([a["at"] - s for a, s in zip(part, starts)], pa.int32()),
-                            pa.array([text[s : a["at"] + span] for a, s in zip(part, starts)], pa.string()),
-                        ],
-                        names=names,
-                    )
+            anchors = batch.column(2)
+            value, at, low, high = (anchors.values.field(c).to_numpy() for c in ("value", "at", "low", "high"))
+            offsets = anchors.offsets.to_numpy()
+            for k, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                order = offsets[k] + np.argsort(at[offsets[k] : offsets[k + 1]], kind="stable")
+                out: list[list] = []
+                for v, p, lo, hi in zip(value[order].tolist(), at[order].tolist(), low[order].tolist(), high[order].tolist()):
+                    start = max(0, p - reach)
+                    around = text[start : p + span]
+                    if out and out[-1][1] == v and p - out[-1][2] - out[-1][3] <= span and out[-1][6] == p - start and out[-1][7] == around:
+                        last = out[-1]  # a repetitive text: the same surroundings again, a little further on
+                        last[3], last[4], last[5] = p - last[2], min(last[4], lo - p + last[2]), max(last[5], hi - p + last[2])
+                        continue
+                    if len(out) >= 5000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+                        out = []
+                    out.append([key, v, p, 0, lo, hi, p - start, around])
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
     return run
 
@@ -147,14 +173,15 @@ def _verify(span: int):
         for batch in batches:
             c = {n: batch.column(n).to_pylist() for n in batch.schema.names}
             out = []
-            for ka, kb, pa_, pb, ba, bb, xa, xb in zip(c["a"], c["b"], c["at_a"], c["at_b"], c["before_a"], c["before_b"], c["around_a"], c["around_b"]):
+            names = ("a", "b", "at_a", "at_b", "extra_a", "extra_b", "before_a", "before_b", "around_a", "around_b")
+            for ka, kb, pa_, pb, ea, eb, ba, bb, xa, xb in zip(*(c[n] for n in names)):
                 left = _common(xa[:ba][::-1], xb[:bb][::-1])
                 right = _common(xa[ba:], xb[bb:])
                 if left + right >= span:
-                    out.append((ka, kb, pa_ - left, pb - left, left + right))
-            columns = list(zip(*out)) if out else [()] * 5
-            kinds = [pa.int64()] * 2 + [pa.int32()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names=["a", "b", "from_a", "from_b", "length"])
+                    out.append((ka, kb, pa_ - left, pb - left, pa_ + right + ea, pb + right + eb))
+            columns = list(zip(*out)) if out else [()] * 6
+            kinds = [pa.int64()] * 2 + [pa.int32()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names=["a", "b", "from_a", "from_b", "to_a", "to_b"])
 
     return run
 
@@ -165,16 +192,16 @@ def _runs(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, at, before, text in zip(*(batch.column(n).to_pylist() for n in ("text_key", "at", "before", "around"))):
+            for key, at, extra, before, text in zip(*(batch.column(n).to_pylist() for n in ("text_key", "at", "extra", "before", "around"))):
                 previous = None
                 for k in range(min(before, len(text) - span) + 1):
                     h = xxhash.xxh3_128_digest(text[k : k + span])
-                    out.append((key, at - before + k, h, previous))
+                    out.append((key, at - before + k, at - before + k + span + extra, h, previous))
                     previous = h
             for k in range(0, len(out), 50_000):
                 columns = list(zip(*out[k : k + 50_000]))
-                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=["text_key", "start", "run", "previous"])
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=["text_key", "start", "end", "run", "previous"])
 
     return run
 
@@ -195,7 +222,7 @@ def shared_spans(
     repetitive texts are handled in time proportional to their length. An empty table gives empty results.
     """
     held = stage(text_windows(documents, id_col, text_col, gram, span), "p8-windows")
-    members = held.select("id", "text_key", "n_chars")
+    members = held.where("part = 0").select("id", "text_key", "n_chars")
     windows = held.select("text_key", F.explode("windows").alias("w")).select("text_key", "w.value", "w.at", "w.low", "w.high")
     values = windows.groupBy("value").agg(F.min("text_key").alias("x"), F.max("text_key").alias("y")).where("x <> y").select("value")
     values = stage(values, "p8-values")
@@ -209,7 +236,7 @@ def shared_spans(
         reps = F.broadcast(reps)
     texts = documents.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).join(reps, "rep")
     around = texts.join(anchors, "text_key").select("text_key", "text", "anchors")
-    around = around.mapInArrow(_contexts(gram, span), "text_key long, value long, at int, low int, high int, before int, around string")
+    around = around.mapInArrow(_contexts(gram, span), "text_key long, value long, at int, extra int, low int, high int, before int, around string")
     around = stage(around, "p8-contexts")
     crowd = around.groupBy("value").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("value")
     crowd = stage(crowd, "p8-hot")
@@ -219,14 +246,14 @@ def shared_spans(
     warm = around.join(crowd, "value", "left_semi")
 
     side = lambda s, k: cold.select("value", F.col("text_key").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in k])
-    columns = ("at", "low", "high", "before", "around")
+    columns = ("at", "extra", "low", "high", "before", "around")
     room = F.least(F.expr("at_a - low_a"), F.expr("at_b - low_b")) + F.least(F.expr("high_a - at_a"), F.expr("high_b - at_b")) + 1
     candidates = side("a", columns).join(side("b", columns), "value").where((F.col("a") < F.col("b")) & (room >= span - gram + 1))
-    verified = candidates.drop("value", "low_a", "low_b", "high_a", "high_b").mapInArrow(_verify(span), "a long, b long, from_a int, from_b int, length int")
+    verified = candidates.drop("value", "low_a", "low_b", "high_a", "high_b").mapInArrow(_verify(span), "a long, b long, from_a int, from_b int, to_a int, to_b int")
     verified = stage(verified, "p8-verified")
 
-    runs = warm.select("text_key", "at", "before", "around").mapInArrow(_runs(span), "text_key long, start int, run binary, previous binary")
-    runs = stage(runs.groupBy("text_key", "run").agg(F.min_by("previous", "start").alias("previous"), F.min("start").alias("start"), F.collect_set("start").alias("starts")), "p8-runs")
+    runs = warm.select("text_key", "at", "extra", "before", "around").mapInArrow(_runs(span), "text_key long, start int, end int, run binary, previous binary")
+    runs = stage(runs.groupBy("text_key", "run").agg(F.min_by("previous", "start").alias("previous"), F.collect_set(F.struct("start", "end")).alias("stretches")), "p8-runs")
     common = runs.groupBy("run").agg(F.min("text_key").alias("x"), F.max("text_key").alias("y")).where("x <> y").select("run")
     shared = runs.join(common, "run", "left_semi")
     a = shared.select("run", F.col("text_key").alias("a"), F.col("previous").alias("pa"))
@@ -234,9 +261,9 @@ def shared_spans(
     crowded = a.join(b, "run").where("a < b and not coalesce(pa = pb, false)").select("a", "b")
     links = verified.select("a", "b").unionByName(crowded).distinct()
     stretches = (
-        verified.select(F.explode(F.array(F.struct(F.col("a").alias("text_key"), F.col("from_a").alias("start"), "length"), F.struct(F.col("b").alias("text_key"), F.col("from_b").alias("start"), "length"))).alias("s"))
-        .select("s.text_key", "s.start", (F.col("s.start") + F.col("s.length")).alias("end"))
-        .unionByName(shared.select("text_key", F.explode("starts").alias("start")).select("text_key", "start", (F.col("start") + span).alias("end")))
+        verified.select(F.explode(F.array(*[F.struct(F.col(x).alias("text_key"), F.col(f"from_{x}").alias("start"), F.col(f"to_{x}").alias("end")) for x in "ab"])).alias("s"))
+        .select("s.*")
+        .unionByName(shared.select("text_key", F.explode("stretches").alias("s")).select("text_key", "s.start", "s.end"))
         .distinct()
     )
     return members, links, stretches

@@ -258,6 +258,15 @@ def test_shared_spans_equal_brute_force(spark, hot):
     assert share == {k: len(covered.get(k, ())) for k, t in docs if t and len(t) >= 300}
 
 
+def test_repetitive_texts_stay_small(spark, monkeypatch):
+    monkeypatch.setattr(spans, "PART", 1000)
+    docs = [(1, "x" * 300_000), (2, "y" + "x" * 200_000 + "z"), (3, "ab" * 50_000), (4, "q" + "ab" * 400)]
+    members, links, stretches = spans.shared_spans(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {(r.doc_a, r.doc_b) for r in spans.span_pairs(members, links).collect()} == {(1, 2), (3, 4)}
+    share = {r.doc_id: r.shared_chars for r in spans.shared_share(members, stretches).collect()}
+    assert share == {1: 300_000, 2: 200_000, 3: 100_000, 4: 800}
+
+
 def test_shared_spans_of_nothing(spark):
     members, links, stretches = spans.shared_spans(spark.createDataFrame([(1, None)], "doc_id long, text string"))
     assert spans.span_pairs(members, links).count() == 0 and spans.shared_share(members, stretches).count() == 0
