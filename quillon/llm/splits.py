@@ -3,8 +3,8 @@
 Method: the names a record gives its sample are linked by distributed union-find (local forests merged hierarchically,
 see ``components``); the groups are then assigned largest first to the split furthest below its target. The greedy step
 works on a histogram of groups by label and size, whose length depends on the number of labels and of size classes
-only: equal groups of a label fill their label's deficits level by level, what is left over goes to the split that is
-furthest below target overall.
+only: equal groups of a label fill the label's deficits level by level; each group that is left over goes to the split
+furthest below target, counting what earlier labels are short of.
 """
 
 from __future__ import annotations
@@ -73,40 +73,35 @@ def _size_class(size: Column, exact: int) -> Column:
 def fill_targets(
     histogram: list[tuple[str, int, int, int]], shares: dict[str, float]
 ) -> dict[tuple[str, int], list[int]]:
-    """For each (label, size class) how many of its groups each split gets, largest classes first.
+    """For each (label, size class) how many of its groups each split gets, label by label, largest classes first.
 
     ``histogram`` has (label, size class, groups, rows). Groups of one class count with their mean size."""
     names = list(shares)
-    total = sum(r for _, _, _, r in histogram)
-    by_label: dict[str, int] = {}
-    for label, _, _, r in histogram:
-        by_label[label] = by_label.get(label, 0) + r
-    overall = [shares[s] * total for s in names]
-    within = {label: [shares[s] * n for s in names] for label, n in by_label.items()}
+    by_label: dict[str, list[tuple[int, int, int]]] = {}
+    for label, size, groups, rows in histogram:
+        by_label.setdefault(label, []).append((size, groups, rows))
+    carry = [0.0] * len(names)  # what the labels before are short of, per split
     out: dict[tuple[str, int], list[int]] = {}
-    for label, size, groups, rows in sorted(histogram, key=lambda h: (-h[1], h[0])):
-        mean = rows / groups
-        need = within[label]
-        taken = [0] * len(names)
-        low, high = min(need) - rows, max(need)
-        for _ in range(60):  # the level down to which whole groups can be poured
-            level = (low + high) / 2
-            if sum(max(0, math.floor((d - level) / mean)) for d in need) > groups:
-                low = level
-            else:
-                high = level
-        for k, d in enumerate(need):
-            # only whole groups that fit below the label's target; the rest is decided overall
-            taken[k] = max(0, min(math.floor((d - high) / mean), math.floor(d / mean + 1e-9)))
-        for k in range(len(names)):
-            need[k] -= taken[k] * mean
-            overall[k] -= taken[k] * mean
-        for _ in range(groups - sum(taken)):
-            k = max(range(len(names)), key=lambda j: (overall[j], need[j]))
-            taken[k] += 1
-            need[k] -= mean
-            overall[k] -= mean
-        out[(label, size)] = taken
+    for label, bins in sorted(by_label.items(), key=lambda x: (-sum(r for _, _, r in x[1]), x[0])):
+        need = [shares[s] * sum(r for _, _, r in bins) for s in names]
+        for size, groups, rows in sorted(bins, reverse=True):
+            mean = rows / groups
+            low, high = min(need) - rows, max(need)
+            for _ in range(60):  # the level down to which whole groups can be poured
+                level = (low + high) / 2
+                if sum(max(0, math.floor((d - level) / mean)) for d in need) > groups:
+                    low = level
+                else:
+                    high = level
+            # only whole groups that fit below the label's target; the few others make up for earlier shortfalls
+            taken = [max(0, min(math.floor((d - high) / mean), math.floor(d / mean + 1e-9))) for d in need]
+            need = [d - t * mean for d, t in zip(need, taken)]
+            for _ in range(groups - sum(taken)):
+                k = max(range(len(names)), key=lambda j: need[j] + carry[j])
+                taken[k] += 1
+                need[k] -= mean
+            out[(label, size)] = taken
+        carry = [c + d for c, d in zip(carry, need)]
     return out
 
 
