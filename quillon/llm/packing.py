@@ -9,6 +9,7 @@ underfull bins closes the fullest of them, which bounds the memory of every task
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Where the vocabulary files of public tokenizers lie; byte_bpe_50k counts the tokens unless another is named.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _ENCODERS: dict[str, object] = {}
+#: More than 10,000 characters of one kind of the pattern.
+_LONG_RUN = re.compile(r"\s{10001}|[^\W\d_]{10001}|\d{10001}|[^\w\s]{10001}")
 
 
 def encoder(path: str = VOCABULARY):
@@ -37,13 +40,22 @@ def encoder(path: str = VOCABULARY):
     return _ENCODERS[path]
 
 
+def count_tokens(enc, text: str) -> int:
+    """Tokens of a text. A text with a run of over 10,000 blanks, letters, digits or other signs, on which the pattern's
+    engine may fail, is counted in pieces of 10,000 characters; all its characters count."""
+    if _LONG_RUN.search(text):
+        text_pieces = [text[k : k + 10_000] for k in range(0, len(text), 10_000)]
+        return sum(len(enc.encode_ordinary(p)) for p in text_pieces)
+    return len(enc.encode_ordinary(text))
+
+
 def token_counts(documents: DataFrame, id_col: str, text_col: str, vocabulary: str) -> DataFrame:
     """(id, tokens): the number of tokens of every text, 0 for a null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode_ordinary
+        enc = encoder(vocabulary)
         for batch in batches:
-            counts = [len(encode(x)) if x else 0 for x in batch.column(1).to_pylist()]
+            counts = [(count_tokens(enc, x) if len(x) > 10_000 else len(enc.encode_ordinary(x))) if x else 0 for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["id", "tokens"])
 
     picked = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
