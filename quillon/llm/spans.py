@@ -27,8 +27,6 @@ from pyspark.sql import Window as W
 from quillon.llm.text import mix
 from quillon.session import stage
 
-#: Windows that one row holds at most.
-PART = 20_000
 _BASE = 0x2545F4914F6CDD1D  # odd, so that its powers have inverses modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -79,23 +77,20 @@ def compact_windows(points: np.ndarray, gram: int, span: int) -> tuple[np.ndarra
     return h[at], at, first, last + width - 1
 
 
-def text_windows(documents: DataFrame, id_col: str, text_col: str, gram: int, span: int) -> DataFrame:
+def text_windows(documents: DataFrame, id_col: str, text_col: str, gram: int, span: int, window_rows: int) -> DataFrame:
     """(id, text_key, n_chars, part, windows) of the texts with at least ``span`` characters; the windows of a long text are
-    spread over several parts."""
+    spread over several parts of ``window_rows`` windows."""
     picked = documents.select(
         F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.length(text_col).alias("n_chars"), F.col(text_col).cast("string").alias("text")
     ).where(F.col("n_chars") >= span)
     windows = pa.list_(pa.struct([("value", pa.int64()), ("at", pa.int32()), ("low", pa.int32()), ("high", pa.int32())]))
 
-    rows: list[tuple] = []
-    held = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal rows, held
-        parts = [(i, key, n, first // PART, *[c[first : first + PART] for c in found]) for i, key, n, found in rows for first in range(0, max(1, len(found[0])), PART)]
-        rows, held = [], 0
-        if not parts:
-            return
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        parts = [
+            (i, key, n, first // window_rows, *[c[first : first + window_rows] for c in found])
+            for i, key, n, found in rows
+            for first in range(0, max(1, len(found[0])), window_rows)
+        ]
         ids, keys, sizes, numbers, *columns = zip(*parts)
         value, at, low, high = (np.concatenate(c) for c in columns)
         structs = pa.StructArray.from_arrays(
@@ -103,20 +98,23 @@ def text_windows(documents: DataFrame, id_col: str, text_col: str, gram: int, sp
         )
         ends = np.cumsum([0, *[len(c) for c in columns[0]]]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), structs).cast(windows)
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(numbers, pa.int32()), lists], names=["id", "text_key", "n_chars", "part", "windows"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nonlocal held
+        rows: list[tuple] = []
+        held = 0
         for batch in batches:
-            for k, text in enumerate(batch.column(3).to_pylist()):
+            for i, key, n, text in zip(*(batch.column(c).to_pylist() for c in range(4))):
                 points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-                rows.append((batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].as_py(), compact_windows(points, gram, span)))
+                rows.append((i, key, n, compact_windows(points, gram, span)))
                 held += len(rows[-1][3][0])
-                if held >= PART:
-                    yield from flush()
-        yield from flush()
+                if held >= window_rows:
+                    yield packed(rows)
+                    rows, held = [], 0
+        if rows:
+            yield packed(rows)
 
     return picked.mapInArrow(run, "id long, text_key long, n_chars int, part int, windows array<struct<value:long,at:int,low:int,high:int>>")
 
@@ -213,6 +211,7 @@ def shared_spans(
     span: int = 300,
     gram: int = 200,
     hot: int = 64,
+    window_rows: int = 20_000,
     small: int = 1_000_000,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members ``(id, text_key, n_chars)``, links ``(a, b)`` between different texts that share a span, and the shared
@@ -221,7 +220,7 @@ def shared_spans(
     Texts shorter than ``span`` characters and nulls belong to nothing; equal texts share a text_key. Very long and
     repetitive texts are handled in time proportional to their length. An empty table gives empty results.
     """
-    held = stage(text_windows(documents, id_col, text_col, gram, span), "p8-windows")
+    held = stage(text_windows(documents, id_col, text_col, gram, span, window_rows), "p8-windows")
     members = held.where("part = 0").select("id", "text_key", "n_chars")
     windows = held.select("text_key", F.explode("windows").alias("w")).select("text_key", "w.value", "w.at", "w.low", "w.high")
     values = windows.groupBy("value").agg(F.min("text_key").alias("x"), F.max("text_key").alias("y")).where("x <> y").select("value")

@@ -133,12 +133,12 @@ def test_quota_below_ledger_drops_nothing(spark):
 def test_packing_keeps_every_token(spark):
     rng = random.Random(6)
     texts = [(i, " ".join(rng.choices(["rise", "fall", "noise", "café"], k=rng.choice([1, 3, 10, 30, 200])))) for i in range(400)]
-    texts += [(900, None), (901, ""), (902, "word " * 20_000), (903, "a" * 3000)]
+    texts += [(900, None), (901, ""), (902, "word " * 20_000), (903, "a" * 3000), (904, "x" + " " * 1_000_000 + "y")]
     df = spark.createDataFrame([(*t, "clash", 1) for t in texts], "doc_id long, text string, name string, part int")
     spec = spark.createDataFrame([(1, 32), (2, 256), (3, None), (4, 0)], "spec_id int, capacity_tokens int")
     out = packing.pack_texts(df, spec, slot_items=40).collect()
     enc = packing.encoder()
-    count = {i: len(enc.encode_ordinary(t)) if t else 0 for i, t in texts}
+    count = {i: packing.count_tokens(enc, t) if t else 0 for i, t in texts}
     for s, capacity in ((1, 32), (2, 256)):
         rows = [r for r in out if r.spec_id == s]
         held, parts = {}, {}
@@ -235,11 +235,11 @@ def make_documents(seed=9):
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("hot", [2, 64])
-def test_shared_spans_equal_brute_force(spark, hot):
+@pytest.mark.parametrize("hot,window_rows", [(2, 7), (64, 20_000), (64, 3)])
+def test_shared_spans_equal_brute_force(spark, hot, window_rows):
     docs = make_documents()
     df = spark.createDataFrame([(*d, 1, "k") for d in docs], "doc_id long, text string, id int, text_key string").repartition(6)
-    members, links, stretches = spans.shared_spans(df, hot=hot, small=10)
+    members, links, stretches = spans.shared_spans(df, hot=hot, small=10, window_rows=window_rows)
     runs = {}
     for k, t in docs:
         for s in range(len(t or "") - 299):
@@ -258,10 +258,9 @@ def test_shared_spans_equal_brute_force(spark, hot):
     assert share == {k: len(covered.get(k, ())) for k, t in docs if t and len(t) >= 300}
 
 
-def test_repetitive_texts_stay_small(spark, monkeypatch):
-    monkeypatch.setattr(spans, "PART", 1000)
+def test_repetitive_texts_stay_small(spark):
     docs = [(1, "x" * 300_000), (2, "y" + "x" * 200_000 + "z"), (3, "ab" * 50_000), (4, "q" + "ab" * 400)]
-    members, links, stretches = spans.shared_spans(spark.createDataFrame(docs, "doc_id long, text string"))
+    members, links, stretches = spans.shared_spans(spark.createDataFrame(docs, "doc_id long, text string"), window_rows=1000)
     assert {(r.doc_a, r.doc_b) for r in spans.span_pairs(members, links).collect()} == {(1, 2), (3, 4)}
     share = {r.doc_id: r.shared_chars for r in spans.shared_share(members, stretches).collect()}
     assert share == {1: 300_000, 2: 200_000, 3: 100_000, 4: 800}
