@@ -1,9 +1,9 @@
 """Resampling and rank statistics. Everything is reduced to sufficient statistics per cluster before it is resampled.
 
 ``bootstrap`` draws clusters with replacement by hashes of (seed, replicate, draw): conditions that share a cluster table
-share their draws, which makes differences paired. Its cost is replicates times clusters, as rows. For more clusters than
-can be numbered (one window per group), ``poisson_bootstrap`` weights every cluster independently in each replicate and
-needs no index, no join and only map-side sums.
+share their draws, which makes differences paired. Its cost is replicates times clusters, as rows to join. Where that is
+too much, ``poisson_bootstrap`` weights every cluster independently in each replicate and needs no index, no join and only
+map-side sums.
 """
 
 from __future__ import annotations
@@ -19,10 +19,16 @@ from quillon.functions.hashing import hash_int, uniform
 
 
 def bootstrap(clusters: DataFrame, group: list[str], cluster: str, sums: list[str], replicates: int, seed: int = 42) -> DataFrame:
-    """(group..., b, sums...): per replicate the sums over as many clusters as the group has, drawn with replacement."""
-    order = W.partitionBy(*group) if group else W.partitionBy(F.lit(1))
-    indexed = clusters.withColumn("idx", (F.row_number().over(order.orderBy(cluster)) - 1).cast("long"))
-    sizes = clusters.groupBy(*group).agg(F.count("*").alias("k"))
+    """(group..., b, sums...): per replicate the sums over as many clusters as the group has, drawn with replacement.
+
+    Clusters are numbered in the order of their digests, slice by slice, so no group is sorted by one task."""
+    keyed = clusters.withColumn("digest_", F.md5(F.col(cluster).cast("string"))).withColumn("slice_", F.substring("digest_", 1, 2))
+    counts = keyed.groupBy(*group, "slice_").agg(F.count("*").alias("n_"))  # at most 256 rows a group
+    within = W.partitionBy(*(group or [F.lit(1)]))
+    counts = counts.select(*group, "slice_", (F.sum("n_").over(within.orderBy("slice_")) - F.col("n_")).alias("before_"), F.sum("n_").over(within).alias("k"))
+    place = F.row_number().over(W.partitionBy(*group, "slice_").orderBy("digest_", cluster))
+    indexed = keyed.withColumn("nth_", place).join(counts.drop("k"), [*group, "slice_"]).withColumn("idx", (F.col("nth_") - 1 + F.col("before_")).cast("long"))
+    sizes = counts.select(*group, "k").distinct()
     draws = (
         sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
         .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))

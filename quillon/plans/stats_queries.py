@@ -87,7 +87,7 @@ def clusters(spark, sf):
 _PICK = "('0x' || substr(md5('42|' || b || '|' || j), 1, 12))::BIGINT % k"
 _BOOT = f"""{_S}, cl AS (SELECT component, sample_id, coalesce(sum(correct::INT) FILTER (probe_condition = 'swap'), 0) AS ss, count(*) FILTER (probe_condition = 'swap') AS sn,
   coalesce(sum(correct::INT) FILTER (probe_condition = 'random'), 0) AS rs, count(*) FILTER (probe_condition = 'random') AS rn FROM scores WHERE sample_id IS NOT NULL GROUP BY ALL),
-ix AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY sample_id) - 1 AS idx, count(*) OVER (PARTITION BY component) AS k FROM cl),
+ix AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY md5(sample_id), sample_id) - 1 AS idx, count(*) OVER (PARTITION BY component) AS k FROM cl),
 dr AS (SELECT component, k, b, unnest(range(0, k)) AS j FROM (SELECT DISTINCT component, k FROM ix), range(0, 100) t(b)),
 rep AS (SELECT d.component, b, sum(ss) AS ss, sum(sn) AS sn, sum(rs) AS rs, sum(rn) AS rn FROM (SELECT *, {_PICK} AS idx FROM dr) d JOIN ix ON ix.component = d.component AND ix.idx = d.idx GROUP BY ALL)"""
 
@@ -163,7 +163,7 @@ def did_independent(spark, sf):
 
 @query(f"""{_S}, cl AS (SELECT sample_id, coalesce(sum(margin) FILTER (probe_condition = 'swap' AND seed = lo), 0) AS a, count(*) FILTER (probe_condition = 'swap' AND seed = lo) AS an,
   coalesce(sum(margin) FILTER (probe_condition = 'random' AND seed = lo), 0) AS c, count(*) FILTER (probe_condition = 'random' AND seed = lo) AS cn FROM scores, (SELECT min(seed) AS lo FROM scores) WHERE sample_id IS NOT NULL GROUP BY sample_id),
-ix AS (SELECT *, row_number() OVER (ORDER BY sample_id) - 1 AS idx, count(*) OVER () AS k FROM cl),
+ix AS (SELECT *, row_number() OVER (ORDER BY md5(sample_id), sample_id) - 1 AS idx, count(*) OVER () AS k FROM cl),
 dr AS (SELECT k, b, unnest(range(0, k)) AS j FROM (SELECT DISTINCT k FROM ix), range(0, 60) t(b)),
 rep AS (SELECT b, sum(a) / sum(an) AS m1, sum(c) / sum(cn) AS m2 FROM (SELECT b, {_PICK} AS idx FROM dr) d JOIN ix USING (idx) GROUP BY b HAVING sum(an) > 0 AND sum(cn) > 0)
 SELECT count(*) AS n_rep, round(quantile_cont(m1 - m2, 0.025), 6) AS low, round(quantile_cont(m1 - m2, 0.975), 6) AS high FROM rep""")
@@ -276,7 +276,7 @@ def spearman_pairs(spark, sf):
     return r.groupBy("component").agg(F.count("*").alias("n"), rounded(I.correlation("a", "b"), 5).alias("pearson"), rounded(I.correlation("ra", "rb"), 5).alias("spearman")).where("n >= 3")
 
 
-@query(f"""{_UP}, ix AS (SELECT a, b, row_number() OVER (ORDER BY component || '#' || pair) - 1 AS idx, count(*) OVER () AS k FROM u),
+@query(f"""{_UP}, ix AS (SELECT a, b, row_number() OVER (ORDER BY md5(component || '#' || pair), component || '#' || pair) - 1 AS idx, count(*) OVER () AS k FROM u),
 dr AS (SELECT k, b AS rep, unnest(range(0, k)) AS j FROM (SELECT DISTINCT k FROM ix), range(0, 50) t(b)),
 rp AS (SELECT rep, corr(a, b) AS r FROM (SELECT rep, ('0x' || substr(md5('42|' || rep || '|' || j), 1, 12))::BIGINT % k AS idx FROM dr) d JOIN ix USING (idx) GROUP BY rep)
 SELECT count(*) AS n_rep, round(quantile_cont(r, 0.025), 5) AS low, round(quantile_cont(r, 0.975), 5) AS high FROM rp WHERE r IS NOT NULL AND NOT isnan(r)""")
