@@ -16,19 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillon.functions.hashing import hash_int, uniform
+from quillon.operators.sampling import hash_ranks
 
 
 def bootstrap(clusters: DataFrame, group: list[str], cluster: str, sums: list[str], replicates: int, seed: int = 42) -> DataFrame:
     """(group..., b, sums...): per replicate the sums over as many clusters as the group has, drawn with replacement.
 
     Clusters are numbered in the order of their digests, slice by slice, so no group is sorted by one task."""
-    keyed = clusters.withColumn("digest_", F.md5(F.col(cluster).cast("string"))).withColumn("slice_", F.substring("digest_", 1, 2))
-    counts = keyed.groupBy(*group, "slice_").agg(F.count("*").alias("n_"))  # at most 256 rows a group
-    within = W.partitionBy(*(group or [F.lit(1)]))
-    counts = counts.select(*group, "slice_", (F.sum("n_").over(within.orderBy("slice_")) - F.col("n_")).alias("before_"), F.sum("n_").over(within).alias("k"))
-    place = F.row_number().over(W.partitionBy(*group, "slice_").orderBy("digest_", cluster))
-    indexed = keyed.withColumn("nth_", place).join(counts.drop("k"), [*group, "slice_"]).withColumn("idx", (F.col("nth_") - 1 + F.col("before_")).cast("long"))
-    sizes = counts.select(*group, "k").distinct()
+    indexed = hash_ranks(clusters, group, cluster, None).withColumn("idx", F.col("nth") - 1)
+    sizes = clusters.groupBy(*group).agg(F.count("*").alias("k"))
     draws = (
         sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
         .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
