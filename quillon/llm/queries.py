@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import canonical, leakage, nearedits, overlap, packing, sample, spans, splits, sql
-from quillon.session import read_table
+from quillon.session import kept_folder, read_table
 
 #: Times at which the growing sample of problem 5 is extended; the last step takes everything.
 CUTOFFS = ["2031-10-01 00:00:00", "2032-04-01 00:00:00", "2032-10-01 00:00:00", "2033-04-01 00:00:00"]
@@ -63,7 +63,15 @@ def p4_balance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return sample.grow_sample(read_table(spark, sf, "pairs"), CUTOFFS)
+    """The sample with its ledger kept below the shared folder, one ledger for each data folder."""
+    return sample.grow_sample(read_table(spark, sf, "pairs"), CUTOFFS, folder=kept_folder(spark, "p5-ledger", sf.rstrip("/")))
+
+
+def p5_sample_closed(spark: SparkSession, sf: str) -> DataFrame:
+    """The sample as of the latest half-yearly cut-off that the table has reached: rebuilt from the table alone, it keeps
+    its keys whenever later rows arrive. Keys first loaded after that cut-off, or without a time, wait for the next."""
+    pairs = read_table(spark, sf, "pairs")
+    return sample.grow_sample(pairs, sample.closed_cutoffs(pairs, CUTOFFS), open_step=False)
 
 
 def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,7 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             p1_found, p1_overlap_by_split, p2_found, p2_groups, p3_found, p3_records, p4_found, p4_splits, p4_balance,
-            p5_sample, p6_containers, p6_fill, p7_found, p7_leaks, p8_found, p8_shared,
+            p5_sample, p5_sample_closed, p6_containers, p6_fill, p7_found, p7_leaks, p8_found, p8_shared,
         )
     }
 

@@ -1,12 +1,15 @@
 """Problem 5: a reproducible sample that stays stable as data grows.
 
-Method: a persisted ledger of selected keys. Each growth step keeps all earlier keys by a join and fills the grown
-quota of its stratum from the keys not yet in the ledger, lowest hash priority first. The cut-off priority is found
+Method: a ledger of selected keys in a folder that outlives the process. It is read first and only appended to: each
+growth step keeps all earlier keys by a join and fills the grown quota of its stratum from the keys not yet in the ledger,
+lowest hash priority first. Without a ledger, only steps at times that the table has reached can be rebuilt alike. The cut-off priority is found
 from a histogram of priorities (bounded length), so no stratum is ever sorted as a whole.
 """
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -22,7 +25,8 @@ def sample_keys(records: DataFrame, salt: str = "s1") -> DataFrame:
 
     The key joins the sample's name and the caption id, both regardless of case, slashes and outer blanks, so repeated
     rows are one key; the sample's name is that of sample_id or, if null, the one before the last ``#`` of caption_id.
-    Rows without caption_id are left out. The stratum of a key is the smallest of its datasets.
+    Rows without caption_id are left out. The stratum of a key is the dataset of its first loaded row (of several the
+    smallest; null times last), so rows that come later do not move it.
     """
     name = F.coalesce(sample_name(F.col("sample_id")), caption_sample(F.col("caption_id")), F.lit(""))
     keyed = records.where("caption_id is not null").select(
@@ -32,7 +36,7 @@ def sample_keys(records: DataFrame, salt: str = "s1") -> DataFrame:
         "pair_no",
     )
     return keyed.groupBy("key").agg(
-        F.min("dataset").alias("stratum"),
+        F.min_by("dataset", F.struct(F.col("loaded_at").isNull(), "loaded_at", "dataset")).alias("stratum"),
         F.min("loaded_at").alias("first_loaded"),
         F.min("pair_no").alias("keep_no"),
         F.count("*").alias("n_rows"),
@@ -44,8 +48,12 @@ def empty_ledger(spark) -> DataFrame:
 
 
 def extend_ledger(ledger: DataFrame, keys: DataFrame, per_mille: int, step: int) -> DataFrame:
-    """The ledger after ``keys(stratum, key, priority)`` have become known: every earlier entry, and from unseen keys
-    those of lowest priority until each stratum holds per_mille in a thousand of its known keys, rounded up.
+    """The ledger after ``keys(stratum, key, priority)`` have become known: every earlier entry and the new ones."""
+    return ledger.unionByName(new_entries(ledger, keys, per_mille, step))
+
+
+def new_entries(ledger: DataFrame, keys: DataFrame, per_mille: int, step: int) -> DataFrame:
+    """What ``keys(stratum, key, priority)`` add to the ledger once they have become known: of the unseen keys those of lowest priority until each stratum holds per_mille in a thousand of its known keys, rounded up.
 
     A quota below what the ledger holds selects nothing and drops nothing. Keys equal to ledger keys count as known
     whatever their stratum. Priorities are hex strings; their first four digits are the histogram's buckets."""
@@ -61,25 +69,41 @@ def extend_ledger(ledger: DataFrame, keys: DataFrame, per_mille: int, step: int)
     all_in = fresh.where("room >= n")
     cut = fresh.where("room < n").withColumn("nth", F.row_number().over(W.partitionBy("stratum", "bucket").orderBy("priority", "key"))).where("nth <= room")
     new = all_in.select("stratum", "key", "priority").unionByName(cut.select("stratum", "key", "priority"))
-    return ledger.unionByName(new.withColumn("step", F.lit(step)))
+    return new.withColumn("step", F.lit(step))
+
+
+def closed_cutoffs(records: DataFrame, cutoffs: list[str], months: int = 6) -> list[str]:
+    """The cut-offs that the table has reached, carried on every ``months`` months up to its latest ``loaded_at``.
+
+    Rows loaded later than all of the table cannot fall before any of them."""
+    latest = records.agg(F.max("loaded_at").cast("string")).first()[0]
+    if latest is None:
+        return []
+    out, last = list(cutoffs), datetime.fromisoformat(cutoffs[-1])
+    while out[-1] <= latest:
+        last = last.replace(year=last.year + (last.month - 1 + months) // 12, month=(last.month - 1 + months) % 12 + 1)
+        out.append(str(last))
+    return [c for c in out if c <= latest]
 
 
 def grow_sample(
-    records: DataFrame, cutoffs: list[str], per_mille: int = 100, salt: str = "s1", folder: str | None = None
+    records: DataFrame, cutoffs: list[str], per_mille: int = 100, salt: str = "s1", folder: str | None = None, open_step: bool = True
 ) -> DataFrame:
     """The ledger (stratum, key, priority, step, keep_no, n_rows) after rows arrived in order of ``loaded_at``.
 
-    Step k sees the keys first loaded before ``cutoffs[k]``; a last step sees all, null times included. Every step's
-    ledger is written below ``folder`` (default: the shared folder) and read again by the next. An empty table gives an
+    Step k sees the keys first loaded before ``cutoffs[k]``; a last step, unless ``open_step`` is false, sees all, null
+    times included. ``folder`` holds the ledger: what is in it is read first and kept, and every step appends to it, so
+    equal input adds nothing. Without a folder the ledger starts empty; then a step that sees rows up to a time the table
+    has not reached, as the last one does, is filled anew from a grown table and may drop keys. An empty table gives an
     empty ledger; rows of a key that come later never change whether it is selected.
     """
     spark = records.sparkSession
     keys = stage(sample_keys(records, salt), "p5-keys")
+    ledger = spark.read.schema(_LEDGER).parquet(folder) if folder else empty_ledger(spark)
     folder = folder or new_folder(spark, "p5-ledger")
-    ledger = empty_ledger(spark)
-    for step in range(len(cutoffs) + 1):
+    for step in range(len(cutoffs) + open_step):
         seen = keys if step == len(cutoffs) else keys.where(F.col("first_loaded") < F.lit(cutoffs[step]).cast(keys.schema["first_loaded"].dataType))
-        path = f"{folder}/step={step}"
-        extend_ledger(ledger, seen.select("stratum", "key", "priority"), per_mille, step).write.mode("overwrite").parquet(path)
-        ledger = spark.read.schema(_LEDGER).parquet(path)
+        new = new_entries(ledger, seen.select("stratum", "key", "priority"), per_mille, step)
+        new.write.mode("append").parquet(folder)
+        ledger = spark.read.schema(_LEDGER).parquet(folder)
     return ledger.join(keys.select("key", "keep_no", "n_rows"), "key")

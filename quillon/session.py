@@ -8,6 +8,7 @@ so that an expensive scan (tokenising, signatures) runs once however often its c
 from __future__ import annotations
 
 import atexit
+import hashlib
 import os
 import tempfile
 import uuid
@@ -42,6 +43,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def kept_folder(spark: SparkSession, name: str, key: str) -> str:
+    """The folder of ``key`` below the shared one, created if missing; the same in every process and never removed."""
+    folder = f"{work_folder(spark)}/quillon-kept/{name}-{hashlib.md5(key.encode()).hexdigest()[:16]}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+    return folder
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of what was written."""
     spark = df.sparkSession

@@ -130,6 +130,47 @@ def test_quota_below_ledger_drops_nothing(spark):
     assert sample.extend_ledger(ledger, keys, 100, 1).count() == 10
 
 
+def growing_pairs(spark, n=3000):
+    from datetime import datetime, timedelta
+
+    rng = random.Random(11)
+    at = lambda: datetime(2031, 1, 1) + timedelta(minutes=rng.randrange(1_400_000))  # noqa: E731  to August 2033
+    rows = [(i, None, f"S{i % 2500}", f"s{i % 2500}#1", None, rng.choice(["d1", "d2"]), at(), "", "", "") for i in range(n)]
+    return spark.createDataFrame(rows, PAIRS)
+
+
+BETWEEN = ["2031-12-20", "2032-07-01", "2033-01-15", "2033-06-01", "2034-01-01"]
+
+
+def test_kept_ledger_drops_nothing_between_cutoffs(spark, tmp_path):
+    from quillon.llm import queries as Q
+    from quillon.session import remove_stages
+
+    whole, held = growing_pairs(spark), {}
+    for until in BETWEEN:
+        whole.where(F.col("loaded_at") < until).write.mode("overwrite").parquet(f"{tmp_path}/pairs.parquet")
+        now = {r.key: (r.stratum, r.step) for r in Q.p5_sample(spark, str(tmp_path)).collect()}
+        assert held.items() <= now.items() and len(now) > len(held)
+        remove_stages()  # as at the end of the process
+        assert {r.key: (r.stratum, r.step) for r in Q.p5_sample(spark, str(tmp_path)).collect()} == now
+        held = now
+
+
+def test_closed_steps_are_rebuilt_alike(spark):
+    from quillon.llm import queries as Q
+
+    whole, held = growing_pairs(spark), set()
+    for until in ["2031-05-01", *BETWEEN]:
+        known = whole.where(F.col("loaded_at") < until)
+        now = {(r.key, r.stratum, r.step) for r in sample.grow_sample(known, sample.closed_cutoffs(known, Q.CUTOFFS), open_step=False).collect()}
+        assert held <= now
+        held = now
+    assert len({step for *_, step in held}) == 4
+    assert sample.closed_cutoffs(whole.limit(0), Q.CUTOFFS) == []
+    late = whole.withColumn("loaded_at", F.lit("2034-05-01 00:00:00").cast("timestamp"))
+    assert sample.closed_cutoffs(late, Q.CUTOFFS)[3:] == ["2033-04-01 00:00:00", "2033-10-01 00:00:00", "2034-04-01 00:00:00"]
+
+
 def test_packing_keeps_every_token(spark):
     rng = random.Random(6)
     texts = [(i, " ".join(rng.choices(["rise", "fall", "noise", "café"], k=rng.choice([1, 3, 10, 30, 200])))) for i in range(400)]
