@@ -62,7 +62,8 @@ def order_label(t: Column) -> Column:
 
 def matched(t: Column, patterns: list[str]) -> Column:
     """The patterns of a list that occur in a text as whole words, in list order."""
-    return F.filter(F.array(*map(F.lit, patterns)), lambda p: F.regexp_like(t, F.concat(F.lit(r"(?i)\b(?:"), p, F.lit(r")\b"))))
+    # constant patterns, so that each is compiled once and not again for every text
+    return F.array_compact(F.array(*[F.when(F.regexp_like(t, F.lit(V.either([p]))), F.lit(p)) for p in patterns]))
 
 
 def description_bucket(t: Column) -> Column:
