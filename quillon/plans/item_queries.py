@@ -46,33 +46,65 @@ ch AS (SELECT item_key, arg_min(new_clause, md5('42|' || item_key || '|' || near
 gen AS (SELECT it.*, new_clause, array_to_string(list_concat(s[1:len(s) - 1], [new_clause]), ' ') AS distractor, array_to_string(s, ' ') AS correct FROM it JOIN ch USING (item_key))"""
 
 
-def generated(spark, sf):
-    """Swap items of the fluctuation slot: both directions, five items per direction, a clause of the target put in."""
-    dirs = I.both_directions(read_table(spark, sf, "component_pairs").where("slot = 'fluct'"))
-    it = labelled(spark, sf).where("size(s) >= 2").join(F.broadcast(dirs), F.col("fluct") == F.col("source"))
-    it = it.select(F.concat_ws("|", "component", "pair_no", "target").alias("item_key"), "component", "slot", "source", "target", "s", F.element_at("s", -1).alias("clause"))
+def generated(spark, sf, slots=("fluct", "shape")):
+    """Swap items: both directions, five items per direction, a clause of the target put in for the caption's last
+    sentence (fluctuation) or its first (shape)."""
+    dirs = I.both_directions(read_table(spark, sf, "component_pairs").where(F.col("slot").isin(*slots)))
+    parts = F.array(
+        F.struct(F.lit("fluct").alias("slot"), F.col("fluct").alias("source"), F.element_at("s", -1).alias("clause")),
+        F.struct(F.lit("shape").alias("slot"), F.col("shape").alias("source"), F.element_at("s", 1).alias("clause")),
+    )
+    it = labelled(spark, sf).where("size(s) >= 2").select("pair_no", "s", F.inline(parts)).join(F.broadcast(dirs), ["slot", "source"])
+    it = it.select(F.concat_ws("|", "component", "pair_no", "target").alias("item_key"), "component", "slot", "source", "target", "s", "clause")
     it = S.sample_per_group(it, ["component", "source", "target"], "item_key", 5).drop("pick")
     chosen = I.closest_clause(it, pools(spark, sf))
-    return it.join(chosen, "item_key").withColumns(
-        {"distractor": F.array_join(F.concat(F.slice("s", F.lit(1), F.size("s") - 1), F.array("new_clause")), " "), "correct": F.array_join("s", " ")}
+    new, others = F.array("new_clause"), F.size("s") - 1
+    swapped = F.when(F.col("slot") == "shape", F.concat(new, F.slice("s", F.lit(2), others))).otherwise(F.concat(F.slice("s", F.lit(1), others), new))
+    return it.join(chosen, "item_key").withColumn("swapped", swapped).withColumns({"distractor": F.array_join("swapped", " "), "correct": F.array_join("s", " ")})
+
+
+def validated(items):
+    differing = F.size(F.filter(F.zip_with("s", "swapped", lambda a, b: a != b), lambda x: x))
+    return items.groupBy("component").agg(
+        F.count("*").alias("n"), F.count_if(F.col("correct") == F.col("distractor")).alias("n_identical"), F.count_if(F.size(T.sentences(F.col("distractor"))) != F.size("s")).alias("n_other_length"), F.count_if(differing == 1).alias("n_one_clause")
     )
 
 
 @query(f"WITH {_ITEMS} SELECT item_key, component, source, target, new_clause, distractor FROM gen")
 def swap_items(spark, sf):
-    """ITM-02, ITM-03, WIN-14, JON-11: clause substitution with quota and hash pick."""
-    return generated(spark, sf).select("item_key", "component", "source", "target", "new_clause", "distractor")
+    """ITM-02, ITM-03, WIN-14, JON-11: clause substitution with quota and hash pick; the fluctuation slot only, as its
+    SQL; both slots are in swap_items_all."""
+    return generated(spark, sf, ["fluct"]).select("item_key", "component", "source", "target", "new_clause", "distractor")
 
 
 @query(f"""WITH {_ITEMS} SELECT component, count(*) AS n, count(*) FILTER (correct = distractor) AS n_identical, count(*) FILTER (len({_SENT.format('distractor')}) <> len(s)) AS n_other_length,
   count(*) FILTER (list_sum(list_transform(range(1, len(s) + 1), lambda i: (s[i] <> list_concat(s[1:len(s) - 1], [new_clause])[i])::INT)) = 1) AS n_one_clause FROM gen GROUP BY component""")
 def item_validate(spark, sf):
-    """ITM-04: no identity, same sentence count, exactly one differing clause."""
-    other = F.concat(F.slice("s", F.lit(1), F.size("s") - 1), F.array("new_clause"))
-    differing = F.size(F.filter(F.zip_with("s", other, lambda a, b: a != b), lambda x: x))
-    return generated(spark, sf).groupBy("component").agg(
-        F.count("*").alias("n"), F.count_if(F.col("correct") == F.col("distractor")).alias("n_identical"), F.count_if(F.size(T.sentences(F.col("distractor"))) != F.size("s")).alias("n_other_length"), F.count_if(differing == 1).alias("n_one_clause")
-    )
+    """ITM-04: no identity, same sentence count, exactly one differing clause; the fluctuation slot only, as its SQL; both
+    slots are in item_validate_all."""
+    return validated(generated(spark, sf, ["fluct"]))
+
+
+_ITEMS_ALL = f"""{_POOLS}, dirs AS (SELECT component, slot, value_a AS source, value_b AS target FROM component_pairs UNION ALL SELECT component, slot, value_b, value_a FROM component_pairs),
+it0 AS (SELECT component || '|' || pair_no || '|' || target AS item_key, component, d.slot, source, target, s, CASE d.slot WHEN 'shape' THEN s[1] ELSE s[len(s)] END AS clause
+  FROM lab JOIN dirs d ON CASE d.slot WHEN 'shape' THEN lab.shape ELSE lab.fluct END = d.source WHERE len(s) >= 2),
+it AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY component, source, target ORDER BY md5('42|' || item_key), item_key) AS pick FROM it0) WHERE pick <= 5),
+c AS (SELECT item_key, p.clause AS new_clause, row_number() OVER (PARTITION BY item_key ORDER BY abs(length(p.clause) - length(it.clause)), p.clause) AS near FROM it JOIN pools p ON p.slot = it.slot AND p.value = it.target),
+ch AS (SELECT item_key, arg_min(new_clause, md5('42|' || item_key || '|' || near)) AS new_clause FROM c WHERE near <= 3 GROUP BY item_key),
+gen AS (SELECT it.*, new_clause, CASE it.slot WHEN 'shape' THEN list_concat([new_clause], s[2:]) ELSE list_concat(s[1:len(s) - 1], [new_clause]) END AS swapped, array_to_string(swapped, ' ') AS distractor, array_to_string(s, ' ') AS correct FROM it JOIN ch USING (item_key))"""
+
+
+@query(f"WITH {_ITEMS_ALL} SELECT item_key, component, slot, source, target, new_clause, distractor FROM gen")
+def swap_items_all(spark, sf):
+    """ITM-02, ITM-03, WIN-14, JON-11: clause substitution in both slots with quota and hash pick."""
+    return generated(spark, sf).select("item_key", "component", "slot", "source", "target", "new_clause", "distractor")
+
+
+@query(f"""WITH {_ITEMS_ALL} SELECT component, count(*) AS n, count(*) FILTER (correct = distractor) AS n_identical, count(*) FILTER (len({_SENT.format('distractor')}) <> len(s)) AS n_other_length,
+  count(*) FILTER (list_sum(list_transform(range(1, len(s) + 1), lambda i: (s[i] <> swapped[i])::INT)) = 1) AS n_one_clause FROM gen GROUP BY component""")
+def item_validate_all(spark, sf):
+    """ITM-04: no identity, same sentence count, exactly one differing clause, over the items of both slots."""
+    return validated(generated(spark, sf))
 
 
 @query("""WITH i AS (SELECT item_id, swap_from AS a, component AS b FROM probe1_items WHERE swap_from IS NOT NULL), c AS (SELECT a, b, arg_min(item_id, md5('42|' || item_id)) AS partner FROM i GROUP BY a, b),
