@@ -180,12 +180,25 @@ def nearest_series(spark, sf):
 @query("""WITH c AS (SELECT component || ':' || value_a || '/' || value_b AS pair, value_a, value_b FROM component_pairs WHERE slot = 'fluct'), l AS (SELECT pair_no, trim(lower(split_part(class_label, ';', 1)), ' ') AS f FROM pairs WHERE class_label IS NOT NULL)
 SELECT pair, count(*) AS n, count(*) FILTER (f = value_a) AS n_a FROM c JOIN l ON f = value_a OR f = value_b GROUP BY pair HAVING count(*) >= 2""")
 def pair_populations(spark, sf):
-    """JON-17, FLT-06, O17: population of either label of each pair; the OR-join as an exploded equi-join."""
+    """JON-17, FLT-06, O17: population of either label of each pair; the OR-join as an exploded equi-join. The fluctuation
+    pairs only, as its SQL; all pairs are in pair_populations_all."""
     c = read_table(spark, sf, "component_pairs").where("slot = 'fluct'").select(F.concat("component", F.lit(":"), "value_a", F.lit("/"), "value_b").alias("pair"), "value_a", F.explode(F.array("value_a", "value_b")).alias("f"))
     label = read_table(spark, sf, "pairs").where("class_label is not null").select(F.trim(F.lower(F.split_part("class_label", F.lit(";"), F.lit(1)))).alias("f"))
     return label.join(F.broadcast(c), "f").groupBy("pair").agg(F.count("*").alias("n"), F.count_if(F.col("f") == F.col("value_a")).alias("n_a")).where("n >= 2")
 
 
+@query("""WITH c AS (SELECT component || ':' || value_a || '/' || value_b AS pair, slot, value_a, value_b FROM component_pairs),
+l AS (SELECT pair_no, trim(lower(split_part(class_label, ';', 1)), ' ') AS fluct, trim(lower(split_part(class_label, ';', 2)), ' ') AS shape FROM pairs WHERE class_label IS NOT NULL),
+p AS (SELECT pair, slot, value_a, CASE slot WHEN 'shape' THEN shape ELSE fluct END AS v FROM c JOIN l ON CASE slot WHEN 'shape' THEN shape ELSE fluct END IN (value_a, value_b))
+SELECT pair, slot, count(*) AS n, count(*) FILTER (v = value_a) AS n_a FROM p GROUP BY pair, slot HAVING count(*) >= 2""")
+def pair_populations_all(spark, sf):
+    """JON-17, FLT-06, O17: population of either label of each pair of both slots, each matched with its part of the label."""
+    c = read_table(spark, sf, "component_pairs").select(F.concat("component", F.lit(":"), "value_a", F.lit("/"), "value_b").alias("pair"), "slot", "value_a", F.explode(F.array("value_a", "value_b")).alias("v"))
+    part = lambda slot, k: F.struct(F.lit(slot).alias("slot"), F.trim(F.lower(F.split_part("class_label", F.lit(";"), F.lit(k)))).alias("v"))
+    label = read_table(spark, sf, "pairs").where("class_label is not null").select(F.inline(F.array(part("fluct", 1), part("shape", 2))))
+    return label.join(F.broadcast(c), ["slot", "v"]).groupBy("pair", "slot").agg(F.count("*").alias("n"), F.count_if(F.col("v") == F.col("value_a")).alias("n_a")).where("n >= 2")
+
+
 @query("""WITH a AS (SELECT idx, component, sample_id, swap_to, clause_replaced_to FROM manual_validation_sample), b AS (SELECT component, sample_id, swap_to, clause_replaced_to AS c2, item_id FROM probe1_items WHERE probe_condition = 'swap')
 SELECT idx, count(item_id) AS n_items, count(*) FILTER (c2 IS NOT DISTINCT FROM clause_replaced_to AND item_id IS NOT NULL) AS n_same FROM a LEFT JOIN b USING (component, sample_id, swap_to) GROUP BY idx""")
 def verify_rebuilt_keys(spark, sf):
