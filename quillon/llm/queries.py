@@ -102,8 +102,17 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_shared(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of every document; those without text or shorter than a span share nothing."""
+    documents = read_table(spark, sf, "documents")
+    members, _, stretches = spans.shared_spans(documents)
+    share = spans.shared_share(members, stretches).select("doc_id", "shared_chars", "share")
+    n = F.coalesce(F.length("text"), F.lit(0)).alias("n_chars")
+    return documents.select("doc_id", n).join(share, "doc_id", "left").na.fill(0, ["shared_chars", "share"])
+
+
+def p8_stretches(spark: SparkSession, sf: str) -> DataFrame:
     members, _, stretches = spans.shared_spans(read_table(spark, sf, "documents"))
-    return spans.shared_share(members, stretches)
+    return spans.document_stretches(members, stretches)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -111,7 +120,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             p1_found, p1_overlap_by_split, p2_found, p2_groups, p3_found, p3_records, p4_found, p4_splits, p4_balance,
-            p5_sample, p5_sample_closed, p6_containers, p6_fill, p7_found, p7_leaks, p8_found, p8_shared,
+            p5_sample, p5_sample_closed, p6_containers, p6_fill, p7_found, p7_leaks, p8_found, p8_shared, p8_stretches,
         )
     }
 

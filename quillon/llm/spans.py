@@ -276,6 +276,20 @@ def span_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
 
 
+def document_stretches(members: DataFrame, stretches: DataFrame) -> DataFrame:
+    """(doc_id, start, end): the stretches of each document that occur in another one too, overlapping and touching ones
+    merged, end exclusive; a document with an equal twin is one stretch."""
+    order = W.partitionBy("text_key").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    opens = stretches.select("text_key", "start", "end", (F.col("start") > F.coalesce(reach, F.lit(-1))).cast("int").alias("opens"))
+    merged = opens.withColumn("nth", F.sum("opens").over(order)).groupBy("text_key", "nth").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    twins = members.groupBy("text_key").agg(F.count("*").alias("k"))
+    known = members.join(twins, "text_key")
+    whole = known.where("k > 1").select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("start"), F.col("n_chars").cast("long").alias("end"))
+    parts = known.where("k = 1").join(merged, "text_key").select(F.col("id").alias("doc_id"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    return whole.unionByName(parts)
+
+
 def shared_share(members: DataFrame, stretches: DataFrame) -> DataFrame:
     """(doc_id, n_chars, shared_chars, share): how much of each document of ``span`` characters or more occurs in
     another document too. Overlapping stretches count once; a document with an equal twin is shared as a whole."""

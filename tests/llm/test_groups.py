@@ -299,6 +299,30 @@ def test_shared_spans_equal_brute_force(spark, hot, window_rows):
     assert share == {k: len(covered.get(k, ())) for k, t in docs if t and len(t) >= 300}
 
 
+def test_stretches_and_shares_of_every_document(spark, tmp_path):
+    from quillon.llm import queries as Q
+
+    docs = make_documents()
+    docs += [(90_001, None), (90_002, "short"), (90_003, ""), (90_004, "w" * 5 + "0123456789" * 40), (90_005, "0123456789" * 40 + "v")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    runs = {}
+    for k, t in docs:
+        for s in range(len(t or "") - 299):
+            runs.setdefault(t[s : s + 300], {}).setdefault(k, []).append(s)
+    covered = {}
+    for where in runs.values():
+        if len(where) > 1:
+            for k, starts in where.items():
+                for s in starts:
+                    covered.setdefault(k, set()).update(range(s, s + 300))
+    want = set()
+    for k, at in covered.items():
+        want |= {(k, s, min(e for e in at if e >= s and e + 1 not in at) + 1) for s in at if s - 1 not in at}
+    assert {tuple(r) for r in Q.p8_stretches(spark, str(tmp_path)).collect()} == want
+    got = {r.doc_id: (r.n_chars, r.shared_chars, r.share) for r in Q.p8_shared(spark, str(tmp_path)).collect()}
+    assert got == {k: (len(t or ""), len(covered.get(k, ())), round(len(covered.get(k, ())) / len(t), 6) if t else 0) for k, t in docs}
+
+
 def test_repetitive_texts_stay_small(spark):
     docs = [(1, "x" * 300_000), (2, "y" + "x" * 200_000 + "z"), (3, "ab" * 50_000), (4, "q" + "ab" * 400)]
     members, links, stretches = spans.shared_spans(spark.createDataFrame(docs, "doc_id long, text string"), window_rows=1000)
