@@ -342,8 +342,21 @@ _W = 25
 m AS (SELECT sample_id, p, v, sum(v) OVER (PARTITION BY sample_id ORDER BY p ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) / 25 AS ma FROM l)
 SELECT sample_id, round(max(ma), 6) AS top, round(min(ma), 6) AS bottom, round(avg(abs(v - ma)), 6) AS rough FROM m GROUP BY sample_id""")
 def moving_average(spark, sf):
-    """WIN-10: centred moving average with zero-padded edges: the window's sum over its nominal width."""
-    long = B.pool(spark, sf).where("size(x) >= 100").select("sample_id", F.posexplode("x").alias("p", "v"))
+    """WIN-10: centred moving average with zero-padded edges: the window's sum over its nominal width. Series of 100 values
+    or more, as its SQL; all are in moving_average_all."""
+    return averaged(B.pool(spark, sf).where("size(x) >= 100"))
+
+
+@query(f"""{_P}, l AS (SELECT sample_id, unnest(x) AS v, generate_subscripts(x, 1) AS p FROM pool),
+m AS (SELECT sample_id, p, v, sum(v) OVER (PARTITION BY sample_id ORDER BY p ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) / 25 AS ma FROM l)
+SELECT sample_id, round(max(ma), 6) AS top, round(min(ma), 6) AS bottom, round(avg(abs(v - ma)), 6) AS rough FROM m GROUP BY sample_id""")
+def moving_average_all(spark, sf):
+    """WIN-10: the same of every series, shorter ones padded likewise."""
+    return averaged(B.pool(spark, sf))
+
+
+def averaged(series):
+    long = series.select("sample_id", F.posexplode("x").alias("p", "v"))
     w = W.partitionBy("sample_id").orderBy("p").rowsBetween(-(_W // 2), _W // 2)
     ma = long.withColumn("ma", F.sum("v").over(w) / _W)
     return ma.groupBy("sample_id").agg(

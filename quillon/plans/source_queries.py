@@ -79,9 +79,19 @@ def sheet_roundtrip(spark, sf):
 
 @query("SELECT item_id AS id FROM probe1_items WHERE md5(item_id) < '3'")
 def id_list_roundtrip(spark, sf):
-    """SRC-10, SNK-08: id list with comments."""
+    """SRC-10, SNK-08: id list with comments, of the ids that its SQL takes; all are in id_list_roundtrip_all."""
+    return id_list(spark, read_table(spark, sf, "probe1_items").where(F.md5("item_id") < "3"))
+
+
+@query("SELECT item_id AS id FROM probe1_items")
+def id_list_roundtrip_all(spark, sf):
+    """SRC-10, SNK-08: id list of all items with comments."""
+    return id_list(spark, read_table(spark, sf, "probe1_items"))
+
+
+def id_list(spark, items):
     path = new_folder(spark, "ids")
-    ids = read_table(spark, sf, "probe1_items").where(F.md5("item_id") < "3").select(F.explode(F.array(F.concat("item_id", F.lit("  # defect")), F.lit("# a comment"), F.lit(""))).alias("value"))
+    ids = items.select(F.explode(F.array(F.concat("item_id", F.lit("  # defect")), F.lit("# a comment"), F.lit(""))).alias("value"))
     ids.write.text(path)
     return R.id_list(spark, path)
 

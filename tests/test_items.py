@@ -21,3 +21,13 @@ def test_both_slots_yield_items(spark, tmp_path):
     }
     checked = {tuple(r) for r in registry.queries()["item_validate_all"](spark, str(tmp_path)).collect()}
     assert checked == {("C1", 2, 0, 0, 2), ("C4", 2, 0, 0, 2)}
+
+
+def test_all_ids_and_all_series(spark, tmp_path):
+    ids = [f"c|s{i}|swap" for i in range(40)]
+    spark.createDataFrame([(i,) for i in ids], "item_id string").write.parquet(f"{tmp_path}/probe1_items.parquet")
+    series = [(1, "short", [25.0, 50.0]), (2, "long", [25.0] * 100)]
+    spark.createDataFrame(series, "pair_no long, sample_id string, series array<double>").write.parquet(f"{tmp_path}/pairs.parquet")
+    assert sorted(r.id for r in registry.queries()["id_list_roundtrip_all"](spark, str(tmp_path)).collect()) == sorted(ids)
+    got = {r.sample_id: (r.top, r.bottom) for r in registry.queries()["moving_average_all"](spark, str(tmp_path)).collect()}
+    assert got == {"short": (3.0, 3.0), "long": (25.0, 13.0)}
