@@ -2,9 +2,9 @@
 
 Every partition builds a union-find forest over the edges it happens to hold (no key is gathered, so a hub with a third
 of all edges is spread over all partitions) and emits one row per vertex and local root. A vertex that has several local
-roots links them: these links, between local roots only, are the edges of the next level, which uses half as many
-partitions. Vertices are ordered by a hash, so each level shrinks the graph by a constant factor; when few edges are
-left, one partition ends it. Labels are then handed down level by level with joins. Each level is a written table.
+roots links them: these links, between local roots only, are the edges of the next level. The number of partitions
+follows the number of edges, so that no forest outgrows a task's memory. Vertices are ordered by a hash, so each level
+shrinks the graph by a constant factor; when few edges are left, one partition ends it. Labels are then handed down level by level with joins. Each level is a written table.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quillon.session import stage
 
-#: Edges that a single partition may hold at the last level.
+#: Edges that one partition may hold, at every level.
 LAST_LEVEL = 200_000
 
 
@@ -55,8 +55,9 @@ def components(edges: DataFrame, partitions: int | None = None) -> DataFrame:
     Null ends are ignored, loops give a vertex of its own, repeated edges count once; no edges give an empty table.
     """
     edges = edges.select(F.col("a").cast("string"), F.col("b").cast("string")).where("a is not null and b is not null")
-    spark = edges.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if partitions is None:
+        edges = stage(edges, "edges")
+        partitions = max(1, -(-edges.count() // LAST_LEVEL))
     levels: list[DataFrame] = []
     while True:
         # a round-robin spread: no vertex decides where its edges go
@@ -78,7 +79,7 @@ def components(edges: DataFrame, partitions: int | None = None) -> DataFrame:
         left = edges.count()
         if left == 0:
             break
-        partitions = 1 if left <= LAST_LEVEL else max(2, partitions // 2)
+        partitions = -(-left // LAST_LEVEL)
     labels = levels.pop()
     while levels:
         up = labels.select(F.col("node").alias("root"), F.col("root").alias("top"))
