@@ -1,9 +1,9 @@
 """Problem 6: filling containers of fixed capacity with texts, measured in tokens of a public tokenizer.
 
 Method: hierarchical residual packing. Items are spread over slots by a hash; each slot packs its items best-fit with
-the largest first and emits bins that are nearly full. The underfull bins go on as items of their joint size; four
-slots at a time are merged and packed again until one slot is left. A slot that would carry more than ``max_open``
-underfull bins closes the fullest of them, which bounds the memory of every task and leaves no text out.
+the largest first and emits bins that are nearly full. The underfull bins go on as items of their joint size: neighbouring
+slots are merged so that each holds about ``slot_items`` items again, and packed once more, until one slot is left or a
+round hardly lessens the bins, which then cannot be combined. No bin is closed before that, and no slot outgrows a task.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Where the vocabulary files of public tokenizers lie; byte_bpe_50k counts the tokens unless another is named.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _ENCODERS: dict[str, object] = {}
-#: More than 10,000 characters of one kind of the pattern.
-_LONG_RUN = re.compile(r"\s{10001}|[^\W\d_]{10001}|\d{10001}|[^\w\s]{10001}")
+#: Runs of blanks on which the tokenizer's own pattern engine may run out of stack.
+_LONG_RUN = re.compile(r"\s{10001}")
 
 
 def encoder(path: str = VOCABULARY):
@@ -41,11 +41,12 @@ def encoder(path: str = VOCABULARY):
 
 
 def count_tokens(enc, text: str) -> int:
-    """Tokens of a text. A text with a run of over 10,000 blanks, letters, digits or other signs, on which the pattern's
-    engine may fail, is counted in pieces of 10,000 characters; all its characters count."""
+    """Tokens of a text. Where it has a run of over 10,000 blanks, another engine cuts it by the same pattern, and the
+    tokenizer merges each piece: the same tokens without its pattern engine, which fails on such runs."""
     if _LONG_RUN.search(text):
-        text_pieces = [text[k : k + 10_000] for k in range(0, len(text), 10_000)]
-        return sum(len(enc.encode_ordinary(p)) for p in text_pieces)
+        import regex
+
+        return sum(len(enc._encode_single_piece(m.group())) for m in regex.finditer(PATTERN, text))
     return len(enc.encode_ordinary(text))
 
 
@@ -55,7 +56,7 @@ def token_counts(documents: DataFrame, id_col: str, text_col: str, vocabulary: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
-            counts = [(count_tokens(enc, x) if len(x) > 10_000 else len(enc.encode_ordinary(x))) if x else 0 for x in batch.column(1).to_pylist()]
+            counts = [count_tokens(enc, x) if x else 0 for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["id", "tokens"])
 
     picked = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -90,7 +91,7 @@ def best_fit(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
-def _pack(level: int, last: bool, nearly_full: float, max_open: int):
+def _pack(level: int, nearly_full: float):
     def run(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
         spec, slot = key
         capacity = int(items["capacity"].iloc[0])
@@ -98,10 +99,7 @@ def _pack(level: int, last: bool, nearly_full: float, max_open: int):
         sizes = items["size"].to_numpy()
         place = np.array(best_fit(sizes.tolist(), capacity), dtype=np.int64)
         filled = np.bincount(place, weights=sizes).astype(np.int64)
-        full = np.ones(len(filled), bool) if last else filled >= nearly_full * capacity
-        if (~full).sum() > max_open:
-            waiting = np.flatnonzero(~full)
-            full[waiting[np.argsort(-filled[waiting], kind="stable")[: len(waiting) - max_open]]] = True
+        full = (filled >= nearly_full * capacity) | bool(items["last"].iloc[0])
         order = np.argsort(place, kind="stable")
         members = items["members"].to_numpy()[order]
         ends = np.cumsum(np.bincount(place))
@@ -130,12 +128,13 @@ def pack_texts(
     vocabulary: str = VOCABULARY,
     nearly_full: float = 0.98,
     slot_items: int = 20_000,
-    max_open: int = 50_000,
+    stalled: float = 0.95,
 ) -> DataFrame:
     """(spec_id, container_id, doc_id, part, start_token, n_tokens) for every capacity of ``spec(spec_id, capacity_tokens)``.
 
     A text that fits is one part. A longer one is cut every ``capacity`` tokens; its full parts are containers of their
-    own, its rest is packed like any other item. Null and empty texts have no tokens: they appear with a null container
+    own, its rest is packed like any other item. Rounds end when one slot is left or a round leaves more than the share
+    ``stalled`` of its bins; these then stay as they are. Null and empty texts have no tokens: they appear with a null container
     and part. Specs with a null or non-positive capacity are left out; an empty table gives an empty result.
     """
     counted = stage(token_counts(documents, id_col, text_col, vocabulary), "p6-tokens")
@@ -148,26 +147,37 @@ def pack_texts(
         "spec_id", "capacity", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).alias("part"), F.col("capacity").cast("long").alias("n_tokens")
     )
     n = counted.where("tokens > 0").count()
-    slots = max(1, -(-n // slot_items))
+    # (slots, items) of each spec that is still being packed; specs are a handful
+    open_ = {r.spec_id: (max(1, -(-n // slot_items)), n) for r in spec.collect()}
     items = sized.select(
         "spec_id",
-        F.pmod(F.xxhash64("id"), F.lit(slots)).cast("long").alias("slot"),
+        F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // slot_items)))).cast("long").alias("slot"),
         "capacity",
         F.col("last").alias("size"),
         F.col("id").cast("string").alias("name"),
         F.array("id", "whole", "last").alias("members"),
+        F.lit(n <= slot_items).alias("last"),
     )
     schema = "spec_id int, slot long, capacity int, size long, name string, members array<long>, full boolean"
     done: list[DataFrame] = []
     level = 0
     while True:
-        packed = items.groupBy("spec_id", "slot").applyInPandas(_pack(level, slots == 1, nearly_full, max_open), schema)
+        packed = items.groupBy("spec_id", "slot").applyInPandas(_pack(level, nearly_full), schema)
         packed = stage(packed, f"p6-level{level}")
         done.append(packed.where("full"))
-        if slots == 1:
+        left = {r.spec_id: r["count"] for r in packed.where("not full").groupBy("spec_id").count().collect()}
+        if not left:
             break
-        slots = -(-slots // 4)
-        items = packed.where("not full").withColumn("slot", F.floor(F.col("slot") / 4)).drop("full")
+        merge = F.lit(None)
+        final = []
+        for s, k in left.items():
+            slots, before = open_[s]
+            merged = max(1, min(-(-k // slot_items), slots // 2))
+            open_[s] = merged, k
+            merge = F.when(F.col("spec_id") == s, F.floor(F.col("slot") * merged / slots)).otherwise(merge)
+            if merged == 1 or k > stalled * before:  # one slot at the end, or several that combine no further
+                final.append(s)
+        items = packed.where("not full").drop("full").withColumns({"slot": merge.cast("long"), "last": F.col("spec_id").isin(final)})
         level += 1
     bins = done[0]
     for d in done[1:]:
