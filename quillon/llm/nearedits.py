@@ -30,7 +30,7 @@ def word_sets(records: DataFrame, min_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = T.WordCodes()
         for batch in batches:
-            flat, counts = T.flat_words(batch.column(1).to_pylist(), codes)
+            flat, counts = T.flat_words(batch.column(1), codes)
             keep = counts >= min_words
             flat, kept = T.keep_rows(flat, counts, keep)
             tokens = T.multiset_tokens(flat, kept)

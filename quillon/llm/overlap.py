@@ -76,7 +76,7 @@ def signatures(
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             side = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int32)
             series = batch.column(2)
-            flat, counts = T.flat_words(batch.column(3).to_pylist(), codes)
+            flat, counts = T.flat_words(batch.column(3), codes)
             tokens = T.multiset_tokens(flat, counts)
             values = series.values.to_numpy(zero_copy_only=False).astype(np.float64)
             offsets = series.offsets.to_numpy()

@@ -83,13 +83,12 @@ def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    leaks = leakage.leaked_items(read_table(spark, sf, "documents"), read_table(spark, sf, "eval_items"))
-    return leaks.where("n_exact > 0").select("doc_id", "eval_id")
+    return leakage.verbatim_leaks(leakage.template_hits(read_table(spark, sf, "documents"), read_table(spark, sf, "eval_items")))
 
 
 def p7_leaks(spark: SparkSession, sf: str) -> DataFrame:
-    """Verbatim and re-parameterised leaks with the share of the item's words in the longest stretch."""
-    leaks = leakage.leaked_items(read_table(spark, sf, "documents"), read_table(spark, sf, "eval_items"))
+    """Verbatim and re-parameterised leaks with the share of the item's words in the longest consistent stretch."""
+    leaks = leakage.leaked_items(leakage.template_hits(read_table(spark, sf, "documents"), read_table(spark, sf, "eval_items")))
     kind = F.when(F.col("n_exact") > 0, "verbatim").when(F.col("consistent"), "re-parameterised")
     return leaks.withColumn("kind", kind).where("kind is not null").select(
         "doc_id", "eval_id", "kind", "n_windows", "same_words", F.round(F.col("longest") / F.col("item_words"), 6).alias("covered")

@@ -8,16 +8,15 @@ similarity of two multisets is the Jaccard similarity of two sets of tokens.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 WORD = re.compile(r"[^\W_]+")
 #: Characters removed before words are taken.
 INVISIBLE = "\u00ad\u200b\u200c\u200d\ufeff"
-_DROP = dict.fromkeys(map(ord, INVISIBLE))
+_DROP = re.compile(f"[{INVISIBLE}]+")
 _CACHED = 500_000
 
 
@@ -25,8 +24,12 @@ def words(text: str | None) -> list[str]:
     """The words of a text in order; none for a null."""
     if not text:
         return []
-    text = text.lower()
-    return WORD.findall(text if text.isascii() else text.translate(_DROP))
+    return WORD.findall(visible(text.lower()))
+
+
+def visible(text: str) -> str:
+    """The text without invisible characters."""
+    return text if text.isascii() else _DROP.sub("", text)
 
 
 class WordCodes(dict):
@@ -50,15 +53,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def flat_words(texts: Iterable[str | None], codes: WordCodes) -> tuple[np.ndarray, np.ndarray]:
+def _table(lower: bool) -> np.ndarray:
+    """What every byte of an ASCII text becomes: letters and digits stay (or are lower-cased), all else is a blank."""
+    return np.array([ord(chr(c).lower() if lower else chr(c)) if c < 128 and chr(c).isalnum() else 32 for c in range(256)], dtype=np.uint8)
+
+
+_TABLES = {lower: _table(lower) for lower in (False, True)}
+
+
+def tokenise(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The words of a column of texts: for each word, text by text, its place in a list of the distinct words, the number of
+    words of each text, and that list. Nulls have no words. With ``lower`` false words are given as they are written,
+    lower-cased where that changes more than single letters.
+
+    ASCII texts are cut by table and by Arrow, without a Python object per word; the others by the pattern."""
+    n = len(texts)
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int32)
+    data = texts.buffers()[2]
+    held = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    plain = pa.StringArray.from_buffers(n, pa.py_buffer(offsets - offsets[0]), pa.py_buffer(_TABLES[lower][held]))
+    other = pc.invert(pc.fill_null(pc.string_is_ascii(texts), True))
+    rest = []
+    for text in texts.filter(other).to_pylist():
+        text = visible(text)
+        rest.append(" ".join(words(text) if lower or len(text.lower()) != len(text) or "\u03a3" in text else WORD.findall(text)))
+    cleaned = pc.replace_with_mask(plain, other, pa.array(rest, pa.string())) if rest else plain
+    cleaned = pc.ascii_trim_whitespace(cleaned)
+    lists = pc.ascii_split_whitespace(cleaned)
+    counts = np.where(pc.binary_length(cleaned).to_numpy() > 0, np.diff(lists.offsets.to_numpy()), 0).astype(np.int64)
+    flat = lists.flatten()
+    coded = flat.filter(pc.not_equal(flat, "")).dictionary_encode()
+    return coded.indices.to_numpy(), counts, coded.dictionary.to_pylist()
+
+
+def flat_words(texts: pa.Array, codes: WordCodes) -> tuple[np.ndarray, np.ndarray]:
     """Word codes of all texts one after the other, and the number of words of each text."""
-    found: list[int] = []
-    counts: list[int] = []
-    for text in texts:
-        ws = words(text)
-        counts.append(len(ws))
-        found.extend(map(codes.__getitem__, ws))
-    return np.array(found, dtype=np.uint64), np.array(counts, dtype=np.int64)
+    at, counts, known = tokenise(texts)
+    return np.array([codes[w] for w in known], dtype=np.uint64)[at], counts
 
 
 def multiset_tokens(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
