@@ -1,11 +1,13 @@
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quillon.llm import text as T
 from quillon.llm.packing import best_fit
-from quillon.llm.spans import compact_windows, gram_hashes, sliding_minimum
-from quillon.llm.splits import fill_targets
+from quillon.llm.spans import cells, gram_hashes, sliding_minimum
+from quillon.llm.splits import _label_quotas, settle
 
 
 def test_words_drop_invisible_characters_and_case():
@@ -16,7 +18,7 @@ def test_words_drop_invisible_characters_and_case():
 @given(st.lists(st.lists(st.sampled_from("abcde"), max_size=8), min_size=2, max_size=6))
 @settings(max_examples=60, deadline=None)
 def test_tokens_give_multiset_similarity(rows):
-    flat, counts = T.flat_words([" ".join(r) for r in rows], T.WordCodes())
+    flat, counts = T.flat_words(pa.array([" ".join(r) for r in rows]), T.WordCodes())
     tokens = T.multiset_tokens(flat, counts)
     ends = np.cumsum(counts)
     sets = [set(tokens[e - c : e].tolist()) for e, c in zip(ends, counts)]
@@ -28,19 +30,32 @@ def test_tokens_give_multiset_similarity(rows):
     assert (digest[0] == digest[1]) == (sorted(a) == sorted(b))
 
 
-@given(st.text(alphabet="ab", min_size=0, max_size=60), st.integers(1, 5), st.integers(5, 12))
-@settings(max_examples=120, deadline=None)
-def test_windows_cover_every_span(text, gram, span):
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aB1_ .\u00ad\u200béÉß\u0130\u03a3\u2014", max_size=12)), max_size=6))
+@settings(max_examples=150, deadline=None)
+def test_tokenise_equals_words(texts):
+    column = pa.array([None, *texts, "x"], pa.string()).slice(1)
+    for lower in (True, False):
+        at, counts, known = T.tokenise(column, lower)
+        want = [T.words(t) for t in column.to_pylist()]
+        assert counts.tolist() == [len(w) for w in want]
+        assert [known[k] if lower else known[k].lower() for k in at] == [w for ws in want for w in ws]
+
+
+@given(st.lists(st.text(alphabet="ab", min_size=0, max_size=40), min_size=1, max_size=3), st.integers(1, 5), st.integers(5, 12), st.integers(1, 3))
+@settings(max_examples=150, deadline=None)
+def test_cells_cover_every_span_once(texts, gram, span, hashes):
+    text = "".join(texts)
     points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-    value, at, low, high = compact_windows(points, gram, span)
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     h = gram_hashes(points, gram)
     assert all((h[i] == h[j]) == (text[i : i + gram] == text[j : j + gram]) for i in range(len(h)) for j in range(i))
-    width = span - gram + 1
-    for s in range(len(text) - span + 1):
-        inside = h[s : s + width]
-        # ties by the upper half of the hash go to the left
-        best = s + int(np.argmin(inside >> np.uint64(32)))
-        assert any(a == best and lo <= s and s + width - 1 <= hi and v == h[best] for v, a, lo, hi in zip(value, at, low, high))
+    value, at, first, last = cells(points, row, gram, span, hashes)
+    starts = [s for a, b in zip(first.tolist(), last.tolist()) for s in range(a, b + 1)]
+    assert starts == [s for s in range(len(text) - span + 1) if row[s] == row[s + span - 1]]
+    cell_of = {s: (v, s - a) for v, a, x, y in zip(value.tolist(), at.tolist(), first.tolist(), last.tolist()) for s in range(x, y + 1)}
+    by_text = {}
+    for s in starts:  # equal spans have equal signatures and anchors, wherever they stand
+        assert by_text.setdefault(text[s : s + span], cell_of[s]) == cell_of[s]
 
 
 @given(st.lists(st.integers(0, 50), max_size=40), st.integers(1, 9))
@@ -64,14 +79,25 @@ def test_best_fit_places_all_within_capacity(sizes):
 
 def test_long_repetitive_text_takes_linear_time():
     points = np.full(2_000_000, 97, dtype=np.uint32)
-    value, at, _, _ = compact_windows(points, 200, 300)
+    value, at, _, _ = cells(points, np.zeros(len(points), np.int64), 64, 300, 3)
     assert len(set(value.tolist())) == 1 and len(at) == 2_000_000 - 299
 
 
-def test_targets_are_met_and_every_group_is_placed():
-    shares = {"train": 0.8, "val": 0.1, "test": 0.1}
-    histogram = [("a", 1, 100, 100), ("b", 1, 3, 3), ("a", 40, 1, 40), ("", 2, 50, 100)]
-    out = fill_targets(histogram, shares)
-    assert {k: sum(v) for k, v in out.items()} == {("a", 1): 100, ("b", 1): 3, ("a", 40): 1, ("", 2): 50}
-    rows = [sum(out[(lab, size)][k] * size for lab, size, _, _ in histogram) for k in range(3)]
-    assert abs(rows[0] - 0.8 * 243) <= 3 and abs(rows[1] - 24.3) <= 3
+@given(st.lists(st.tuples(st.integers(1, 60), st.integers(1, 40)), min_size=1, max_size=8, unique_by=lambda x: x[0]))
+@settings(max_examples=100, deadline=None)
+def test_every_group_of_a_label_is_placed_or_left(sizes):
+    shares = [0.8, 0.1, 0.1]
+    table = _label_quotas(shares)(("a",), pd.DataFrame(sizes, columns=["size", "n"]))
+    total, held = sum(s * n for s, n in sizes), np.zeros(3)
+    for (_, size, bounds, left, prefers, _), n in zip(table.itertuples(index=False), [n for _, n in sorted(sizes, reverse=True)]):
+        assert bounds == sorted(bounds) and bounds[-1] + left == n and len(prefers) == min(3, max(1, left))
+        held += np.diff([0, *bounds]) * size
+    short = table["short"].iloc[-1]
+    assert np.allclose(held + short, np.array(shares) * total)
+    kinds = [(size, prefers[0], left) for _, size, _, left, prefers, _ in table.itertuples(index=False) if left]
+    given_ = settle(kinds, short)
+    assert {k: sum(v) for k, v in given_.items()} == {(s, p): n for s, p, n in kinds}
+    for (size, _), taken in given_.items():
+        held += np.array(taken) * size
+    # largest first: no split ends farther from its target than the largest group
+    assert held.sum() == total and np.abs(held - np.array(shares) * total).max() <= 2 * max(s for s, _ in sizes)
