@@ -25,7 +25,7 @@ from quillon.session import stage
 
 
 def word_sets(records: DataFrame, min_words: int) -> DataFrame:
-    """(rec, set_key, n, tokens) of the records ``(rec, text)`` with at least ``min_words`` words."""
+    """(rec, words_key, n, tokens) of the records ``(rec, text)`` with at least ``min_words`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = T.WordCodes()
@@ -37,14 +37,14 @@ def word_sets(records: DataFrame, min_words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).filter(pa.array(keep)),
-                    T.longs(T.row_digest(tokens, kept)),
+                    T.row_digest(tokens, kept),
                     pa.array(kept.astype(np.int32)),
                     T.long_lists(tokens, kept),
                 ],
-                names=["rec", "set_key", "n", "tokens"],
+                names=["rec", "words_key", "n", "tokens"],
             )
 
-    return records.select("rec", "text").mapInArrow(run, "rec string, set_key long, n int, tokens array<long>")
+    return records.select("rec", "text").mapInArrow(run, "rec string, words_key binary, n int, tokens array<long>")
 
 
 def _minima(tokens: np.ndarray, counts: np.ndarray, size: int, seed: int) -> np.ndarray:
@@ -115,19 +115,26 @@ def estimate(a: Column, b: Column, size: int, bits: int) -> Column:
 
 
 def near_duplicate_sets(
-    sets: DataFrame, threshold: float, bands: int, rows: int, bits: int, seed: int, slack: float
+    sets: DataFrame, threshold: float, bands: int, rows: int, bits: int, seed: int, slack: float, block: int = 2000, small: int = 1_000_000
 ) -> DataFrame:
     """(a, b, similarity) with a < b over distinct word multisets ``sets(set_key, n, tokens)``."""
     size = bands * rows
     signed = stage(signatures(sets, bands, rows, bits, seed), "p2-signatures")
     entry = signed.select("set_key", "n", F.explode("keys").alias("key"))
-    hit = (
-        entry.select("key", F.col("set_key").alias("a"), F.col("n").alias("na"))
-        .join(entry.select("key", F.col("set_key").alias("b"), F.col("n").alias("nb")), "key")
-        .where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9))
-        .select("a", "b")
-        .distinct()
-    )
+    # band keys of many sets: their pairs are spread over blocks times blocks
+    hot = stage(entry.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > block).select("key", F.ceil(F.col("k") / block).cast("int").alias("blocks")), "p2-hot")
+    listed = F.broadcast(hot) if hot.count() <= small else hot
+    cold = entry.join(listed.select("key"), "key", "left_anti").withColumns({"i": F.lit(0), "j": F.lit(0)})
+    warm = entry.join(listed, "key").withColumn("own", F.pmod(F.xxhash64("set_key"), "blocks").cast("int"))
+    left = warm.select("set_key", "n", "key", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
+    right = warm.select("set_key", "n", "key", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"))
+
+    def meet(x: DataFrame, y: DataFrame) -> DataFrame:
+        both = x.select("key", "i", "j", F.col("set_key").alias("a"), F.col("n").alias("na")).join(y.select("key", "i", "j", F.col("set_key").alias("b"), F.col("n").alias("nb")), ["key", "i", "j"])
+        both = both.where(((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9))
+        return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    hit = meet(cold, cold).unionByName(meet(left, right)).distinct()
     near = (
         hit.join(signed.select(F.col("set_key").alias("a"), F.col("packed").alias("pa")), "a")
         .join(signed.select(F.col("set_key").alias("b"), F.col("packed").alias("pb")), "b")
@@ -153,6 +160,7 @@ def near_edits(
     bits: int = 2,
     seed: int = 11,
     slack: float = 0.115,
+    block: int = 2000,
 ) -> tuple[DataFrame, DataFrame]:
     """Members ``(rec, set_key)`` and links ``(a, b, similarity)`` between different word multisets of ``(rec, text)``.
 
@@ -161,9 +169,10 @@ def near_edits(
     An empty table gives empty results; columns other than rec and text are ignored.
     """
     held = stage(word_sets(records, min_words), "p2-words")
-    sets = held.groupBy("set_key").agg(F.min("n").alias("n"), F.first("tokens").alias("tokens"))
-    links = stage(near_duplicate_sets(sets, threshold, bands, rows, bits, seed, slack), "p2-links")
-    return held.select("rec", "set_key"), links
+    sets = held.groupBy("words_key").agg(F.min("n").alias("n"), F.first("tokens").alias("tokens"))
+    sets = stage(sets.withColumn("set_key", F.monotonically_increasing_id()), "p2-sets")  # fixed once written
+    links = stage(near_duplicate_sets(sets.drop("words_key"), threshold, bands, rows, bits, seed, slack, block), "p2-links")
+    return held.select("rec", "words_key").join(sets.select("words_key", "set_key"), "words_key").select("rec", "set_key"), links
 
 
 def near_edit_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -179,14 +188,12 @@ def near_edit_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_edit_groups(members: DataFrame, links: DataFrame) -> DataFrame:
-    """One row per record that is near another: its group (the smallest set key), and the number of linked sets."""
-    label = components(links).select(F.col("node").cast("long").alias("set_key"), F.col("root").cast("long").alias("group_id"))
+    """One row per record that is near another: its group (named by the group's smallest record), and the number of linked
+    sets and of records with the same words."""
+    label = components(links).select(F.col("node").cast("long").alias("set_key"), F.col("root").cast("long").alias("root"))
     degree = links.select(F.explode(F.array("a", "b")).alias("set_key")).groupBy("set_key").agg(F.count("*").alias("n_links"))
-    size = members.groupBy("set_key").agg(F.count("*").alias("n_copies"))
-    return (
-        members.join(size, "set_key")
-        .join(label, "set_key", "left")
-        .join(degree, "set_key", "left")
-        .where("group_id is not null or n_copies > 1")
-        .select("rec", F.coalesce("group_id", "set_key").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    )
+    sets = members.groupBy("set_key").agg(F.count("*").alias("n_copies"), F.min("rec").alias("least"))
+    sets = sets.join(label, "set_key", "left").join(degree, "set_key", "left").where("root is not null or n_copies > 1")
+    sets = stage(sets.withColumn("root", F.coalesce("root", "set_key")), "p2-grouped")
+    named = sets.join(sets.groupBy("root").agg(F.min("least").alias("group_id")), "root")
+    return members.join(named, "set_key").select("rec", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")

@@ -1,7 +1,7 @@
 """Problem 1: the same or almost the same record in an evaluation split and in training.
 
 Method: word n-gram hashes of the evaluation records, partitioned by hash, are scanned against those of the training
-records, and the containment of each evaluation record in each training record it hits is computed from the hits.
+records, and the containment of each evaluation record in each training record it hits is computed from all their words.
 Similarity here is that of word multisets, so the n-gram is one word with its occurrence number. Three things keep the
 scan small without losing a pair:
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quillon.llm import text as T
 from quillon.session import stage
 
-_SCHEMA = "id long, side int, len int, series_key long, cells array<long>, n int, words_key long, tokens array<long>"
+_SCHEMA = "id long, side int, len int, series_key binary, cells array<long>, n int, words_key binary, tokens array<long>"
 
 
 def _normalised(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +82,7 @@ def signatures(
             offsets = series.offsets.to_numpy()
             lengths = np.where(series.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets), 0)
             usable = np.zeros(len(ids), dtype=bool)
-            key = np.zeros(len(ids), dtype=np.uint64)
+            key = np.zeros((len(ids), 16), dtype=np.uint8)
             cells: list[np.ndarray] = [np.zeros(0, dtype=np.uint64)] * len(ids)
             for length in np.unique(lengths[(lengths > 1) & (counts > 0)]):
                 rows = np.flatnonzero((lengths == length) & (counts > 0))
@@ -92,7 +92,7 @@ def signatures(
                 if not len(rows):
                     continue
                 usable[rows] = True
-                key[rows] = [xxhash.xxh3_64_intdigest(r.tobytes()) for r in block]
+                key[rows] = np.frombuffer(b"".join(xxhash.xxh3_128_digest(r.tobytes()) for r in block), np.uint8).reshape(-1, 16)
                 for r, c in zip(rows.tolist(), _cells(z, side[rows] == 1, tolerance, width, dims)):
                     cells[r] = c
             digest = T.row_digest(tokens, counts)
@@ -104,10 +104,10 @@ def signatures(
                     T.longs(ids[usable]),
                     pa.array(side[usable]),
                     pa.array(lengths[usable].astype(np.int32)),
-                    T.longs(key[usable]),
+                    T.binaries(key[usable].view(np.uint64)),
                     T.long_lists(np.concatenate([np.zeros(0, np.uint64), *kept]), n_cells),
                     pa.array(counts.astype(np.int32)),
-                    T.longs(digest[usable]),
+                    digest.filter(pa.array(usable)),
                     T.long_lists(tokens, counts),
                 ],
                 names=["id", "side", "len", "series_key", "cells", "n", "words_key", "tokens"],
@@ -216,11 +216,16 @@ def _series_within(pairs: DataFrame, series: DataFrame, tolerance: float, small:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                z, ok = _normalised(np.stack([x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)]))
-                keep.append(bool(ok.all() and np.abs(z[0] - z[1]).max() <= tolerance))
-            yield batch.select(["eval_rep", "train_rep"]).filter(pa.array(keep, pa.bool_()))
+            sides = [(c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()) for c in (batch.column(2), batch.column(3))]
+            lengths = np.diff(sides[0][1])
+            keep = np.zeros(len(lengths), dtype=bool)
+            for length in np.unique(lengths):
+                same = np.flatnonzero(lengths == length)
+                for k in range(0, len(same), 512):
+                    rows = same[k : k + 512]
+                    (x, ok), (y, fine) = (_normalised(values[offsets[rows][:, None] + np.arange(length)]) for values, offsets in sides)
+                    keep[rows] = ok & fine & (np.abs(x - y).max(axis=1) <= tolerance)
+            yield batch.select(["eval_rep", "train_rep"]).filter(pa.array(keep))
 
     return both.select("eval_rep", "train_rep", "x", "y").mapInArrow(run, "eval_rep long, train_rep long")
 
@@ -300,12 +305,14 @@ def cross_split_overlaps(
         .where("el = tl")
         .withColumn("n_hits", F.size(F.array_intersect("et", "tt")))
         .where(F.col("n_hits") >= threshold * (F.col("en") + F.col("tn") - F.col("n_hits")) - 1e-9)
-        .select("eval_rep", "train_rep", "n_hits", "en", "tn", (F.col("ek") == F.col("tk")).alias("same_series"))
+        .select("eval_rep", "train_rep", "n_hits", "en", "tn", "ek", "tk")
     )
     scored = stage(scored, "p1-scored")
-    differing = scored.where("not same_series").select("eval_rep", "train_rep")
-    close = _series_within(differing, source.select("id", "series"), tolerance, small)
-    good = scored.where("same_series").unionByName(scored.where("not same_series").join(close, ["eval_rep", "train_rep"]))
+    # every pair of different series is compared once, however many captions it has
+    differing = stage(scored.where("ek <> tk").groupBy("ek", "tk").agg(F.min_by(F.struct("eval_rep", "train_rep"), F.struct("eval_rep", "train_rep")).alias("p")).select("ek", "tk", "p.*"), "p1-series")
+    close = _series_within(differing.select("eval_rep", "train_rep"), source.select("id", "series"), tolerance, small)
+    close = differing.join(close, ["eval_rep", "train_rep"]).select("ek", "tk")
+    good = scored.where("ek = tk").unionByName(scored.where("ek <> tk").join(close, ["ek", "tk"]))
     member = classes.select("rep", *same).join(held.select("id", *same), same).select("rep", "side", "id")
     return (
         good.join(member.where("side = 1").select(F.col("rep").alias("eval_rep"), F.col("id").alias("eval_id")), "eval_rep")

@@ -98,6 +98,15 @@ def oracle(cutoffs: list[str]) -> dict[str, str]:
                    round(avg(best), 6) AS mean_containment
             FROM pairs LEFT JOIN best ON ev = pair_no WHERE split IN ('val', 'test') GROUP BY split, dataset""",
         "p2_found": _P2,
+        "p2_groups": f"""WITH RECURSIVE pairs_found AS ({_P2}),
+            same AS (SELECT rec, array_to_string(list_sort({_words('t')}), ' ') AS ws FROM (SELECT 'p' || pair_no AS rec, caption AS t FROM pairs UNION ALL
+                     SELECT 'm' || idx, caption_distractor FROM manual_validation_sample)),
+            e AS (SELECT rec_a AS a, rec_b AS b FROM pairs_found UNION SELECT rec_b, rec_a FROM pairs_found),
+            reach(a, b) AS (SELECT a, a FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+            g AS (SELECT a AS rec, min(b) AS group_id FROM reach GROUP BY a),
+            l AS (SELECT e.a, count(DISTINCT y.ws) AS n_links FROM e JOIN same x ON x.rec = e.a JOIN same y ON y.rec = e.b WHERE x.ws <> y.ws GROUP BY e.a),
+            c AS (SELECT ws, count(*) AS n_copies FROM same GROUP BY ws)
+            SELECT g.rec, group_id, coalesce(n_links, 0) AS n_links, n_copies FROM g JOIN same USING (rec) JOIN c USING (ws) LEFT JOIN l ON l.a = g.rec""",
         "p3_found": f"{_P3} SELECT keep_id, line_id AS copy_id FROM k WHERE line_id <> keep_id",
         "p3_records": f"{_P3} SELECT keep_id, n_copies FROM k WHERE line_id = keep_id",
         "p4_found": _P4,

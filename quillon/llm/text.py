@@ -109,12 +109,20 @@ def multiset_tokens(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return tokens[order]
 
 
-def row_digest(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A 64-bit digest of each row's sorted tokens (order-free sum of two scramblings, with the count)."""
+def row_digest(tokens: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A 128-bit digest of each row's tokens, whatever their order (sums of two scramblings, with the count)."""
     ends = np.cumsum(counts)
-    starts = ends - counts
-    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(tokens ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
-    return mix(total[ends] - total[starts] + mix(counts.astype(np.uint64)))
+    halves = []
+    for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(mix(tokens) ^ np.uint64(salt)), dtype=np.uint64)])
+        halves.append(mix(total[ends] - total[ends - counts] + mix(counts.astype(np.uint64))))
+    return binaries(np.stack(halves, axis=1))
+
+
+def binaries(words: np.ndarray) -> pa.Array:
+    """Rows of 64-bit words as binary values."""
+    offsets = np.arange(len(words) + 1, dtype=np.int32) * (8 * words.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(words))])
 
 
 def longs(values: np.ndarray) -> pa.Array:

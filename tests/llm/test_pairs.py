@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import canonical, nearedits, overlap
 from quillon.llm.text import words
@@ -93,10 +94,11 @@ def make_texts(n=300, seed=5):
     return rows
 
 
-def test_near_edits_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [2, 2000])
+def test_near_edits_equal_brute_force(spark, block):
     rows = make_texts()
     df = spark.createDataFrame([(*r, "clash") for r in rows], "rec string, text string, set_key string")
-    members, links = nearedits.near_edits(df)
+    members, links = nearedits.near_edits(df, block=block)
     found = {(r.rec_a, r.rec_b) for r in nearedits.near_edit_pairs(members, links).collect()}
     long = [(k, t) for k, t in rows if t and len(words(t)) >= 20]
     expected = {(a, b) for a, x in long for b, y in long if a < b and similarity(x, y) >= 0.8}
@@ -116,9 +118,8 @@ def test_estimate_is_corrected_for_chance(spark):
     base = [f"w{i}" for i in range(60)]
     rows = [("a", " ".join(base)), ("b", " ".join(base[:40] + [f"v{i}" for i in range(20)])), ("c", " ".join(f"u{i}" for i in range(60)))]
     rng.shuffle(rows)
-    sets = nearedits.word_sets(spark.createDataFrame(rows, "rec string, text string"), 1)
+    sets = nearedits.word_sets(spark.createDataFrame(rows, "rec string, text string"), 1).withColumn("set_key", F.ascii("rec").cast("long"))
     signed = nearedits.signatures(sets, 56, 8, 2, 11).join(sets.select("rec", "set_key"), "set_key")
-    from pyspark.sql import functions as F
 
     x = signed.select(F.col("rec").alias("ra"), F.col("packed").alias("pa")).crossJoin(signed.select(F.col("rec").alias("rb"), F.col("packed").alias("pb")))
     est = {(r.ra, r.rb): r.e for r in x.select("ra", "rb", nearedits.estimate(F.col("pa"), F.col("pb"), 448, 2).alias("e")).collect()}
