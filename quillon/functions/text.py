@@ -70,7 +70,7 @@ def description_bucket(t: Column) -> Column:
     """dependent if any sentence claims an order, else ambiguous, else invariant."""
     s = sentences(t)
     return (
-        F.when(F.exists(s, lambda x: F.regexp_like(x, F.lit(V.either(V.NARRATIVE_ORDER)))), "dependent")
+        F.when(F.exists(s, lambda x: F.regexp_like(x, F.lit(V.NARRATIVE_ORDERED))), "dependent")
         .when(F.exists(s, lambda x: F.regexp_like(x, F.lit(V.either(V.NARRATIVE_AMBIGUOUS)))), "ambiguous")
         .otherwise("invariant")
     )

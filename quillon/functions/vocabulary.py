@@ -38,7 +38,10 @@ NARRATIVE_ORDER = [
     "rising", "rose", r"increas\w*", "upward", r"climb\w*", r"declin\w*", r"decreas\w*", "downward", "falling", "fell", r"dropp?\w*", r"trend\w*",
     "warming", "cooling", "then", "before", r"after\w*", "followed", r"subsequent\w*", "beginning", r"start\w*", r"end\w*", "early", "late[rs]?",
     r"toward\w*", r"gradual\w*", "steadily", r"shift\w*", r"peak\w*", r"dipp?\w*", r"spik\w*", r"surg\w*", r"jump\w*", r"reach\w*",
+    r"maximum .{0,20}\bon", r"minimum .{0,20}\bon", r"highest .{0,20}\bon", r"lowest .{0,20}\bon",
 ]
+#: The same, for beginnings that need no end of a word.
+NARRATIVE_ORDER_OPEN = ["mid[- ]", r"record\w* (?:high|low)"]
 NARRATIVE_AMBIGUOUS = [
     r"fluctuat\w*", r"variab\w*", "vary\\w*|varied", "stable", "stability", "steady", r"volatil\w*", r"consistent\w*", r"constant\w*", r"oscillat\w*",
 ]
@@ -66,3 +69,4 @@ def either(patterns: list[str]) -> str:
 
 
 NEGATED_MOTION = rf"(?i)\b(?:{NEGATORS})\b[\s\w-]{{0,20}}?\b(?:{NEGATED})\b"
+NARRATIVE_ORDERED = either(NARRATIVE_ORDER) + "".join(rf"|\b{p}" for p in NARRATIVE_ORDER_OPEN)

@@ -1,13 +1,65 @@
-"""Shape and texture features of series, computed in long form with windows over each series."""
+"""Shape and texture features of series, computed series by series in Arrow batches: no point leaves its row."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from quillon.functions.numbers import rounded
-from quillon.operators.inference import correlation
+
+FEATURES = {
+    "first_third": 6, "second_third": 6, "last_third": 6, "slope": 5, "curvature": 5, "cubic": 5, "skew": 5, "kurtosis": 5,
+    "biggest_jump": 6, "jump_rate": 6, "reversal_rate": 6, "lag1": 5,
+}
+
+
+def per_series(series: DataFrame, id_col: str, x_col: str, names: list[str], of: Callable[[np.ndarray], tuple]) -> DataFrame:
+    """(id, *names): what ``of`` gives for the values of each series; nulls within a series are NaN."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(1)
+            values, at = x.values.to_numpy(zero_copy_only=False), x.offsets.to_numpy()
+            rows = np.array([of(values[a:b]) for a, b in zip(at[:-1], at[1:])], dtype=np.float64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in rows.T]], names=[id_col, *names])
+
+    kind = series.schema[id_col].dataType.simpleString()
+    picked = series.where(F.size(x_col) > 0).select(id_col, F.col(x_col).cast("array<double>").alias("x"))
+    return picked.mapInArrow(run, f"{id_col} {kind}, " + ", ".join(f"{n} double" for n in names))
+
+
+def moving_average(series: DataFrame, id_col: str, x_col: str, width: int) -> DataFrame:
+    """(id, top, bottom, rough): largest and smallest value of the centred moving average, zeros beyond the edges, and the
+    mean distance of the series from it."""
+
+    def of(x: np.ndarray) -> tuple:
+        ma = np.convolve(x, np.ones(width))[width // 2 : width // 2 + len(x)] / width
+        return ma.max(), ma.min(), np.abs(x - ma).mean()
+
+    names = ["top", "bottom", "rough"]
+    return per_series(series, id_col, x_col, names, of).select(id_col, *[rounded(n, 6).alias(n) for n in names])
+
+
+def _features(x: np.ndarray) -> tuple:
+    n = len(x)
+    z = (x - x.mean()) / x.std()
+    u = 2.0 * np.arange(n) / (n - 1) - 1
+    u2 = u * u
+    m2, m4 = u2.mean(), (u2 * u2).mean()
+    p2, p3 = u2 - m2, u2 * u - m4 / m2 * u
+    dz = np.diff(z)
+    sign = np.sign(dz)
+    a, b = z[:-1] - z[:-1].mean(), z[1:] - z[1:].mean()
+    scale = np.sqrt((a @ a) * (b @ b))
+    fit = lambda p, lead: lead * (z @ p) / (p @ p) if p @ p > 1e-12 else np.nan
+    return (
+        z[: n // 3].mean(), z[n // 3 : 2 * n // 3].mean(), z[2 * n // 3 :].mean(), fit(u, 2), fit(p2, 4), fit(p3, 8), (z**3).mean(), (z**4).mean(),
+        np.abs(dz).max(), (np.abs(dz) > 1).mean(), (sign[1:] != sign[:-1]).mean(), a @ b / scale if scale > 1e-12 else 0.0,
+    )
 
 
 def series_features(series: DataFrame, id_col: str, x_col: str) -> DataFrame:
@@ -15,34 +67,5 @@ def series_features(series: DataFrame, id_col: str, x_col: str) -> DataFrame:
     population skew and non-excess kurtosis, jumps, direction reversals, lag-1 autocorrelation. Series are z-normed;
     constant series, and those with fewer than four values, are left out."""
     usable = series.where((F.size(x_col) >= 4) & (F.array_max(x_col) > F.array_min(x_col)))
-    long = usable.select(F.col(id_col).alias("id"), F.size(x_col).alias("n"), F.posexplode(x_col).alias("p", "v"))
-    whole = W.partitionBy("id")
-    run = whole.orderBy("p")
-    z = long.withColumn("z", (F.col("v") - F.avg("v").over(whole)) / F.stddev_pop("v").over(whole)).withColumn(
-        "u", 2.0 * F.col("p") / (F.col("n") - 1) - 1
-    )
-    u2 = F.col("u") * F.col("u")
-    z = z.withColumn("m2", F.avg(u2).over(whole)).withColumn("m4", F.avg(u2 * u2).over(whole))
-    z = z.withColumn("dz", F.col("z") - F.lag("z").over(run)).withColumn("nz", F.lead("z").over(run))
-    z = z.withColumn("sg", F.signum("dz")).withColumn("psg", F.lag("sg").over(run))
-    third = F.floor(F.col("n") / 3)
-    two_thirds = F.floor(2 * F.col("n") / 3)
-    p2 = u2 - F.col("m2")
-    p3 = u2 * F.col("u") - F.col("m4") / F.col("m2") * F.col("u")
-    both = F.when(F.col("nz").isNotNull(), F.col("z"))
-    lag1 = correlation(both, F.col("nz"))
-    when_avg = lambda cond, v: F.avg(F.when(cond, v))
-    return z.groupBy("id").agg(
-        rounded(when_avg(F.col("p") < third, F.col("z")), 6).alias("first_third"),
-        rounded(when_avg((F.col("p") >= third) & (F.col("p") < two_thirds), F.col("z")), 6).alias("second_third"),
-        rounded(when_avg(F.col("p") >= two_thirds, F.col("z")), 6).alias("last_third"),
-        rounded(2 * F.sum(F.col("z") * F.col("u")) / F.sum(u2), 5).alias("slope"),
-        rounded(4 * F.sum(F.col("z") * p2) / F.sum(p2 * p2), 5).alias("curvature"),
-        rounded(8 * F.sum(F.col("z") * p3) / F.sum(p3 * p3), 5).alias("cubic"),
-        rounded(F.avg(F.pow("z", F.lit(3.0))), 5).alias("skew"),
-        rounded(F.avg(F.pow("z", F.lit(4.0))), 5).alias("kurtosis"),
-        rounded(F.max(F.abs("dz")), 6).alias("biggest_jump"),
-        rounded(F.avg((F.abs("dz") > 1).cast("double")), 6).alias("jump_rate"),
-        rounded(when_avg(F.col("psg").isNotNull(), (F.col("sg") != F.col("psg")).cast("double")), 6).alias("reversal_rate"),
-        rounded(F.coalesce(lag1, F.lit(0.0)), 5).alias("lag1"),
-    ).withColumnRenamed("id", id_col)
+    found = per_series(usable, id_col, x_col, list(FEATURES), _features)
+    return found.select(id_col, *[rounded(n, digits).alias(n) for n, digits in FEATURES.items()])

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -101,6 +102,44 @@ def top_members(queries: DataFrame, pool: DataFrame, k: int, keep_self: bool = F
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def best_by_label(queries: DataFrame, pool: DataFrame) -> DataFrame:
+    """(query_id, label, best): each query's best score among the members of every label of ``pool(id, vec, label)``, itself
+    left out. Each pair of blocks gives one row per query and label; scores are never listed."""
+    q = blocks(queries.select("id", "vec"), queries.count(), "query")
+    p = blocks(pool.select("id", "vec", "label"), pool.count(), "member")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for left, right in zip(batch["querys"], batch["members"]):
+                qid, qv = _matrix(left)
+                right = sorted(right, key=lambda r: (r["label"] is not None, r["label"]))
+                pid, pv = _matrix(right)
+                labels = [r["label"] for r in right]
+                starts = [k for k, x in enumerate(labels) if not k or x != labels[k - 1]]
+                s = np.round(qv @ pv.T, 9)
+                s[qid[:, None] == pid[None, :]] = -np.inf
+                best = np.maximum.reduceat(s, starts, axis=1)
+                frame = pd.DataFrame({"query_id": np.repeat(qid, len(starts)), "label": [labels[k] for k in starts] * len(qid), "best": best.ravel()})
+                yield frame[np.isfinite(frame["best"])]
+
+    kinds = f"query_id {queries.schema['id'].dataType.simpleString()}, label {pool.schema['label'].dataType.simpleString()}, best double"
+    rows = q.crossJoin(p).select("querys", "members").mapInPandas(run, kinds)
+    return rows.groupBy("query_id", "label").agg(F.max("best").alias("best"))
+
+
+def batch_logsumexp(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, lse) of every row of ``rows: array<struct<label, vec>>``: the log-sum-exp of its scores in its batch."""
+    for batch in batches:
+        lists = batch.column(0)
+        labels, vectors, offsets = lists.values.field("label"), lists.values.field("vec"), lists.offsets.to_numpy()
+        values, at = vectors.values.to_numpy(zero_copy_only=False), vectors.offsets.to_numpy()
+        for a, b in zip(offsets[:-1], offsets[1:]):
+            x = values[at[a] : at[b]].reshape(b - a, -1)
+            s = x @ x.T
+            top = s.max(axis=1)
+            yield pa.RecordBatch.from_arrays([labels.slice(a, b - a), pa.array(np.log(np.exp(s - top[:, None]).sum(axis=1)) + top)], names=["label", "lse"])
+
+
 def competition_rank() -> Column:
     return (1 + F.col("n_greater")).cast("long")
 

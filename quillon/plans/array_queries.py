@@ -131,18 +131,20 @@ def gaussian_match(spark, sf):
     return y.select("sample_id", rounded(F.get("y", F.lit(0)), 6).alias("first"), rounded(F.array_max("y"), 6).alias("top"), rounded(A.mean(F.col("y")), 6).alias("mean"))
 
 
-# --- several channels: the event types of a user, right-aligned in a block of 16 hours
+# --- several channels: the event types of a user, right-aligned to their common length
 _CH = """ch AS (SELECT user_id, event_type, list(value ORDER BY ts, event_id) AS v FROM events WHERE value IS NOT NULL GROUP BY ALL),
 w AS (SELECT user_id, min(len(v)) AS n FROM ch GROUP BY user_id),
-blk AS (SELECT ch.user_id, event_type, v[len(v) - least(n, 16) + 1 : len(v)] AS v, least(n, 16) AS n FROM ch JOIN w USING (user_id))"""
+blk AS (SELECT ch.user_id, event_type, v[len(v) - n + 1 : len(v)] AS v, n FROM ch JOIN w USING (user_id))"""
 
 
 def channels(spark, sf):
-    """(user_id, event_type, v, n): each user's event types cut to a common valid length n of at most 16."""
+    """(user_id, event_type, v, n, width): each user's event types cut to their common valid length n, all of it; width is
+    the length of the user's longest channel."""
     ev = read_table(spark, sf, "events").where("value is not null")
     ch = ev.groupBy("user_id", "event_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda s: s["value"]).alias("v"))
-    n = F.least(F.min(F.size("v")).over(W.partitionBy("user_id")), F.lit(16))
-    return ch.withColumn("n", n).withColumn("v", F.slice("v", F.size("v") - F.col("n") + 1, F.col("n")))
+    user = W.partitionBy("user_id")
+    ch = ch.withColumns({"n": F.min(F.size("v")).over(user), "width": F.max(F.size("v")).over(user)})
+    return ch.withColumn("v", F.slice("v", F.size("v") - F.col("n") + 1, F.col("n")))
 
 
 _CHORD = "list_transform(list_sort(list_transform(range(0, n), lambda i: {'h': md5(user_id || '|sf_all|42|' || i), 'i': i})), lambda s: s.i)"
@@ -151,7 +153,7 @@ _CHORD = "list_transform(list_sort(list_transform(range(0, n), lambda i: {'h': m
 @query(f"WITH {_CH} SELECT user_id, event_type, {_d(f'list_transform({_CHORD}, lambda i: v[i + 1])')} AS digest, n FROM blk")
 def joint_channel_perm(spark, sf):
     """ARR-12, ARR-15: one permutation of the valid block for all channels of a user; padding stays where it is."""
-    padded = F.concat(F.array_repeat(F.lit(0.0), 16 - F.col("n")), F.col("v"))
+    padded = F.concat(F.array_repeat(F.lit(0.0), F.col("width") - F.col("n")), F.col("v"))
     order = A.hash_order(F.col("n"), F.col("user_id").cast("string"), "sf_all", 42)
     moved = A.with_block(F.col("p"), A.take(A.valid_block(F.col("p"), F.col("n")), F.col("o")))
     return channels(spark, sf).select("user_id", "event_type", "n", padded.alias("p"), order.alias("o")).select(
@@ -335,33 +337,14 @@ def dup_series_groups(spark, sf):
     return g.groupBy("h").agg(F.count("*").alias("n"), F.min("sample_id").alias("first_id")).where("n > 1")
 
 
-_W = 25
-
-
-@query(f"""{_P}, l AS (SELECT sample_id, len(x) AS n, unnest(x) AS v, generate_subscripts(x, 1) AS p FROM pool WHERE len(x) >= 100),
-m AS (SELECT sample_id, p, v, sum(v) OVER (PARTITION BY sample_id ORDER BY p ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) / 25 AS ma FROM l)
-SELECT sample_id, round(max(ma), 6) AS top, round(min(ma), 6) AS bottom, round(avg(abs(v - ma)), 6) AS rough FROM m GROUP BY sample_id""")
-def moving_average(spark, sf):
-    """WIN-10: centred moving average with zero-padded edges: the window's sum over its nominal width. Series of 100 values
-    or more, as its SQL; all are in moving_average_all."""
-    return averaged(B.pool(spark, sf).where("size(x) >= 100"))
-
-
 @query(f"""{_P}, l AS (SELECT sample_id, unnest(x) AS v, generate_subscripts(x, 1) AS p FROM pool),
 m AS (SELECT sample_id, p, v, sum(v) OVER (PARTITION BY sample_id ORDER BY p ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) / 25 AS ma FROM l)
 SELECT sample_id, round(max(ma), 6) AS top, round(min(ma), 6) AS bottom, round(avg(abs(v - ma)), 6) AS rough FROM m GROUP BY sample_id""")
-def moving_average_all(spark, sf):
-    """WIN-10: the same of every series, shorter ones padded likewise."""
-    return averaged(B.pool(spark, sf))
-
+def moving_average(spark, sf):
+    """WIN-10: centred moving average with zero-padded edges: the window's sum over its nominal width, of every series."""
+    from quillon.operators.features import moving_average as build
 
-def averaged(series):
-    long = series.select("sample_id", F.posexplode("x").alias("p", "v"))
-    w = W.partitionBy("sample_id").orderBy("p").rowsBetween(-(_W // 2), _W // 2)
-    ma = long.withColumn("ma", F.sum("v").over(w) / _W)
-    return ma.groupBy("sample_id").agg(
-        rounded(F.max("ma"), 6).alias("top"), rounded(F.min("ma"), 6).alias("bottom"), rounded(F.avg(F.abs(F.col("v") - F.col("ma"))), 6).alias("rough")
-    )
+    return build(B.pool(spark, sf), "sample_id", "x", 25)
 
 
 _FEAT = f"""{_P}, l AS (SELECT sample_id, len(x) AS n, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS p FROM pool WHERE len(x) >= 4 AND list_max(x) > list_min(x)),
@@ -381,7 +364,7 @@ FROM e JOIN mo USING (sample_id) GROUP BY e.sample_id"""
 
 @query(_FEAT)
 def series_features(spark, sf):
-    """ARR-19, WIN-09/11/12/13, MTH-07/08: shape and texture features in one long-form pass."""
+    """ARR-19, WIN-09/11/12/13, MTH-07/08: shape and texture features, one Arrow pass without a shuffle."""
     from quillon.operators.features import series_features as build
 
     return build(B.pool(spark, sf).where("size(x) >= 4"), "sample_id", "x")

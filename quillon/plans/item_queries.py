@@ -12,7 +12,7 @@ from quillon.operators import sampling as S
 from quillon.plans import base as B
 from quillon.plans.registry import query
 from quillon.plans.text_queries import _SENT
-from quillon.session import read_table
+from quillon.session import read_table, stage
 
 _LAB = "trim(lower(split_part(class_label, ';', {0})), ' ')"
 _POOLS = f"""lab AS (SELECT pair_no, sample_id, {_LAB.format(1)} AS fluct, {_LAB.format(2)} AS shape, {_SENT.format('caption')} AS s FROM pairs WHERE caption IS NOT NULL AND class_label IS NOT NULL),
@@ -38,18 +38,10 @@ def clause_pools(spark, sf):
     return pools(spark, sf).groupBy("slot", "value").agg(F.count("*").alias("n"), F.min("clause").alias("first_clause"))
 
 
-_ITEMS = f"""{_POOLS}, dirs AS (SELECT component, slot, value_a AS source, value_b AS target FROM component_pairs WHERE slot = 'fluct' UNION ALL SELECT component, slot, value_b, value_a FROM component_pairs WHERE slot = 'fluct'),
-it0 AS (SELECT component || '|' || pair_no || '|' || target AS item_key, component, d.slot, source, target, s, s[len(s)] AS clause FROM lab JOIN dirs d ON lab.fluct = d.source WHERE len(s) >= 2),
-it AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY component, source, target ORDER BY md5('42|' || item_key), item_key) AS pick FROM it0) WHERE pick <= 5),
-c AS (SELECT item_key, p.clause AS new_clause, row_number() OVER (PARTITION BY item_key ORDER BY abs(length(p.clause) - length(it.clause)), p.clause) AS near FROM it JOIN pools p ON p.slot = it.slot AND p.value = it.target),
-ch AS (SELECT item_key, arg_min(new_clause, md5('42|' || item_key || '|' || near)) AS new_clause FROM c WHERE near <= 3 GROUP BY item_key),
-gen AS (SELECT it.*, new_clause, array_to_string(list_concat(s[1:len(s) - 1], [new_clause]), ' ') AS distractor, array_to_string(s, ' ') AS correct FROM it JOIN ch USING (item_key))"""
-
-
-def generated(spark, sf, slots=("fluct", "shape")):
+def generated(spark, sf):
     """Swap items: both directions, five items per direction, a clause of the target put in for the caption's last
     sentence (fluctuation) or its first (shape)."""
-    dirs = I.both_directions(read_table(spark, sf, "component_pairs").where(F.col("slot").isin(*slots)))
+    dirs = I.both_directions(read_table(spark, sf, "component_pairs"))
     parts = F.array(
         F.struct(F.lit("fluct").alias("slot"), F.col("fluct").alias("source"), F.element_at("s", -1).alias("clause")),
         F.struct(F.lit("shape").alias("slot"), F.col("shape").alias("source"), F.element_at("s", 1).alias("clause")),
@@ -70,22 +62,7 @@ def validated(items):
     )
 
 
-@query(f"WITH {_ITEMS} SELECT item_key, component, source, target, new_clause, distractor FROM gen")
-def swap_items(spark, sf):
-    """ITM-02, ITM-03, WIN-14, JON-11: clause substitution with quota and hash pick; the fluctuation slot only, as its
-    SQL; both slots are in swap_items_all."""
-    return generated(spark, sf, ["fluct"]).select("item_key", "component", "source", "target", "new_clause", "distractor")
-
-
-@query(f"""WITH {_ITEMS} SELECT component, count(*) AS n, count(*) FILTER (correct = distractor) AS n_identical, count(*) FILTER (len({_SENT.format('distractor')}) <> len(s)) AS n_other_length,
-  count(*) FILTER (list_sum(list_transform(range(1, len(s) + 1), lambda i: (s[i] <> list_concat(s[1:len(s) - 1], [new_clause])[i])::INT)) = 1) AS n_one_clause FROM gen GROUP BY component""")
-def item_validate(spark, sf):
-    """ITM-04: no identity, same sentence count, exactly one differing clause; the fluctuation slot only, as its SQL; both
-    slots are in item_validate_all."""
-    return validated(generated(spark, sf, ["fluct"]))
-
-
-_ITEMS_ALL = f"""{_POOLS}, dirs AS (SELECT component, slot, value_a AS source, value_b AS target FROM component_pairs UNION ALL SELECT component, slot, value_b, value_a FROM component_pairs),
+_ITEMS = f"""{_POOLS}, dirs AS (SELECT component, slot, value_a AS source, value_b AS target FROM component_pairs UNION ALL SELECT component, slot, value_b, value_a FROM component_pairs),
 it0 AS (SELECT component || '|' || pair_no || '|' || target AS item_key, component, d.slot, source, target, s, CASE d.slot WHEN 'shape' THEN s[1] ELSE s[len(s)] END AS clause
   FROM lab JOIN dirs d ON CASE d.slot WHEN 'shape' THEN lab.shape ELSE lab.fluct END = d.source WHERE len(s) >= 2),
 it AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY component, source, target ORDER BY md5('42|' || item_key), item_key) AS pick FROM it0) WHERE pick <= 5),
@@ -94,15 +71,15 @@ ch AS (SELECT item_key, arg_min(new_clause, md5('42|' || item_key || '|' || near
 gen AS (SELECT it.*, new_clause, CASE it.slot WHEN 'shape' THEN list_concat([new_clause], s[2:]) ELSE list_concat(s[1:len(s) - 1], [new_clause]) END AS swapped, array_to_string(swapped, ' ') AS distractor, array_to_string(s, ' ') AS correct FROM it JOIN ch USING (item_key))"""
 
 
-@query(f"WITH {_ITEMS_ALL} SELECT item_key, component, slot, source, target, new_clause, distractor FROM gen")
-def swap_items_all(spark, sf):
+@query(f"WITH {_ITEMS} SELECT item_key, component, slot, source, target, new_clause, distractor FROM gen")
+def swap_items(spark, sf):
     """ITM-02, ITM-03, WIN-14, JON-11: clause substitution in both slots with quota and hash pick."""
     return generated(spark, sf).select("item_key", "component", "slot", "source", "target", "new_clause", "distractor")
 
 
-@query(f"""WITH {_ITEMS_ALL} SELECT component, count(*) AS n, count(*) FILTER (correct = distractor) AS n_identical, count(*) FILTER (len({_SENT.format('distractor')}) <> len(s)) AS n_other_length,
+@query(f"""WITH {_ITEMS} SELECT component, count(*) AS n, count(*) FILTER (correct = distractor) AS n_identical, count(*) FILTER (len({_SENT.format('distractor')}) <> len(s)) AS n_other_length,
   count(*) FILTER (list_sum(list_transform(range(1, len(s) + 1), lambda i: (s[i] <> swapped[i])::INT)) = 1) AS n_one_clause FROM gen GROUP BY component""")
-def item_validate_all(spark, sf):
+def item_validate(spark, sf):
     """ITM-04: no identity, same sentence count, exactly one differing clause, over the items of both slots."""
     return validated(generated(spark, sf))
 
@@ -136,6 +113,7 @@ def donors(spark, sf):
     p = B.pool(spark, sf).select(F.col("sample_id").alias("id"))
     # contiguous numbers without one global window: ranks within hash-free ranges plus offsets of the ranges
     ranged = p.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").withColumn("part", F.spark_partition_id())
+    ranged = stage(ranged, "ranged")  # the ranges are read twice and must not be cut again
     sizes = ranged.groupBy("part").agg(F.count("*").alias("k"))
     offsets = sizes.withColumn("before", F.sum("k").over(W.orderBy("part")) - F.col("k")).select("part", "before")  # one row per partition
     idx = (F.row_number().over(W.partitionBy("part").orderBy("id")) - 1 + F.col("before")).cast("long")

@@ -80,15 +80,16 @@ def rank_bidirectional(spark, sf):
     return forward.join(back.select("query_id", R.competition_rank().alias("back_rank")), "query_id")
 
 
-@query(f"""WITH {_E}, grp AS (SELECT vec_id, label, e, min(vec_id) OVER (PARTITION BY vec_id % 50) AS first_id FROM emb),
+@query(f"""WITH {_E}, grp AS (SELECT vec_id, label, e, min(vec_id) OVER (PARTITION BY list_transform(e[1:6], lambda x: x > 0)) AS first_id FROM emb),
 canon AS (SELECT g.vec_id AS vec_id, f.e AS e FROM grp g JOIN emb f ON f.vec_id = g.first_id),
 q AS (SELECT emb.vec_id AS query_id, {B.HALF_SQL.replace('e[', 'emb.e[')} AS qv, list_dot_product({B.HALF_SQL.replace('e[', 'emb.e[')}, canon.e) AS sg FROM emb JOIN canon USING (vec_id))
 SELECT query_id, 1 + count(*) FILTER (list_dot_product(qv, canon.e) > sg + 1e-9)
   + (count(*) FILTER (abs(list_dot_product(qv, canon.e) - sg) <= 1e-9) - 1) / 2.0::DOUBLE AS avg_rank FROM q, canon GROUP BY query_id""")
 def rank_tie_canonical(spark, sf):
-    """WIN-04: members with one content key take the first member's vector, then average ranks."""
+    """WIN-04: members with one content key take the first member's vector, then average ranks. The key is read off the
+    content: the signs of the first six values, as distinct vectors are all the table has."""
     vec = B.vectors(spark, sf)
-    content = F.col("id") % 50
+    content = F.transform(F.slice("vec", 1, 6), lambda x: x > 0)
     first = vec.groupBy(content.alias("content")).agg(F.min_by("vec", "id").alias("v"))
     canon = vec.select("id", content.alias("content")).join(first, "content").select("id", F.col("v").alias("vec"))
     return R.rank_against_pool(B.half_swapped(spark, sf), canon).select("query_id", R.average_rank().alias("avg_rank"))
@@ -163,10 +164,7 @@ SELECT query_id, count(*) FILTER (best > 0.3) AS n_relevant, round(max(best), 6)
 def judge_similarity(spark, sf):
     """MLO-05: best similarity to any caption of a signal (here a label's vectors), relevant above a threshold."""
     vec = B.vectors(spark, sf)
-    labels = vec.select(F.col("id").alias("member_id"), F.col("label").alias("signal"))
-    n = vec.count()
-    near = R.top_members(vec, vec, n).join(labels, "member_id")
-    best = near.groupBy("query_id", "signal").agg(F.max("score").alias("best"))
+    best = R.best_by_label(vec, vec)
     return best.groupBy("query_id").agg(F.count_if(F.col("best") > 0.3).alias("n_relevant"), rounded(F.max("best"), 6).alias("best"))
 
 

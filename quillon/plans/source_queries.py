@@ -10,7 +10,7 @@ from quillon.operators import ml
 from quillon.operators.features import series_features
 from quillon.plans import base as B
 from quillon.plans.registry import query
-from quillon.session import new_folder, read_table
+from quillon.session import new_folder, read_table, stage
 from quillon.sources import readers as R
 from quillon.sources import sinks as S
 from quillon.streaming import events as E
@@ -42,20 +42,23 @@ def file_gates(spark, sf):
     return g.agg(F.count("*").alias("n"), F.countDistinct("line_id").alias("n_ids"), F.min("line_id").alias("first"), (F.max("line_id") - F.min("line_id") + 1 == F.count("*")).alias("contiguous"))
 
 
-@query("SELECT sample_id, count(caption) AS n_annotations, len(arg_min(series, pair_no)) AS n_points FROM pairs WHERE sample_id IS NOT NULL AND dataset = 'truce_synth' AND series IS NOT NULL GROUP BY sample_id")
+@query("SELECT dataset, sample_id, count(caption) AS n_annotations, len(arg_min(series, pair_no)) AS n_points FROM pairs WHERE sample_id IS NOT NULL AND dataset IS NOT NULL AND series IS NOT NULL GROUP BY dataset, sample_id")
 def keyed_object_json(spark, sf):
-    """SRC-01, JSN-03, M12: objects keyed by id, annotations as lists or lists of lists; one file per hash bucket."""
-    rows = read_table(spark, sf, "pairs").where("sample_id is not null and dataset = 'truce_synth' and series is not null")
-    one = rows.groupBy("sample_id").agg(F.collect_list("caption").alias("a"), F.min_by("series", "pair_no").alias("series"))
+    """SRC-01, JSN-03, M12: objects keyed by id, annotations as lists or lists of lists, a folder of files per corpus. A file's
+    object holds about 200 entries, so none outgrows a row however many there are."""
+    rows = read_table(spark, sf, "pairs").where("sample_id is not null and dataset is not null and series is not null")
+    one = rows.groupBy("dataset", "sample_id").agg(F.collect_list("caption").alias("a"), F.min_by("series", "pair_no").alias("series"))
+    one = stage(one, "keyed-entries")
+    files = max(1, one.count() // 200)
     raw = F.when(F.pmod(F.xxhash64("sample_id"), F.lit(2)) == 0, F.to_json("a")).otherwise(F.to_json(F.array("a")))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     entry = F.struct(F.col("sample_id").alias("key"), F.struct(raw.alias("annotations"), "series").alias("value"))
-    files = one.groupBy(F.pmod(F.xxhash64("sample_id", F.lit(3)), F.lit(n)).alias("b")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    objects = one.groupBy("dataset", F.pmod(F.xxhash64("sample_id", F.lit(3)), F.lit(files)).alias("b")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
     path = new_folder(spark, "keyed")
-    files.select("value").repartition(n, "value").write.text(path)
+    objects.select("dataset", "value").write.partitionBy("dataset").text(path)
     # a text file may hold several objects: read by line, each an object
-    objects = spark.read.text(path).select(F.explode(F.from_json("value", "map<string,struct<annotations:string,series:array<double>>>")).alias("sample_id", "v"))
-    return objects.select("sample_id", F.size(R.annotation_texts(F.col("v.annotations"))).cast("long").alias("n_annotations"), F.size("v.series").cast("long").alias("n_points"))
+    lines = spark.read.schema("value string, dataset string").text(path)
+    back = lines.select("dataset", F.explode(F.from_json("value", "map<string,struct<annotations:string,series:array<double>>>")).alias("sample_id", "v"))
+    return back.select("dataset", "sample_id", F.size(R.annotation_texts(F.col("v.annotations"))).cast("long").alias("n_annotations"), F.size("v.series").cast("long").alias("n_points"))
 
 
 @query("SELECT dataset, split, count(*) AS n, min(pair_no) AS first FROM pairs WHERE dataset = 'sushi' GROUP BY dataset, split")
@@ -77,14 +80,8 @@ def sheet_roundtrip(spark, sf):
     return back.select("idx", *[F.coalesce(c, F.lit("")).alias(c) for c in ("component", "caption_correct", "verdict")])
 
 
-@query("SELECT item_id AS id FROM probe1_items WHERE md5(item_id) < '3'")
-def id_list_roundtrip(spark, sf):
-    """SRC-10, SNK-08: id list with comments, of the ids that its SQL takes; all are in id_list_roundtrip_all."""
-    return id_list(spark, read_table(spark, sf, "probe1_items").where(F.md5("item_id") < "3"))
-
-
 @query("SELECT item_id AS id FROM probe1_items")
-def id_list_roundtrip_all(spark, sf):
+def id_list_roundtrip(spark, sf):
     """SRC-10, SNK-08: id list of all items with comments."""
     return id_list(spark, read_table(spark, sf, "probe1_items"))
 
@@ -96,11 +93,11 @@ def id_list(spark, items):
     return R.id_list(spark, path)
 
 
-@query("SELECT item_id, seed, margin FROM item_scores WHERE probe_condition = 'swap' AND margin::VARCHAR <> 'nan'")
+@query("SELECT item_id, seed, margin FROM item_scores WHERE margin::VARCHAR <> 'nan'")
 def json_lines_roundtrip(spark, sf):
     """SNK-02, SNK-03: per-item records as JSON lines."""
     path = new_folder(spark, "jsonl")
-    S.write_json_lines(read_table(spark, sf, "item_scores").where("probe_condition = 'swap' and not isnan(margin) and margin is not null").select("item_id", "seed", "margin"), path)
+    S.write_json_lines(read_table(spark, sf, "item_scores").where("not isnan(margin) and margin is not null").select("item_id", "seed", "margin"), path)
     return spark.read.schema("item_id string, seed string, margin double").json(path)
 
 
@@ -143,7 +140,8 @@ def line_scan(spark, sf):
     return lines.where(F.col("line").rlike("(seed|probe) [0-9]+")).select("doc_id", (F.col("p") + 1).cast("long").alias("nr"), "line")
 
 
-@query()
+@query("""WITH ok AS (SELECT line_text::JSON AS j FROM (SELECT * FROM pair_lines WHERE json_valid(line_text)) WHERE json_type(line_text) = 'OBJECT')
+SELECT array_to_string(list_sort(json_keys(j)), ',') AS keys, count(*) AS n FROM ok GROUP BY 1""")
 def json_shapes(spark, sf):
     """SRC-20: the shapes of JSON lines and how often each occurs."""
     valid = R.json_records(read_table(spark, sf, "pair_lines"), "line_text", R.PAIR_JSON).where("not broken")

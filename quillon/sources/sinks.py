@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.session import stage
+
 
 def write_pairs(pairs: DataFrame, path: str) -> None:
     """The canonical table, partitioned by dataset and split."""
@@ -43,6 +46,7 @@ def resume(jobs: DataFrame, spark: SparkSession, path: str, keys: list[str], run
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         left = jobs
+    left = stage(left, "jobs-left")  # counted and run, joined once
     n = left.count()
     if n:
         run(left).write.mode("append").parquet(path)
@@ -64,9 +68,10 @@ def content_key(text: str = "text"):
     return F.substring(F.sha2(F.col(text), 256), 1, 32)
 
 
-def encode_missing(texts: DataFrame, spark: SparkSession, cache: str, encode: Callable[[list[str]], np.ndarray], retries: int = 5) -> int:
+def encode_missing(texts: DataFrame, spark: SparkSession, cache: str, encode: Callable[[list[str]], np.ndarray], retries: int = 5, wait: float = 1.0) -> int:
     """Encode the distinct texts the cache at ``cache`` does not hold, and append them; the number encoded. A batch that
-    fails is tried again ``retries`` times; stale rows cannot occur, since keys are content hashes."""
+    fails is tried again up to ``retries`` times, after ``wait`` seconds and then twice as long each time; vectors of
+    unequal width or not one per text are an error; stale rows cannot occur, since keys are content hashes."""
     keyed = texts.where("text is not null").select("text").distinct().select(content_key().alias("key"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,6 +86,9 @@ def encode_missing(texts: DataFrame, spark: SparkSession, cache: str, encode: Ca
                 except Exception:
                     if attempt == retries - 1:
                         raise
+                    time.sleep(wait * 2**attempt)
+            if vectors.ndim != 2 or len(vectors) != len(values):
+                raise ValueError(f"{len(values)} texts gave vectors of shape {vectors.shape}")
             flat = pa.array(vectors.astype(np.float32).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.__len__() + 1, vectors.shape[1], dtype=np.int32)), flat)
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["key", "vec"])

@@ -58,6 +58,6 @@ def test_every_pattern_is_counted(spark, tmp_path):
 
     texts = ["Up then down", "a slope from low to a higher crest", "trending, then steep", "late", None]
     spark.createDataFrame([(t,) for t in texts], "caption string").write.parquet(f"{tmp_path}/pairs.parquet")
-    got = {r.pattern: r.n_captions for r in registry.queries()["pattern_docfreq_all"](spark, str(tmp_path)).collect()}
+    got = {r.pattern: r.n_captions for r in registry.queries()["pattern_docfreq"](spark, str(tmp_path)).collect()}
     assert got == {"up": 1, "then": 2, "down": 1, r"slop\w*": 1, r"from\b[^.]*\bto": 1, "higher": 1, r"crest\w*": 1, r"trend\w*": 1, r"steep\w*": 1, "late[rst]*": 1}
     assert set(got) <= set(V.ORDER_CLAIMS)
