@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 
 from quillon.functions.hashing import hash_int, uniform
 from quillon.operators.sampling import hash_ranks
+from quillon.session import stage
 
 
 def bootstrap(clusters: DataFrame, group: list[str], cluster: str, sums: list[str], replicates: int, seed: int = 42) -> DataFrame:
@@ -27,6 +28,7 @@ def bootstrap(clusters: DataFrame, group: list[str], cluster: str, sums: list[st
     sizes = clusters.groupBy(*group).agg(F.count("*").alias("k"))
     draws = (
         sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+        .repartition(*group, "b")  # a group's draws are made by as many tasks as there are, not by the one that holds its row
         .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
         .withColumn("idx", F.pmod(hash_int(F.concat_ws("|", F.lit(str(seed)), F.col("b"), F.col("j"))), F.col("k")))
     )
@@ -61,22 +63,38 @@ def correlation(x: str | Column, y: str | Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
+def value_ranks(counts: DataFrame, group: list[str], value: str, n: str) -> DataFrame:
+    """``counts``, one row per group and value with ``n`` rows each, with ``rank``, the mean rank of the value's rows.
+
+    Values are cut into ranges; the sizes of the ranges before a value are added to its place within its own, so no group
+    is sorted by one task. The ranges are staged, since they are read twice."""
+    spark = counts.sparkSession
+    ranged = counts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *group, value).withColumn("part_", F.spark_partition_id())
+    ranged = stage(ranged, "value-ranges")
+    sizes = ranged.groupBy(*group, "part_").agg(F.sum(n).alias("k_"))
+    before = sizes.select(*group, "part_", (F.sum("k_").over(W.partitionBy(*group).orderBy("part_")) - F.col("k_")).alias("before_"))  # a row per range
+    inside = F.sum(n).over(W.partitionBy(*group, "part_").orderBy(value))
+    ranked = ranged.withColumn("inside_", inside).join(before, [*group, "part_"])
+    return ranked.withColumn("rank", F.col("before_") + F.col("inside_") - F.col(n) + (F.col(n) + 1) / 2.0).drop("part_", "before_", "inside_")
+
+
 def average_ranks(df: DataFrame, group: list[str], value: str, out: str = "rank") -> DataFrame:
-    """Ranks of ``value`` within the group, ties sharing their mean rank."""
-    w = W.partitionBy(*group)
-    ties = W.partitionBy(*group, value)
-    return df.withColumn(out, F.rank().over(w.orderBy(value)) + (F.count("*").over(ties) - 1) / 2.0)
+    """Rows with a group and a value, and the rank of the value within the group, ties sharing their mean rank."""
+    ranked = value_ranks(df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n_")), group, value, "n_")
+    return df.join(ranked.select(*group, value, F.col("rank").alias(out)), [*group, value])
 
 
 def wilcoxon(diffs: DataFrame, group: list[str], d: str) -> DataFrame:
-    """(group..., n, w_plus, w_minus, z): signed-rank statistic without zeros, normal approximation with tie correction."""
-    used = diffs.where((F.col(d) != 0) & F.col(d).isNotNull()).withColumn("size_", F.abs(d))
-    ranked = average_ranks(used, group, "size_", "rank_").withColumn("ties_", F.count("*").over(W.partitionBy(*group, "size_")))
-    out = ranked.groupBy(*group).agg(
-        F.count("*").alias("n"),
-        F.sum(F.when(F.col(d) > 0, F.col("rank_")).otherwise(0.0)).alias("w_plus"),
-        F.sum(F.when(F.col(d) < 0, F.col("rank_")).otherwise(0.0)).alias("w_minus"),
-        F.sum(F.col("ties_") * F.col("ties_") - 1).alias("correction_"),
+    """(group..., n, w_plus, w_minus, z): signed-rank statistic without zeros, normal approximation with tie correction.
+    Rows are counted per size and sign before sizes are ranked."""
+    used = diffs.where((F.col(d) != 0) & F.col(d).isNotNull())
+    sizes = used.groupBy(*group, F.abs(d).alias("size_")).agg(F.count("*").alias("n_"), F.count_if(F.col(d) > 0).alias("plus_"))
+    n_ = F.col("n_")
+    out = value_ranks(sizes, group, "size_", "n_").groupBy(*group).agg(
+        F.sum("n_").alias("n"),
+        F.sum(F.col("rank") * F.col("plus_")).alias("w_plus"),
+        F.sum(F.col("rank") * (n_ - F.col("plus_"))).alias("w_minus"),
+        F.sum(n_ * (n_ * n_ - 1)).alias("correction_"),
     )
     n = F.col("n").cast("double")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("correction_") / 48.0
@@ -84,13 +102,12 @@ def wilcoxon(diffs: DataFrame, group: list[str], d: str) -> DataFrame:
 
 
 def mann_whitney(values: DataFrame, group: list[str], value: str, first: str) -> DataFrame:
-    """(group..., n1, n2, u, z) of the rows where the boolean ``first`` holds against the others."""
-    ranked = average_ranks(values, group, value, "rank_").withColumn("ties_", F.count("*").over(W.partitionBy(*group, value)))
-    out = ranked.groupBy(*group).agg(
-        F.count_if(F.col(first)).alias("n1"),
-        F.count_if(~F.col(first)).alias("n2"),
-        F.sum(F.when(F.col(first), F.col("rank_"))).alias("r1_"),
-        F.sum(F.col("ties_") * F.col("ties_") - 1).alias("correction_"),
+    """(group..., n1, n2, u, z) of the rows where the boolean ``first`` holds against the others, counted per value before
+    values are ranked."""
+    counts = values.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n_"), F.count_if(first).alias("first_"))
+    n_ = F.col("n_")
+    out = value_ranks(counts, group, value, "n_").groupBy(*group).agg(
+        F.sum("first_").alias("n1"), F.sum(n_ - F.col("first_")).alias("n2"), F.sum(F.col("rank") * F.col("first_")).alias("r1_"), F.sum(n_ * (n_ * n_ - 1)).alias("correction_")
     )
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2

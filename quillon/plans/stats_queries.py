@@ -11,6 +11,8 @@ from quillon.plans import base as B
 from quillon.plans.registry import query
 from quillon.session import read_table
 
+#: Replicates of the registered bootstraps.
+REPLICATES = 2000
 _S = f"WITH {B.SCORES_SQL}"
 
 
@@ -88,14 +90,14 @@ _PICK = "('0x' || substr(md5('42|' || b || '|' || j), 1, 12))::BIGINT % k"
 _BOOT = f"""{_S}, cl AS (SELECT component, sample_id, coalesce(sum(correct::INT) FILTER (probe_condition = 'swap'), 0) AS ss, count(*) FILTER (probe_condition = 'swap') AS sn,
   coalesce(sum(correct::INT) FILTER (probe_condition = 'random'), 0) AS rs, count(*) FILTER (probe_condition = 'random') AS rn FROM scores WHERE sample_id IS NOT NULL GROUP BY ALL),
 ix AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY md5(sample_id), sample_id) - 1 AS idx, count(*) OVER (PARTITION BY component) AS k FROM cl),
-dr AS (SELECT component, k, b, unnest(range(0, k)) AS j FROM (SELECT DISTINCT component, k FROM ix), range(0, 100) t(b)),
+dr AS (SELECT component, k, b, unnest(range(0, k)) AS j FROM (SELECT DISTINCT component, k FROM ix), range(0, {REPLICATES}) t(b)),
 rep AS (SELECT d.component, b, sum(ss) AS ss, sum(sn) AS sn, sum(rs) AS rs, sum(rn) AS rn FROM (SELECT *, {_PICK} AS idx FROM dr) d JOIN ix ON ix.component = d.component AND ix.idx = d.idx GROUP BY ALL)"""
 
 
 @query(f"""{_BOOT} SELECT component, count(*) AS n_rep, round(quantile_cont((ss + rs)::DOUBLE / (sn + rn), 0.025), 6) AS low, round(quantile_cont((ss + rs)::DOUBLE / (sn + rn), 0.975), 6) AS high FROM rep GROUP BY component""")
 def cluster_bootstrap_ci(spark, sf):
     """STA-01, STA-02: cluster bootstrap of accuracy from per-cluster sums."""
-    rep = I.bootstrap(clusters(spark, sf), ["component"], "sample_id", ["ss", "sn", "rs", "rn"], 100)
+    rep = I.bootstrap(clusters(spark, sf), ["component"], "sample_id", ["ss", "sn", "rs", "rn"], REPLICATES)
     low, high = I.interval((F.col("ss") + F.col("rs")) / (F.col("sn") + F.col("rn")))
     return rep.groupBy("component").agg(F.count("*").alias("n_rep"), r6(low, "low"), r6(high, "high"))
 
@@ -107,7 +109,7 @@ _GAP = f"{_BOOT}, g AS (SELECT component, b, rs::DOUBLE / rn - ss::DOUBLE / sn A
   round(2 * least(avg((gap <= 0)::INT), avg((gap >= 0)::INT)), 8) AS p, quantile_cont(gap, 0.05) > -0.2 AND quantile_cont(gap, 0.95) < 0.2 AS equivalent FROM g GROUP BY component""")
 def bootstrap_gap(spark, sf):
     """STA-03, STA-08, STA-18: intervals of the gap, its bootstrap p and the equivalence verdict."""
-    rep = I.bootstrap(clusters(spark, sf), ["component"], "sample_id", ["ss", "sn", "rs", "rn"], 100)
+    rep = I.bootstrap(clusters(spark, sf), ["component"], "sample_id", ["ss", "sn", "rs", "rn"], REPLICATES)
     g = rep.where("rn > 0 and sn > 0").withColumn("gap", F.col("rs") / F.col("rn") - F.col("ss") / F.col("sn"))
     gap = F.col("gap")
     (l95, h95), (l90, h90) = I.interval(gap), I.interval(gap, 0.90)
@@ -121,7 +123,7 @@ SELECT component, CASE WHEN acc < 0.3 THEN 'VOID' WHEN lo > 0 THEN 'DEGRADED' WH
 def replication_verdict(spark, sf):
     """STA-15, STA-16: verdict algebra over intervals, void when the reference cell is too low."""
     cl = clusters(spark, sf)
-    g = I.bootstrap(cl, ["component"], "sample_id", ["ss", "sn", "rs", "rn"], 100).where("rn > 0 and sn > 0").withColumn("gap", F.col("rs") / F.col("rn") - F.col("ss") / F.col("sn"))
+    g = I.bootstrap(cl, ["component"], "sample_id", ["ss", "sn", "rs", "rn"], REPLICATES).where("rn > 0 and sn > 0").withColumn("gap", F.col("rs") / F.col("rn") - F.col("ss") / F.col("sn"))
     (lo, hi), (l9, h9) = I.interval(F.col("gap")), I.interval(F.col("gap"), 0.90)
     ci = g.groupBy("component").agg(lo.alias("lo"), hi.alias("hi"), l9.alias("l9"), h9.alias("h9"))
     base = cl.groupBy("component").agg((F.sum("ss") / F.sum("sn")).alias("acc"))
@@ -136,12 +138,12 @@ _PU = B.U_SQL.format("'p42|' || b || '|' || sample_id")
 
 
 @query(f"""{_S}, cl AS (SELECT component, sample_id, sum(correct::INT) AS s, count(*) AS n FROM scores WHERE sample_id IS NOT NULL GROUP BY ALL),
-w AS (SELECT *, {_PU} AS u FROM cl, range(0, 50) t(b)), rep AS (SELECT component, b, sum(s * ({_PW}))::DOUBLE / sum(n * ({_PW})) AS m FROM w GROUP BY ALL HAVING sum({_PW}) > 0)
+w AS (SELECT *, {_PU} AS u FROM cl, range(0, {REPLICATES}) t(b)), rep AS (SELECT component, b, sum(s * ({_PW}))::DOUBLE / sum(n * ({_PW})) AS m FROM w GROUP BY ALL HAVING sum({_PW}) > 0)
 SELECT component, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM rep GROUP BY component""")
 def poisson_bootstrap_ci(spark, sf):
     """STA-01 without an index over clusters: Poisson weights, map-side sums only."""
     cl = B.scores(spark, sf).where("sample_id is not null").groupBy("component", "sample_id").agg(F.sum(F.col("correct").cast("int")).alias("s"), F.count("*").alias("n"))
-    rep = I.poisson_bootstrap(cl, ["component"], "sample_id", ["s", "n"], 50).withColumn("m", F.col("s") / F.col("n"))
+    rep = I.poisson_bootstrap(cl, ["component"], "sample_id", ["s", "n"], REPLICATES).withColumn("m", F.col("s") / F.col("n"))
     low, high = I.interval(F.col("m"))
     return rep.groupBy("component").agg(r6(low, "low"), r6(high, "high"))
 
@@ -153,7 +155,7 @@ _DID = f"""{_BOOT}, t AS (SELECT a.component AS first_component, b.component AS
 @query(f"{_DID} SELECT first_component, second_component, round(avg(d), 6) AS mean, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high FROM t GROUP BY ALL")
 def did_independent(spark, sf):
     """STA-05, STA-06, STA-14: difference of gaps between two independently resampled groups, replicate by replicate."""
-    rep = I.bootstrap(clusters(spark, sf), ["component"], "sample_id", ["ss", "sn", "rs", "rn"], 100).where("rn > 0 and sn > 0")
+    rep = I.bootstrap(clusters(spark, sf), ["component"], "sample_id", ["ss", "sn", "rs", "rn"], REPLICATES).where("rn > 0 and sn > 0")
     gap = rep.select("component", "b", (F.col("rs") / F.col("rn") - F.col("ss") / F.col("sn")).alias("g"))
     t = gap.select(F.col("component").alias("first_component"), "b", F.col("g").alias("g1")).join(gap.select(F.col("component").alias("second_component"), "b", F.col("g").alias("g2")), "b")
     d = F.col("g1") - F.col("g2")
@@ -164,7 +166,7 @@ def did_independent(spark, sf):
 @query(f"""{_S}, cl AS (SELECT sample_id, coalesce(sum(margin) FILTER (probe_condition = 'swap' AND seed = lo), 0) AS a, count(*) FILTER (probe_condition = 'swap' AND seed = lo) AS an,
   coalesce(sum(margin) FILTER (probe_condition = 'random' AND seed = lo), 0) AS c, count(*) FILTER (probe_condition = 'random' AND seed = lo) AS cn FROM scores, (SELECT min(seed) AS lo FROM scores) WHERE sample_id IS NOT NULL GROUP BY sample_id),
 ix AS (SELECT *, row_number() OVER (ORDER BY md5(sample_id), sample_id) - 1 AS idx, count(*) OVER () AS k FROM cl),
-dr AS (SELECT k, b, unnest(range(0, k)) AS j FROM (SELECT DISTINCT k FROM ix), range(0, 60) t(b)),
+dr AS (SELECT k, b, unnest(range(0, k)) AS j FROM (SELECT DISTINCT k FROM ix), range(0, {REPLICATES}) t(b)),
 rep AS (SELECT b, sum(a) / sum(an) AS m1, sum(c) / sum(cn) AS m2 FROM (SELECT b, {_PICK} AS idx FROM dr) d JOIN ix USING (idx) GROUP BY b HAVING sum(an) > 0 AND sum(cn) > 0)
 SELECT count(*) AS n_rep, round(quantile_cont(m1 - m2, 0.025), 6) AS low, round(quantile_cont(m1 - m2, 0.975), 6) AS high FROM rep""")
 def did_joint(spark, sf):
@@ -176,7 +178,7 @@ def did_joint(spark, sf):
     cl = s.groupBy("sample_id").agg(
         F.sum(F.when(a, F.col("margin")).otherwise(0.0)).alias("a"), F.count_if(a).alias("an"), F.sum(F.when(c, F.col("margin")).otherwise(0.0)).alias("c"), F.count_if(c).alias("cn")
     )
-    rep = I.bootstrap(cl, [], "sample_id", ["a", "an", "c", "cn"], 60).where("an > 0 and cn > 0")
+    rep = I.bootstrap(cl, [], "sample_id", ["a", "an", "c", "cn"], REPLICATES).where("an > 0 and cn > 0")
     lo, hi = I.interval(F.col("a") / F.col("an") - F.col("c") / F.col("cn"))
     return rep.agg(F.count("*").alias("n_rep"), r6(lo, "low"), r6(hi, "high"))
 
@@ -277,7 +279,7 @@ def spearman_pairs(spark, sf):
 
 
 @query(f"""{_UP}, ix AS (SELECT a, b, row_number() OVER (ORDER BY md5(component || '#' || pair), component || '#' || pair) - 1 AS idx, count(*) OVER () AS k FROM u),
-dr AS (SELECT k, b AS rep, unnest(range(0, k)) AS j FROM (SELECT DISTINCT k FROM ix), range(0, 50) t(b)),
+dr AS (SELECT k, b AS rep, unnest(range(0, k)) AS j FROM (SELECT DISTINCT k FROM ix), range(0, {REPLICATES}) t(b)),
 rp AS (SELECT rep, corr(a, b) AS r FROM (SELECT rep, ('0x' || substr(md5('42|' || rep || '|' || j), 1, 12))::BIGINT % k AS idx FROM dr) d JOIN ix USING (idx) GROUP BY rep)
 SELECT count(*) AS n_rep, round(quantile_cont(r, 0.025), 5) AS low, round(quantile_cont(r, 0.975), 5) AS high FROM rp WHERE r IS NOT NULL AND NOT isnan(r)""")
 def corr_bootstrap(spark, sf):
@@ -285,7 +287,7 @@ def corr_bootstrap(spark, sf):
     a, b = F.col("a"), F.col("b")
     one = F.lit(1.0)
     u = unordered_pairs(spark, sf).select(F.concat_ws("#", "component", "pair").alias("key"), a.alias("sa"), b.alias("sb"), (a * a).alias("saa"), (b * b).alias("sbb"), (a * b).alias("sab"), one.alias("n"))
-    rep = I.bootstrap(u, [], "key", ["sa", "sb", "saa", "sbb", "sab", "n"], 50)
+    rep = I.bootstrap(u, [], "key", ["sa", "sb", "saa", "sbb", "sab", "n"], REPLICATES)
     cov = F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")
     va, vb = F.col("saa") - F.col("sa") * F.col("sa") / F.col("n"), F.col("sbb") - F.col("sb") * F.col("sb") / F.col("n")
     r = rep.select(F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb)).alias("r")).where("r is not null")
