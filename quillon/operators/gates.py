@@ -60,3 +60,20 @@ def environment(spark: SparkSession) -> DataFrame:
     """Versions and settings, for the record."""
     keys = ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.adaptive.enabled")
     return spark.createDataFrame([("spark.version", spark.version), *[(k, spark.conf.get(k)) for k in keys]], "key string, value string")
+
+
+def expect_close(mine: DataFrame, golden: DataFrame, keys: list[str], value: str, kind: str, bounds: dict[str, float]) -> DataFrame:
+    """(kind, n_cells, deviation, ok) per kind of ``mine(keys, value, kind)``: its cells, their largest distance from the
+    golden table and whether that is within the kind's bound. A cell that only one table has makes its kind fail; cells
+    that only the golden table has are of the kind null."""
+    both = mine.select(*keys, kind, F.col(value).alias("mine_")).join(golden.select(*keys, F.col(value).alias("golden_")), keys, "full_outer")
+    bound = F.coalesce(*[F.when(F.col(kind) == k, F.lit(b)) for k, b in bounds.items()], F.lit(-1.0))
+    gap = F.abs(F.col("mine_") - F.col("golden_"))
+    return both.groupBy(F.col(kind).alias("kind")).agg(
+        F.count("*").alias("n_cells"), F.max(gap).alias("deviation"), F.bool_and(F.coalesce(gap <= bound, F.lit(False))).alias("ok")
+    )
+
+
+def expect_not_above(df: DataFrame, name: str, harsh: Column, mild: Column, buffer: float, hard: bool = True) -> DataFrame:
+    """Observed: one aggregate; expected: at most the other and the buffer."""
+    return gate(df, name, harsh, mild + buffer, hard, ok=harsh <= mild + buffer)

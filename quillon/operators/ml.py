@@ -8,27 +8,31 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from quillon.operators.sampling import hash_ranks
 from quillon.session import stage
 
 
-def cross_validate(features: DataFrame, label: str, columns: list[str], key: str, folds: int = 5, c: float = 1.0) -> DataFrame:
-    """(key, label, prediction, fold): out-of-fold predictions of a standardised logistic regression; folds are dealt per
-    label by hash order. Every fold is fitted on all rows of the others."""
-    from pyspark.ml import Pipeline
+def _stages(label: str, columns: list[str], penalty: float) -> list:
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 
-    order = W.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")), key)
-    data = stage(features.na.fill(0.0, columns).withColumn("fold", F.row_number().over(order) % folds), "folds")
-    n = data.count()
-    stages = [
+    return [
         StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc"),
         VectorAssembler(inputCols=columns, outputCol="raw"),
         StandardScaler(inputCol="raw", outputCol="x", withMean=True),
-        LogisticRegression(featuresCol="x", labelCol="y", regParam=1.0 / (c * max(1, n)), maxIter=15),
+        LogisticRegression(featuresCol="x", labelCol="y", regParam=penalty, maxIter=15),
     ]
+
+
+def cross_validate(features: DataFrame, label: str, columns: list[str], key: str, folds: int = 5, c: float = 1.0) -> DataFrame:
+    """(key, label, prediction, fold): out-of-fold predictions of a standardised logistic regression; folds are dealt per
+    label by hash order. Every fold is fitted on all rows of the others."""
+    from pyspark.ml import Pipeline
+
+    data = hash_ranks(features.na.fill(0.0, columns), [label], key, None).withColumn("fold", F.col("nth") % folds)
+    data = stage(data, "folds")
+    stages = _stages(label, columns, 1.0 / (c * max(1, data.count())))
     out = None
     for k in range(folds):
         model = Pipeline(stages=stages).fit(data.where(F.col("fold") != k))
@@ -37,6 +41,24 @@ def cross_validate(features: DataFrame, label: str, columns: list[str], key: str
     return out
 
 
+def fit(rows: DataFrame, columns: list[str], label: str = "label", c: float = 1.0):
+    """The standardised logistic regression fitted on all rows."""
+    from pyspark.ml import Pipeline
+
+    rows = stage(rows, "fit-rows")
+    return Pipeline(stages=_stages(label, columns, 1.0 / (c * max(1, rows.count())))).fit(rows)
+
+
+def save(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
 def encode_series(series: DataFrame, width: int = 8, seed: int = 7, budget: int = 16384) -> DataFrame:
     """(id, vec): random projections of the normalised series of ``series(id, x)``, in batches of equal length with at
     most ``budget`` values. A stand-in for a model; any ``ndarray -> ndarray`` encoder fits the same place."""

@@ -13,7 +13,7 @@ from quillon.functions.numbers import OFFSET
 Builder = Callable[[SparkSession, str], DataFrame]
 _ENTRIES: dict[str, tuple[Builder, str | None]] = {}
 #: Modules of this package that register queries.
-MODULES = ("retrieval_queries", "array_queries", "stats_queries", "text_queries", "item_queries", "audit_queries", "source_queries")
+MODULES = ("retrieval_queries", "array_queries", "stats_queries", "text_queries", "item_queries", "audit_queries", "source_queries", "file_queries")
 
 
 def nudge(sql: str) -> str:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -94,3 +96,46 @@ def encode_missing(texts: DataFrame, spark: SparkSession, cache: str, encode: Ca
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["key", "vec"])
 
     return resume(keyed, spark, cache, ["key"], lambda left: left.select("key", "text").mapInArrow(run, "key string, vec array<float>"))
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """Each row of ``files(name, content binary)`` as a file of its own below the folder, on any file system that Arrow
+    knows; names may have folders. A file of that name is replaced, so a task that runs again does no harm."""
+
+    def write(rows: Iterator) -> None:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder)
+        known = set()
+        for r in rows:
+            path = f"{root}/{r.name}"
+            parent = path.rsplit("/", 1)[0]
+            if parent not in known:
+                system.create_dir(parent, recursive=True)
+                known.add(parent)
+            with system.open_output_stream(path) as out:
+                out.write(bytes(r.content))
+
+    files.select("name", "content").foreachPartition(write)
+
+
+@F.pandas_udf("binary")
+def npy_content(x: pd.Series) -> pd.Series:
+    """Series as the contents of ``.npy`` files."""
+
+    def one(values) -> bytes | None:
+        if values is None:
+            return None
+        out = io.BytesIO()
+        np.save(out, np.asarray(values, dtype=np.float64))
+        return out.getvalue()
+
+    return x.map(one)
+
+
+def repair_npy(audit: DataFrame, signals: DataFrame, folder: str) -> None:
+    """Files of ``audit(file, status)`` that do not load, written anew from the signal file of the same name."""
+    stem = lambda c: F.regexp_extract(c, r"([^/]+)\.\w+$", 1)
+    torn = stage(audit.where("status <> 'ok'").select(stem("file").alias("stem")), "torn")
+    found = torn.join(signals.select(stem("file").alias("stem"), "series"), "stem")
+    write_files(found.select(F.concat("stem", F.lit(".npy")).alias("name"), npy_content("series").alias("content")), folder)
