@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import canonical, leakage, nearedits, overlap, packing, sample, spans, splits, sql
-from quillon.session import kept_folder, read_table
+from quillon.session import kept_folder, read_table, stage
 
 #: Times at which the growing sample of problem 5 is extended; the last step takes everything.
 CUTOFFS = ["2031-10-01 00:00:00", "2032-04-01 00:00:00", "2032-10-01 00:00:00", "2033-04-01 00:00:00"]
@@ -62,6 +62,15 @@ def p4_balance(spark: SparkSession, sf: str) -> DataFrame:
     return splits.split_balance(splits.assign_splits(pairs), pairs)
 
 
+def p4_check(spark: SparkSession, sf: str) -> DataFrame:
+    """What every assignment must fulfil: all rows assigned, no torn group, each split within a hundredth of its share."""
+    assigned = splits.assign_splits(read_table(spark, sf, "pairs"))
+    groups = assigned.groupBy("group_id").agg(F.count("*").alias("n"), F.count_distinct("new_split").alias("k"), *[F.count_if(F.col("new_split") == s).alias(s) for s in ("train", "val", "test")])
+    share = lambda s: F.sum(s) / F.sum("n")
+    near = (F.abs(share("train") - 0.8) <= 0.01) & (F.abs(share("val") - 0.1) <= 0.01) & (F.abs(share("test") - 0.1) <= 0.01)
+    return groups.agg(F.sum("n").alias("n_rows"), F.count_if(F.col("k") != 1).alias("n_torn"), near.alias("near"))
+
+
 def p5_sample(spark: SparkSession, sf: str) -> DataFrame:
     """The sample with its ledger kept below the shared folder, one ledger for each data folder."""
     return sample.grow_sample(read_table(spark, sf, "pairs"), CUTOFFS, folder=kept_folder(spark, "p5-ledger", sf.rstrip("/")))
@@ -82,6 +91,18 @@ def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill_report(p6_containers(spark, sf), read_table(spark, sf, "pack_spec"))
 
 
+def p6_check(spark: SparkSession, sf: str) -> DataFrame:
+    """What every packing must fulfil, per capacity: all texts with tokens packed, no container over its capacity, no text
+    cut that fits, and at most three in a hundred containers (and one) more than the tokens need."""
+    spec = read_table(spark, sf, "pack_spec")
+    packed = stage(p6_containers(spark, sf).where("container_id is not null"), "p6-packed")
+    texts = packed.groupBy("spec_id", "doc_id").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("parts")).join(F.broadcast(spec), "spec_id")
+    per_text = texts.groupBy("spec_id").agg(F.count("*").alias("n_texts"), F.count_if(F.col("parts") != F.ceil(F.col("tokens") / F.col("capacity_tokens"))).alias("n_cut"))
+    fill = packing.fill_report(packed, spec).join(F.broadcast(spec), "spec_id")
+    fill = fill.select("spec_id", (F.col("most") > F.col("capacity_tokens")).cast("long").alias("n_over"), (F.col("n_containers") <= 1.03 * F.col("least_containers") + 1).alias("well_filled"))
+    return per_text.join(fill, "spec_id").select("spec_id", "n_texts", "n_cut", "n_over", "well_filled")
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.verbatim_leaks(leakage.template_hits(read_table(spark, sf, "documents"), read_table(spark, sf, "eval_items")))
 
@@ -118,8 +139,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_overlap_by_split, p2_found, p2_groups, p3_found, p3_records, p4_found, p4_splits, p4_balance,
-            p5_sample, p5_sample_closed, p6_containers, p6_fill, p7_found, p7_leaks, p8_found, p8_shared, p8_stretches,
+            p1_found, p1_overlap_by_split, p2_found, p2_groups, p3_found, p3_records, p4_found, p4_splits, p4_balance, p4_check,
+            p5_sample, p5_sample_closed, p6_containers, p6_fill, p6_check, p7_found, p7_leaks, p8_found, p8_shared, p8_stretches,
         )
     }
 

@@ -89,6 +89,12 @@ WITH w AS (SELECT DISTINCT doc_id, md5(substr(text, s, 300)) AS h
 SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM w a JOIN w b ON a.h = b.h AND a.doc_id < b.doc_id"""
 
 
+_P8_STARTS = """
+WITH w AS (SELECT doc_id, s, md5(substr(text, s, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS s FROM documents WHERE length(text) >= 300)),
+g AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+st AS (SELECT doc_id, s, lag(s) OVER o AS before, lead(s) OVER o AS after FROM w WHERE h IN (SELECT h FROM g) WINDOW o AS (PARTITION BY doc_id ORDER BY s))"""
+
+
 def oracle(cutoffs: list[str]) -> dict[str, str]:
     return {
         "p1_found": f"WITH {_P1} SELECT least(ev, tr) AS pair_a, greatest(ev, tr) AS pair_b FROM found",
@@ -112,5 +118,13 @@ def oracle(cutoffs: list[str]) -> dict[str, str]:
         "p4_found": _P4,
         "p5_sample": _p5(cutoffs),
         "p7_found": _P7,
+        "p4_check": "SELECT count(*) AS n_rows, 0::BIGINT AS n_torn, true AS near FROM pairs",
+        "p6_check": """SELECT spec_id, (SELECT count(*) FROM documents WHERE text <> '') AS n_texts, 0::BIGINT AS n_cut, 0::BIGINT AS n_over, true AS well_filled
+            FROM pack_spec WHERE capacity_tokens > 0""",
         "p8_found": _P8,
+        "p8_shared": f"""{_P8_STARTS}, c AS (SELECT doc_id, sum(coalesce(least(after - s, 300), 300))::BIGINT AS shared FROM st GROUP BY doc_id)
+            SELECT doc_id, coalesce(length(text), 0) AS n_chars, coalesce(shared, 0) AS shared_chars, CASE WHEN shared IS NULL THEN 0 ELSE round(shared / length(text), 6) END AS share
+            FROM documents LEFT JOIN c USING (doc_id)""",
+        "p8_stretches": f"""{_P8_STARTS}, i AS (SELECT doc_id, s, sum((before IS NULL OR s - before > 300)::INT) OVER (PARTITION BY doc_id ORDER BY s) AS nth FROM st)
+            SELECT doc_id, min(s) - 1 AS start, max(s) + 299 AS end FROM i GROUP BY doc_id, nth""",
     }
