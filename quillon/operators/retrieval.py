@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +33,25 @@ def blocks(vectors: DataFrame, n_rows: int, prefix: str, by: str | None = None)
     )
 
 
-def _matrix(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([r["id"] for r in rows]), np.array([r["vec"] for r in rows], dtype=np.float64)
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], dict[str, np.ndarray]]]:
+    """The pairs of blocks in columns 0 and 1, each as arrays by field; ``vec`` is a matrix. Nothing is copied on the way
+    but strings."""
+
+    def block(lists: pa.ListArray, at: int) -> dict[str, np.ndarray]:
+        a, b = lists.offsets[at].as_py(), lists.offsets[at + 1].as_py()
+        rows, out = lists.values, {}
+        for field in rows.type:
+            column = rows.field(field.name)
+            if field.name == "vec":
+                begin, end = column.offsets[a].as_py(), column.offsets[b].as_py()
+                out["vec"] = column.values[begin:end].to_numpy(zero_copy_only=False).reshape(b - a, -1)
+            else:
+                out[field.name] = column.slice(a, b - a).to_numpy(zero_copy_only=False)
+        return out
+
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield block(batch.column(0), k), block(batch.column(1), k)
 
 
 def rank_against_pool(queries: DataFrame, pool: DataFrame) -> DataFrame:
@@ -51,28 +67,25 @@ def rank_against_pool(queries: DataFrame, pool: DataFrame) -> DataFrame:
     q = blocks(truth, queries.count(), "query")
     p = blocks(pool.select("id", "vec"), pool.count(), "member")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for left, right in zip(batch["querys"], batch["members"]):
-                qid, qv = _matrix(left)
-                pid, pv = _matrix(right)
-                truth_id = np.array([r["gt"] for r in left])
-                s = np.array([r["s"] for r in left])
-                gap = qv @ pv.T - s[:, None]
-                other = pid[None, :] != truth_id[:, None]
-                tie = (np.abs(gap) <= EPS) & other
-                yield pd.DataFrame(
-                    {
-                        "query_id": qid,
-                        "g": ((gap > EPS) & other).sum(axis=1),
-                        "e": tie.sum(axis=1),
-                        "b": (tie & (pid[None, :] < truth_id[:, None])).sum(axis=1),
-                    }
-                )
+    kind = queries.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for left, right in _pairs(batches):
+            gap = left["vec"] @ right["vec"].T
+            gap -= left["s"][:, None]
+            # the ground truth itself, if it is in this block, counts as neither
+            where = {x: k for k, x in enumerate(right["id"].tolist())}
+            own = np.array([where.get(x, -1) for x in left["gt"].tolist()])
+            here = np.flatnonzero(own >= 0)
+            gap[here, own[here]] = -np.inf
+            greater = (gap > EPS).sum(axis=1)
+            row, col = np.nonzero(np.abs(gap) <= EPS)
+            equal = np.bincount(row, minlength=len(gap))
+            before = np.bincount(row[right["id"][col] < left["gt"][row]], minlength=len(gap))
+            yield pa.RecordBatch.from_arrays([pa.array(left["id"]), *[pa.array(x.astype(np.int64)) for x in (greater, equal, before)]], names=["query_id", "g", "e", "b"])
 
     pairs = q.crossJoin(p)  # blocks, not rows
-    kind = queries.schema["id"].dataType.simpleString()
-    counts = pairs.select("querys", "members").mapInPandas(run, f"query_id {kind}, g long, e long, b long")
+    counts = pairs.select("querys", "members").mapInArrow(run, f"query_id {kind}, g long, e long, b long")
     return counts.groupBy("query_id").agg(F.sum("g").alias("n_greater"), F.sum("e").alias("n_equal"), F.sum("b").alias("n_before"))
 
 
@@ -82,48 +95,48 @@ def top_members(queries: DataFrame, pool: DataFrame, k: int, keep_self: bool = F
     q = blocks(queries.select("id", "vec"), queries.count(), "query")
     p = blocks(pool.select("id", "vec"), pool.count(), "member")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for left, right in zip(batch["querys"], batch["members"]):
-                qid, qv = _matrix(left)
-                pid, pv = _matrix(right)
-                order = np.argsort(pid, kind="stable")
-                pid, pv = pid[order], pv[order]
-                s = np.round(qv @ pv.T, 9)
-                if not keep_self:
-                    s[qid[:, None] == pid[None, :]] = -np.inf
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                frame = pd.DataFrame({"query_id": np.repeat(qid, best.shape[1]), "member_id": pid[best.ravel()], "score": np.take_along_axis(s, best, 1).ravel()})
-                yield frame[np.isfinite(frame["score"])]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for left, right in _pairs(batches):
+            order = np.argsort(right["id"], kind="stable")
+            pid = right["id"][order]
+            s = np.round(left["vec"] @ right["vec"][order].T, 9)
+            if not keep_self:
+                where = {x: n for n, x in enumerate(pid.tolist())}
+                own = np.array([where.get(x, -1) for x in left["id"].tolist()])
+                here = np.flatnonzero(own >= 0)
+                s[here, own[here]] = -np.inf
+            best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            score = np.take_along_axis(s, best, 1).ravel()
+            found = np.isfinite(score)
+            columns = [np.repeat(left["id"], best.shape[1])[found], pid[best.ravel()][found], score[found]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "member_id", "score"])
 
     kind = queries.schema["id"].dataType.simpleString()
-    rows = q.crossJoin(p).select("querys", "members").mapInPandas(run, f"query_id {kind}, member_id {kind}, score double")
+    rows = q.crossJoin(p).select("querys", "members").mapInArrow(run, f"query_id {kind}, member_id {kind}, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "member_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def best_by_label(queries: DataFrame, pool: DataFrame) -> DataFrame:
     """(query_id, label, best): each query's best score among the members of every label of ``pool(id, vec, label)``, itself
-    left out. Each pair of blocks gives one row per query and label; scores are never listed."""
+    and members without a label left out. Each pair of blocks gives one row per query and label; scores are never listed."""
     q = blocks(queries.select("id", "vec"), queries.count(), "query")
-    p = blocks(pool.select("id", "vec", "label"), pool.count(), "member")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for left, right in zip(batch["querys"], batch["members"]):
-                qid, qv = _matrix(left)
-                right = sorted(right, key=lambda r: (r["label"] is not None, r["label"]))
-                pid, pv = _matrix(right)
-                labels = [r["label"] for r in right]
-                starts = [k for k, x in enumerate(labels) if not k or x != labels[k - 1]]
-                s = np.round(qv @ pv.T, 9)
-                s[qid[:, None] == pid[None, :]] = -np.inf
-                best = np.maximum.reduceat(s, starts, axis=1)
-                frame = pd.DataFrame({"query_id": np.repeat(qid, len(starts)), "label": [labels[k] for k in starts] * len(qid), "best": best.ravel()})
-                yield frame[np.isfinite(frame["best"])]
+    p = blocks(pool.where("label is not null").select("id", "vec", "label"), pool.count(), "member")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for left, right in _pairs(batches):
+            labels, code = np.unique(right["label"], return_inverse=True)
+            order = np.argsort(code, kind="stable")
+            starts = np.searchsorted(code[order], np.arange(len(labels)))
+            s = np.round(left["vec"] @ right["vec"][order].T, 9)
+            s[left["id"][:, None] == right["id"][order][None, :]] = -np.inf
+            best = np.maximum.reduceat(s, starts, axis=1).ravel()
+            found = np.isfinite(best)
+            columns = [np.repeat(left["id"], len(labels))[found], np.tile(labels, len(s))[found], best[found]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "label", "best"])
 
     kinds = f"query_id {queries.schema['id'].dataType.simpleString()}, label {pool.schema['label'].dataType.simpleString()}, best double"
-    rows = q.crossJoin(p).select("querys", "members").mapInPandas(run, kinds)
+    rows = q.crossJoin(p).select("querys", "members").mapInArrow(run, kinds)
     return rows.groupBy("query_id", "label").agg(F.max("best").alias("best"))
 
 
