@@ -162,7 +162,6 @@ def assign_splits(
     shares = shares or {"train": 0.8, "val": 0.1, "test": 0.1}
     names = list(shares)
     rows, labels = related_groups(records, id_col)
-    rows = stage(rows, "p4-rows")
     hot = hot_keys(node_counts(rows).select("node", "n"), "node")
     root = F.coalesce("root", "node", F.concat(F.lit("\u0001row "), "id"))
     grouped = attach(rows, labels, "node", hot).select("id", "split", F.coalesce("label", F.lit("")).alias("label"), root.alias("group_id"))
