@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,10 +62,26 @@ def order_label(t: Column) -> Column:
     )
 
 
+def beginning(pattern: str) -> str:
+    """Letters that every match of a pattern begins with; none where alternatives are open."""
+    depth = 0
+    for c in pattern:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            return ""
+    found = re.match(r"[a-z]*", pattern).group()
+    return found[:-1] if pattern[len(found) : len(found) + 1] in ("?", "*", "{") and pattern[len(found) :] else found
+
+
 def matched(t: Column, patterns: list[str]) -> Column:
-    """The patterns of a list that occur in a text as whole words, in list order."""
-    # constant patterns, so that each is compiled once and not again for every text
-    return F.array_compact(F.array(*[F.when(F.regexp_like(t, F.lit(V.either([p]))), F.lit(p)) for p in patterns]))
+    """The patterns of a list that occur in a text as whole words, in list order. A pattern is only tried on texts that
+    hold the letters it begins with."""
+
+    def hits(p: Column) -> Column:
+        # constant patterns, so that each is compiled once and not again for every text
+        return F.array_compact(F.array(*[F.when(F.contains(p["low"], F.lit(beginning(x))) & F.regexp_like(p["t"], F.lit(V.either([x]))), F.lit(x)) for x in patterns]))
+
+    return F.transform(F.array(F.struct(t.alias("t"), F.lower(t).alias("low"))), hits)[0]
 
 
 def description_bucket(t: Column) -> Column:

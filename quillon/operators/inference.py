@@ -26,9 +26,10 @@ def bootstrap(clusters: DataFrame, group: list[str], cluster: str, sums: list[st
     Clusters are numbered in the order of their digests, slice by slice, so no group is sorted by one task."""
     indexed = hash_ranks(clusters, group, cluster, None).withColumn("idx", F.col("nth") - 1)
     sizes = clusters.groupBy(*group).agg(F.count("*").alias("k"))
+    tasks = int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, or they would be merged while small
     draws = (
         sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-        .repartition(*group, "b")  # a group's draws are made by as many tasks as there are, not by the one that holds its row
+        .repartition(tasks, *group, "b")  # a group's draws are made by all tasks, not by the one that holds its row
         .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
         .withColumn("idx", F.pmod(hash_int(F.concat_ws("|", F.lit(str(seed)), F.col("b"), F.col("j"))), F.col("k")))
     )
