@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quillon.operators.sampling import hash_key
+from quillon.operators.sampling import hash_key, hash_ranks
 
 
 def clause_pools(sentences: DataFrame) -> DataFrame:
@@ -32,18 +32,24 @@ def closest_clause(items: DataFrame, pools: DataFrame, k: int = 3, seed: str = "
     return best.withColumn("pick", pick).where("pick = 1").select("item_key", "new_clause")
 
 
-def random_partner(items: DataFrame, key: str, a: str, b: str, seed: str = "42") -> DataFrame:
+def random_partner(items: DataFrame, key: str, a: str, b: str, seed: str = "42", candidates: int = 20) -> DataFrame:
     """(key, partner): for every row another one that differs in both ``a`` and ``b``, relaxed to differing in ``a``.
 
-    Rows are not paired with each other: distinct (a, b) cells are, a partner cell is chosen by hash, and within it the
-    row of lowest hash. The cells are the product of two label sets, which bounds the theta join."""
-    cells = items.groupBy(a, b).agg(F.min_by(key, hash_key(F.col(key), seed)).alias("partner"))
+    Rows are not paired with each other: distinct (a, b) cells are, a partner cell is chosen by hash, and within its
+    ``candidates`` rows of lowest hash each row draws one by its own key. The cells are the product of two label sets, which
+    bounds the theta join."""
+    from quillon.functions.hashing import hash_index
+
+    ranked = hash_ranks(items.select(key, a, b), [a, b], key, seed).where(F.col("nth") <= candidates)
+    pool = F.transform(F.array_sort(F.collect_list(F.struct("nth", key))), lambda r: r[key])
+    cells = ranked.groupBy(a, b).agg(pool.alias("pool"))
     left = cells.select(F.col(a).alias("a1"), F.col(b).alias("b1"))
     pairs = left.join(cells, F.col("a1") != F.col(a))
     strict = (F.col(b) != F.col("b1")).cast("int")
     order = W.partitionBy("a1", "b1").orderBy(F.desc(strict), hash_key(F.concat_ws("|", "a1", "b1", a, b), seed), a, b)
-    chosen = pairs.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("a1", "b1", "partner", strict.alias("strict"))
-    return items.join(chosen, (F.col(a) == F.col("a1")) & (F.col(b) == F.col("b1"))).select(key, "partner", "strict")
+    chosen = pairs.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("a1", "b1", "pool", strict.alias("strict"))
+    partner = F.get("pool", hash_index(F.col(key), F.size("pool")).cast("int"))
+    return items.join(chosen, (F.col(a) == F.col("a1")) & (F.col(b) == F.col("b1"))).select(key, partner.alias("partner"), "strict")
 
 
 def next_not_self(jobs: DataFrame, pool: DataFrame, key: str) -> DataFrame:

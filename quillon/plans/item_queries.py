@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillon.functions import text as T
+from quillon.functions import vocabulary as V
 from quillon.functions.numbers import rounded
+from quillon.operators import gates as G
 from quillon.operators import items as I
 from quillon.operators import sampling as S
 from quillon.plans import base as B
 from quillon.plans.registry import query
-from quillon.plans.text_queries import _SENT
+from quillon.plans.text_queries import _SENT, _score_sql
 from quillon.session import read_table, stage
 
 _LAB = "trim(lower(split_part(class_label, ';', {0})), ' ')"
@@ -84,11 +86,11 @@ def item_validate(spark, sf):
     return validated(generated(spark, sf))
 
 
-@query("""WITH i AS (SELECT item_id, swap_from AS a, component AS b FROM probe1_items WHERE swap_from IS NOT NULL), c AS (SELECT a, b, arg_min(item_id, md5('42|' || item_id)) AS partner FROM i GROUP BY a, b),
-p AS (SELECT l.a AS a1, l.b AS b1, r.partner, (r.b <> l.b)::INT AS strict, row_number() OVER (PARTITION BY l.a, l.b ORDER BY (r.b <> l.b)::INT DESC, md5('42|' || l.a || '|' || l.b || '|' || r.a || '|' || r.b), r.a, r.b) AS nth FROM c l JOIN c r ON l.a <> r.a)
-SELECT item_id, partner, strict FROM i JOIN p ON i.a = p.a1 AND i.b = p.b1 WHERE nth = 1""")
+@query("""WITH i AS (SELECT item_id, swap_from AS a, component AS b FROM probe1_items WHERE swap_from IS NOT NULL), c AS (SELECT a, b, list(item_id ORDER BY md5('42|' || item_id), item_id)[1:20] AS pool FROM i GROUP BY a, b),
+p AS (SELECT l.a AS a1, l.b AS b1, r.pool, (r.b <> l.b)::INT AS strict, row_number() OVER (PARTITION BY l.a, l.b ORDER BY (r.b <> l.b)::INT DESC, md5('42|' || l.a || '|' || l.b || '|' || r.a || '|' || r.b), r.a, r.b) AS nth FROM c l JOIN c r ON l.a <> r.a)
+SELECT item_id, pool[('0x' || sha256(item_id)[1:8])::BIGINT % len(pool) + 1] AS partner, strict FROM i JOIN p ON i.a = p.a1 AND i.b = p.b1 WHERE nth = 1""")
 def random_control(spark, sf):
-    """JON-11, FLT-05: partner differing in both attributes, relaxed where there is none."""
+    """JON-11, ITM-03, FLT-05: a partner drawn for every item, differing in both attributes, relaxed where there is none."""
     i = read_table(spark, sf, "probe1_items").where("swap_from is not null").select("item_id", F.col("swap_from").alias("a"), F.col("component").alias("b"))
     return I.random_partner(i, "item_id", "a", "b")
 
@@ -199,19 +201,50 @@ def clause_exclusivity(spark, sf):
     return e.groupBy(F.when(F.col("n") == 1, "exclusive").otherwise("ambiguous").alias("kind")).agg(F.count("*").alias("n_clauses"), F.max("n").alias("most"))
 
 
-@query("""WITH v AS (SELECT DISTINCT value_a AS v, slot FROM component_pairs UNION SELECT DISTINCT value_b, slot FROM component_pairs), d AS (SELECT v, slot, CASE WHEN contains(v, 'rise') OR contains(v, 'surge') OR contains(v, 'positive') THEN 'up' WHEN contains(v, 'fall') OR contains(v, 'slump') OR contains(v, 'negative') THEN 'down' ELSE 'none' END AS dir FROM v)
-SELECT a.slot, CASE WHEN a.dir = b.dir THEN 'same direction' WHEN 'none' IN (a.dir, b.dir) THEN 'cross' ELSE 'opposite' END AS kind, count(*) AS n_pairs, count(c.component) AS n_listed FROM d a JOIN d b ON a.slot = b.slot AND a.v < b.v
-  LEFT JOIN component_pairs c ON c.slot = a.slot AND ((c.value_a = a.v AND c.value_b = b.v) OR (c.value_a = b.v AND c.value_b = a.v)) GROUP BY ALL""")
-def component_table(spark, sf):
-    """TXT-07, JON-07: value pairs of a slot by direction, and how many of them the component table lists."""
+_NET = f"({_score_sql(V.UP_STEMS)}) - ({_score_sql(V.DOWN_STEMS)})".replace("caption", "s[1]")
+_VALUES = f"""{_POOLS}, sc AS (SELECT shape AS v, sum({_NET}) AS net FROM lab WHERE len(s) >= 2 GROUP BY shape),
+d AS (SELECT v, slot, coalesce(sign(net), 0) AS dir FROM (SELECT value_a AS v, slot FROM component_pairs UNION SELECT value_b, slot FROM component_pairs) LEFT JOIN sc USING (v)),
+pr AS (SELECT a.slot, a.v AS a, b.v AS b, CASE WHEN a.slot <> 'shape' THEN 'any' WHEN a.dir * b.dir < 0 THEN 'opposite' WHEN a.dir * b.dir > 0 THEN 'same direction' ELSE 'cross' END AS kind FROM d a JOIN d b ON a.slot = b.slot AND a.v < b.v)"""
+
+
+def value_pairs(spark, sf):
+    """(slot, a, b, kind): all pairs of a slot's values. Shapes are compared by the net number of rising stems in the clauses
+    that describe them, over all labelled captions."""
     cp = read_table(spark, sf, "component_pairs")
+    net = labelled(spark, sf).where("size(s) >= 2").groupBy(F.col("shape").alias("v")).agg(F.sum(T.stem_score(F.element_at("s", 1))).alias("net"))
     v = cp.select(F.explode(F.array("value_a", "value_b")).alias("v"), "slot").distinct()
-    has = lambda *ws: F.col("v").rlike("|".join(ws))
-    d = v.withColumn("dir", F.when(has("rise", "surge", "positive"), "up").when(has("fall", "slump", "negative"), "down").otherwise("none"))
+    d = v.join(net, "v", "left").select("slot", "v", F.signum(F.coalesce("net", F.lit(0))).alias("dir"))
     pairs = d.select("slot", F.col("v").alias("a"), F.col("dir").alias("da")).join(d.select("slot", F.col("v").alias("b"), F.col("dir").alias("db")), "slot").where("a < b")
-    listed = cp.select("slot", F.least("value_a", "value_b").alias("a"), F.greatest("value_a", "value_b").alias("b"), "component")
-    kind = F.when(F.col("da") == F.col("db"), "same direction").when((F.col("da") == "none") | (F.col("db") == "none"), "cross").otherwise("opposite")
-    return pairs.join(listed, ["slot", "a", "b"], "left").groupBy("slot", kind.alias("kind")).agg(F.count("*").alias("n_pairs"), F.count("component").alias("n_listed"))
+    both = F.col("da") * F.col("db")
+    kind = F.when(F.col("slot") != "shape", "any").when(both < 0, "opposite").when(both > 0, "same direction").otherwise("cross")
+    return pairs.select("slot", "a", "b", kind.alias("kind"))
+
+
+def listed_pairs(spark, sf):
+    return read_table(spark, sf, "component_pairs").select("slot", F.least("value_a", "value_b").alias("a"), F.greatest("value_a", "value_b").alias("b"), "component")
+
+
+@query(f"""WITH {_VALUES} SELECT pr.slot, kind, count(*) AS n_pairs, count(c.component) AS n_listed FROM pr
+  LEFT JOIN component_pairs c ON c.slot = pr.slot AND least(c.value_a, c.value_b) = pr.a AND greatest(c.value_a, c.value_b) = pr.b GROUP BY ALL""")
+def component_table(spark, sf):
+    """TXT-07, JON-07: value pairs of a slot by the direction their captions tell, and how many the component table lists."""
+    pairs = value_pairs(spark, sf).join(listed_pairs(spark, sf), ["slot", "a", "b"], "left")
+    return pairs.groupBy("slot", "kind").agg(F.count("*").alias("n_pairs"), F.count("component").alias("n_listed"))
+
+
+@query(f"""WITH {_VALUES}, t AS (SELECT slot, clause FROM pools GROUP BY slot, clause HAVING count(DISTINCT value) > 1)
+SELECT 'clauses of one value' AS gate, count(*) = 0 AS ok, false AS hard, count(*)::VARCHAR AS observed, '0' AS expected FROM t
+UNION ALL SELECT 'fluctuation told', count(*) = 0, false, count(*)::VARCHAR, '0' FROM lab WHERE fluct <> 'clean' AND len(s) < 2
+UNION ALL SELECT 'trend pairs point apart', count(*) = 0, false, count(*)::VARCHAR, '0' FROM pr JOIN component_pairs c ON c.slot = pr.slot AND least(c.value_a, c.value_b) = pr.a AND greatest(c.value_a, c.value_b) = pr.b
+  WHERE component = 'C1_trend_direction' AND kind <> 'opposite'""")
+def component_gates(spark, sf):
+    """TXT-07, GAT-12: the table's three gates: every clause belongs to one value, every fluctuation is told by a clause of
+    its own, and the trend pairs point in opposite directions."""
+    tied = pools(spark, sf).groupBy("slot", "clause").agg(F.countDistinct("value").alias("k")).where("k > 1")
+    untold = labelled(spark, sf).where("fluct <> 'clean' and size(s) < 2")
+    trend = value_pairs(spark, sf).join(listed_pairs(spark, sf).where("component = 'C1_trend_direction'"), ["slot", "a", "b"]).where("kind <> 'opposite'")
+    gates = {"clauses of one value": tied, "fluctuation told": untold, "trend pairs point apart": trend}
+    return G.report([G.gate(df, name, F.count("*"), F.lit(0), hard=False) for name, df in gates.items()])
 
 
 @query("""WITH i AS (SELECT item_id, component, CASE WHEN caption_distractor IS NULL THEN 'no distractor' WHEN probe_condition = 'swap' AND clause_replaced_to IS NULL THEN 'no clause' WHEN caption_correct = caption_distractor THEN 'identical'
