@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.session import stage
@@ -119,8 +119,7 @@ def write_files(files: DataFrame, folder: str) -> None:
     files.select("name", "content").foreachPartition(write)
 
 
-@F.pandas_udf("binary")
-def npy_content(x: pd.Series) -> pd.Series:
+def npy_content(x: str) -> Column:
     """Series as the contents of ``.npy`` files."""
 
     def one(values) -> bytes | None:
@@ -130,7 +129,11 @@ def npy_content(x: pd.Series) -> pd.Series:
         np.save(out, np.asarray(values, dtype=np.float64))
         return out.getvalue()
 
-    return x.map(one)
+    @F.pandas_udf("binary")
+    def contents(column: pd.Series) -> pd.Series:
+        return column.map(one)
+
+    return contents(x)
 
 
 def repair_npy(audit: DataFrame, signals: DataFrame, folder: str) -> None:
