@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,3 +31,74 @@ def hash_index(key: Column, n: Column | int, digits: int = 8) -> Column:
     """``int(sha256(key)[:digits], 16) % n``."""
     n = n if isinstance(n, Column) else F.lit(n)
     return F.pmod(hash_int(key, digits, "sha2"), n.cast("long"))
+
+
+#: MD5's constants, left rotations and words by step.
+_ADDED = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_TURNS = [x for xs in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for x in xs * 4]
+_WORDS = [(i, 5 * i + 1, 3 * i + 5, 7 * i)[i // 16] % 16 for i in range(64)]
+_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+#: Digests computed at once; their arrays stay in the processor's cache.
+BATCH = 1 << 14
+
+
+def _md5_ints(words: list[np.ndarray | int], n: int) -> np.ndarray:
+    """``hash_int`` of ``n`` padded messages of one block, given as 16 words, each a number or an array of uint32."""
+    a, b, c, d = (np.full(n, x, np.uint32) for x in _START)
+    for i in range(64):
+        if i < 16:
+            f = (c ^ d) & b ^ d
+        elif i < 32:
+            f = (b ^ c) & d ^ c
+        elif i < 48:
+            f = b ^ c ^ d
+        else:
+            f = (b | ~d) ^ c
+        word = words[_WORDS[i]]
+        f += a
+        if isinstance(word, np.ndarray):
+            f += word
+            word = 0
+        f += np.uint32((_ADDED[i] + word) & 0xFFFFFFFF)
+        high = f >> np.uint32(32 - _TURNS[i])
+        f <<= np.uint32(_TURNS[i])
+        f |= high
+        f += b
+        a, d, c, b = d, c, b, f
+    first, second = ((x + np.uint32(y)).byteswap().astype(np.int64) for x, y in ((a, _START[0]), (b, _START[1])))
+    return first << 16 | second >> 16
+
+
+def _same_width(first: int, last: int) -> Iterator[tuple[int, int, int]]:
+    """The numbers from ``first`` to ``last`` (excluded), cut by their number of digits."""
+    while first < last:
+        digits = len(str(first))
+        yield first, min(last, 10**digits), digits
+        first = min(last, 10**digits)
+
+
+def draw_ints(seed: int, first: int, last: int, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    """``hash_int(seed|b|j)`` of each replicate b from ``first`` to ``last`` (excluded) and each draw j below ``k``, as
+    (b of the first row, array of replicates x draws), in pieces of ``BATCH`` or less."""
+    head = f"{seed}|".encode()
+    for b0, b1, wide in _same_width(first, last):
+        for j0, j1, digits in _same_width(0, k):
+            at, size = len(head) + wide + 1, len(head) + wide + 1 + digits
+            if size > 55:
+                raise ValueError("seed, replicate and draw don't fit one block of MD5")
+            draws = min(j1 - j0, BATCH)
+            for b in range(b0, b1, step := max(1, BATCH // draws)):
+                bs = np.arange(b, min(b + step, b1))
+                for j in range(j0, j1, draws):
+                    js = np.arange(j, min(j + draws, j1))
+                    text = np.zeros((len(bs), len(js), size // 4 * 4 + 4), np.uint8)
+                    text[:, :, : len(head)] = np.frombuffer(head, np.uint8)
+                    for x in range(wide):
+                        text[:, :, len(head) + x] = (48 + bs // 10 ** (wide - 1 - x) % 10)[:, None]
+                    text[:, :, at - 1] = ord("|")
+                    for x in range(digits):
+                        text[:, :, at + x] = 48 + js // 10 ** (digits - 1 - x) % 10
+                    text[:, :, size] = 0x80
+                    rows = text.reshape(len(bs) * len(js), -1).view("<u4").T
+                    words = [*np.ascontiguousarray(rows), *[0] * (14 - len(rows)), 8 * size, 0]
+                    yield b, _md5_ints(words, rows.shape[1]).reshape(len(bs), len(js))

@@ -1,8 +1,8 @@
 """Resampling and rank statistics. Everything is reduced to sufficient statistics per cluster before it is resampled.
 
 ``bootstrap`` draws clusters with replacement by hashes of (seed, replicate, draw): conditions that share a cluster table
-share their draws, which makes differences paired. Its cost is replicates times clusters, as rows to join. Where that is
-too much, ``poisson_bootstrap`` weights every cluster independently in each replicate and needs no index, no join and only
+share their draws, which makes differences paired. Its cost is replicates times clusters, as digests made and added up in
+Arrow batches. ``poisson_bootstrap`` weights every cluster independently in each replicate and needs no index and only
 map-side sums.
 """
 
@@ -10,31 +10,65 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from quillon.functions.hashing import hash_int, uniform
+from quillon.functions.hashing import draw_ints, uniform
 from quillon.operators.sampling import hash_ranks
 from quillon.session import stage
 
 
+#: Clusters packed in one row; clusters of a group whose sums a task holds; draws and replicates of a task at least, since
+#: every task of a group gets all its clusters.
+PACKED, HELD, DRAWS, LEAST = 1 << 16, 1 << 21, 1 << 22, 32
+
+
 def bootstrap(clusters: DataFrame, group: list[str], cluster: str, sums: list[str], replicates: int, seed: int = 42) -> DataFrame:
     """(group..., b, sums...): per replicate the sums over as many clusters as the group has, drawn with replacement.
+    Rows without a group are left out; a null sum counts as 0.
+
+    Clusters are numbered in the order of their digests, slice by slice, so no group is sorted by one task. They travel
+    packed to tasks of some replicates each, where the draws are made and added up: no draw is a row, and none is shuffled
+    or broadcast. A group of more than ``HELD`` clusters is held in parts, and its draws are made again for each part."""
+    held, n = HELD, F.col("of")
+    ranked = hash_ranks(clusters.select(*group, cluster, *sums).dropna(subset=group) if group else clusters, group, cluster, None)
+    packed = ranked.groupBy(*group, "of", F.floor((F.col("nth") - 1) / PACKED).alias("row_")).agg(F.collect_list(F.struct("nth", *sums)).alias("rows_"))
+    each = F.least(F.lit(replicates), F.greatest(F.lit(LEAST), F.ceil(F.lit(DRAWS) / n))).cast("int")
+    parts = packed.select(
+        *group, "of", F.floor(F.col("row_") * PACKED / held).alias("part_"), each.alias("each_"), *[F.col("rows_")[c].alias(c) for c in ("nth", *sums)],
+        F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), each)).alias("first_"),
+    )
+    by = [*group, "part_", "first_"]
+    kinds = {s: T.DoubleType() if isinstance(clusters.schema[s].dataType, T.FractionalType) else T.LongType() for s in sums}
+    schema = T.StructType([*[clusters.schema[g] for g in group], T.StructField("b", T.IntegerType()), *[T.StructField(s, k) for s, k in kinds.items()]])
+
+    def run(table: pa.Table) -> pa.Table:
+        k, first, each, low = (table[c][0].as_py() for c in ("of", "first_", "each_", "part_"))
+        last, low = min(first + each, replicates), low * held
+        size = min(k - low, held)
+        flat = lambda c: np.concatenate([x.flatten().fill_null(0).to_numpy(zero_copy_only=False) for x in table[c].chunks])
+        at, values, totals = flat("nth") - 1 - low, {}, {}
+        for s, kind in kinds.items():
+            values[s] = np.zeros(size + 1, float if kind == T.DoubleType() else np.int64)  # the last is for clusters of other parts
+            values[s][at] = flat(s)
+            totals[s] = np.zeros(last - first, values[s].dtype)
+        for b, ints in draw_ints(seed, first, last, k):
+            idx = ints % k
+            if size < k:
+                idx = np.where((idx >= low) & (idx < low + size), idx - low, size)
+            for s in sums:
+                totals[s][b - first : b - first + len(idx)] += values[s][idx].sum(axis=1)
+        names = [pa.repeat(table[g][0], last - first) for g in group]
+        return pa.Table.from_arrays([*names, pa.array(np.arange(first, last, dtype=np.int32)), *[pa.array(totals[s]) for s in sums]], names=[*group, "b", *sums])
 
-    Clusters are numbered in the order of their digests, slice by slice, so no group is sorted by one task."""
-    indexed = hash_ranks(clusters, group, cluster, None).withColumn("idx", F.col("nth") - 1)
-    sizes = clusters.groupBy(*group).agg(F.count("*").alias("k"))
     tasks = int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, or they would be merged while small
-    draws = (
-        sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-        .repartition(tasks, *group, "b")  # a group's draws are made by all tasks, not by the one that holds its row
-        .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-        .withColumn("idx", F.pmod(hash_int(F.concat_ws("|", F.lit(str(seed)), F.col("b"), F.col("j"))), F.col("k")))
-    )
-    on = [*group, "idx"]
-    return draws.select(*on, "b").join(indexed.select(*on, *sums), on).groupBy(*group, "b").agg(*[F.sum(s).alias(s) for s in sums])
+    drawn = parts.repartition(tasks, *by).groupBy(*by).applyInArrow(run, schema)
+    return drawn.groupBy(*group, "b").agg(*[F.sum(s).alias(s) for s in sums])
 
 
 def poisson_bootstrap(clusters: DataFrame, group: list[str], cluster: str, sums: list[str], replicates: int, seed: int = 42) -> DataFrame:
