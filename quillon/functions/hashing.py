@@ -77,9 +77,9 @@ def _same_width(first: int, last: int) -> Iterator[tuple[int, int, int]]:
         first = min(last, 10**digits)
 
 
-def draw_ints(seed: int, first: int, last: int, k: int) -> Iterator[tuple[int, np.ndarray]]:
+def draw_ints(seed: int, first: int, last: int, k: int) -> Iterator[tuple[int, int, np.ndarray]]:
     """``hash_int(seed|b|j)`` of each replicate b from ``first`` to ``last`` (excluded) and each draw j below ``k``, as
-    (b of the first row, array of replicates x draws), in pieces of ``BATCH`` or less."""
+    (first b, first j, array of replicates x draws), in pieces of ``BATCH`` or less."""
     head = f"{seed}|".encode()
     for b0, b1, wide in _same_width(first, last):
         for j0, j1, digits in _same_width(0, k):
@@ -101,4 +101,4 @@ def draw_ints(seed: int, first: int, last: int, k: int) -> Iterator[tuple[int, n
                     text[:, :, size] = 0x80
                     rows = text.reshape(len(bs) * len(js), -1).view("<u4").T
                     words = [*np.ascontiguousarray(rows), *[0] * (14 - len(rows)), 8 * size, 0]
-                    yield b, _md5_ints(words, rows.shape[1]).reshape(len(bs), len(js))
+                    yield b, j, _md5_ints(words, rows.shape[1]).reshape(len(bs), len(js))

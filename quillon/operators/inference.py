@@ -23,8 +23,8 @@ from quillon.operators.sampling import hash_ranks
 from quillon.session import stage
 
 
-#: Clusters packed in one row; clusters of a group whose sums a task holds; draws and replicates of a task at least, since
-#: every task of a group gets all its clusters.
+#: Clusters packed in one row; clusters whose sums a task holds, up to one such row more; draws and replicates of a task
+#: at least, since all tasks of different replicates get the same clusters.
 PACKED, HELD, DRAWS, LEAST = 1 << 16, 1 << 21, 1 << 22, 32
 
 
@@ -33,41 +33,51 @@ def bootstrap(clusters: DataFrame, group: list[str], cluster: str, sums: list[st
     Rows without a group are left out; a null sum counts as 0.
 
     Clusters are numbered in the order of their digests, slice by slice, so no group is sorted by one task. They travel
-    packed to tasks of some replicates each, where the draws are made and added up: no draw is a row, and none is shuffled
-    or broadcast. A group of more than ``HELD`` clusters is held in parts, and its draws are made again for each part."""
-    held, n = HELD, F.col("of")
+    packed to tasks of some replicates each, where the draws are made once for all groups and added up: no draw is a row,
+    and none is shuffled or broadcast. Beyond ``HELD`` clusters the draws are made again for each part."""
     ranked = hash_ranks(clusters.select(*group, cluster, *sums).dropna(subset=group) if group else clusters, group, cluster, None)
-    packed = ranked.groupBy(*group, "of", F.floor((F.col("nth") - 1) / PACKED).alias("row_")).agg(F.collect_list(F.struct("nth", *sums)).alias("rows_"))
-    each = F.least(F.lit(replicates), F.greatest(F.lit(LEAST), F.ceil(F.lit(DRAWS) / n))).cast("int")
-    parts = packed.select(
-        *group, "of", F.floor(F.col("row_") * PACKED / held).alias("part_"), each.alias("each_"), *[F.col("rows_")[c].alias(c) for c in ("nth", *sums)],
-        F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), each)).alias("first_"),
-    )
-    by = [*group, "part_", "first_"]
+    packed = ranked.groupBy(*group, "of", F.floor((F.col("nth") - 1) / PACKED).alias("row_")).agg(F.count("*").alias("n_"), F.collect_list(F.struct("nth", *sums)).alias("rows_"))
+    packed = stage(packed, "clusters")
+    to = F.sum("n_").over(W.partitionBy(F.lit(1)).orderBy("of", *group, "row_"))  # without the packed values
+    parts = packed.select(*group, "of", "row_", "n_").select(*group, "row_", F.floor((to - F.col("n_")) / HELD).alias("part_"))
+    largest = packed.agg(F.max("of")).first()[0] or 1
+    each = min(replicates, max(LEAST, -(-DRAWS // largest)))
+    sent = packed.join(parts, [*group, "row_"]).select(
+        *group, "of", "part_", *[F.col("rows_")[c].alias(c) for c in ("nth", *sums)], F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(each))).alias("first_")
+    )
     kinds = {s: T.DoubleType() if isinstance(clusters.schema[s].dataType, T.FractionalType) else T.LongType() for s in sums}
     schema = T.StructType([*[clusters.schema[g] for g in group], T.StructField("b", T.IntegerType()), *[T.StructField(s, k) for s, k in kinds.items()]])
 
     def run(table: pa.Table) -> pa.Table:
-        k, first, each, low = (table[c][0].as_py() for c in ("of", "first_", "each_", "part_"))
-        last, low = min(first + each, replicates), low * held
-        size = min(k - low, held)
-        flat = lambda c: np.concatenate([x.flatten().fill_null(0).to_numpy(zero_copy_only=False) for x in table[c].chunks])
-        at, values, totals = flat("nth") - 1 - low, {}, {}
-        for s, kind in kinds.items():
-            values[s] = np.zeros(size + 1, float if kind == T.DoubleType() else np.int64)  # the last is for clusters of other parts
-            values[s][at] = flat(s)
-            totals[s] = np.zeros(last - first, values[s].dtype)
-        for b, ints in draw_ints(seed, first, last, k):
-            idx = ints % k
-            if size < k:
-                idx = np.where((idx >= low) & (idx < low + size), idx - low, size)
-            for s in sums:
-                totals[s][b - first : b - first + len(idx)] += values[s][idx].sum(axis=1)
-        names = [pa.repeat(table[g][0], last - first) for g in group]
-        return pa.Table.from_arrays([*names, pa.array(np.arange(first, last, dtype=np.int32)), *[pa.array(totals[s]) for s in sums]], names=[*group, "b", *sums])
+        table = table.combine_chunks()
+        first = table["first_"][0].as_py()
+        last, sizes, rows = min(first + each, replicates), table["of"].to_pylist(), {}
+        for row, key in enumerate(zip(*[table[g].to_pylist() for g in group], sizes)):
+            rows.setdefault(key, []).append(row)
+        held = []
+        for own in rows.values():
+            flat = lambda c, own=own: np.concatenate([table[c][row].values.fill_null(0).to_numpy(zero_copy_only=False) for row in own])
+            at = flat("nth") - 1
+            low, size = at.min(), len(at)
+            values = [np.zeros(size + 1, float if kind == T.DoubleType() else np.int64) for kind in kinds.values()]  # the last is for clusters held elsewhere
+            for s, v in zip(sums, values):
+                v[at - low] = flat(s)
+            held.append((sizes[own[0]], low, size, values, [np.zeros(last - first, v.dtype) for v in values]))
+        for b, j, ints in draw_ints(seed, first, last, max(sizes)):
+            to = slice(b - first, b - first + len(ints))
+            for k, low, size, values, totals in held:
+                if j < k:
+                    idx = ints[:, : k - j] % k
+                    if size < k:
+                        idx = np.where((idx >= low) & (idx < low + size), idx - low, size)
+                    for v, total in zip(values, totals):
+                        total[to] += v[idx].sum(axis=1)
+        names = [table[g].take(pa.array(np.repeat([own[0] for own in rows.values()], last - first))) for g in group]
+        bs = pa.array(np.tile(np.arange(first, last, dtype=np.int32), len(held)))
+        return pa.Table.from_arrays([*names, bs, *[pa.array(np.concatenate(t)) for t in zip(*[x[-1] for x in held])]], names=[*group, "b", *sums])
 
     tasks = int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, or they would be merged while small
-    drawn = parts.repartition(tasks, *by).groupBy(*by).applyInArrow(run, schema)
+    drawn = sent.repartition(tasks, "part_", "first_").groupBy("part_", "first_").applyInArrow(run, schema)
     return drawn.groupBy(*group, "b").agg(*[F.sum(s).alias(s) for s in sums])
 
 
