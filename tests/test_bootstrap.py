@@ -57,7 +57,7 @@ def connection():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", ["bootstrap_gap", "cluster_bootstrap_ci", "did_joint"])
+@pytest.mark.parametrize("name", ["bootstrap_gap", "cluster_bootstrap_ci", "did_joint", "replication_verdict"])
 def test_draws_are_no_rows(spark, connection, name):
     df = QUERIES[name](spark, FOLDER)
     df.collect()
