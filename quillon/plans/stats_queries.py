@@ -157,10 +157,13 @@ def did_independent(spark, sf):
     """STA-05, STA-06, STA-14: difference of gaps between two independently resampled groups, replicate by replicate."""
     rep = I.bootstrap(clusters(spark, sf), ["component"], "sample_id", ["ss", "sn", "rs", "rn"], REPLICATES).where("rn > 0 and sn > 0")
     gap = rep.select("component", "b", (F.col("rs") / F.col("rn") - F.col("ss") / F.col("sn")).alias("g"))
-    t = gap.select(F.col("component").alias("first_component"), "b", F.col("g").alias("g1")).join(gap.select(F.col("component").alias("second_component"), "b", F.col("g").alias("g2")), "b")
+    legs = gap.groupBy("b").agg(F.collect_list(F.struct("component", "g")).alias("legs"))  # one pass over the replicates, no join
+    first = legs.select("b", "legs", F.explode("legs").alias("x"))
+    t = first.select("x", F.explode(F.filter("legs", lambda y: F.col("x.component") < y["component"])).alias("y"))
+    t = t.select(F.col("x.component").alias("first_component"), F.col("x.g").alias("g1"), F.col("y.component").alias("second_component"), F.col("y.g").alias("g2"))
     d = F.col("g1") - F.col("g2")
     low, high = I.interval(d)
-    return t.where("first_component < second_component").groupBy("first_component", "second_component").agg(r6(F.avg(d), "mean"), r6(low, "low"), r6(high, "high"))
+    return t.groupBy("first_component", "second_component").agg(r6(F.avg(d), "mean"), r6(low, "low"), r6(high, "high"))
 
 
 @query(f"""{_S}, cl AS (SELECT sample_id, coalesce(sum(margin) FILTER (probe_condition = 'swap' AND seed = lo), 0) AS a, count(*) FILTER (probe_condition = 'swap' AND seed = lo) AS an,

@@ -63,3 +63,12 @@ def test_draws_are_no_rows(spark, connection, name):
     df.collect()
     assert max(exchanged_rows(df._jdf.queryExecution().executedPlan()), default=0) < 5000
     assert_same(spark, connection, QUERIES[name], SQL[name], FOLDER)
+
+
+def test_pairs_of_groups_are_made_in_one_pass(spark, connection):
+    df = QUERIES["did_independent"](spark, FOLDER)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    assert max(exchanged_rows(plan)) <= 20_000  # 10 pairs of groups in 2,000 replicates; there are 182,000 draws
+    assert "Join" not in plan.toString().split("FlatMapGroupsInArrow")[0]
+    assert_same(spark, connection, QUERIES["did_independent"], SQL["did_independent"], FOLDER)
