@@ -9,7 +9,7 @@ from quillon.functions.numbers import rounded
 from quillon.operators import inference as I
 from quillon.plans import base as B
 from quillon.plans.registry import query
-from quillon.session import read_table
+from quillon.session import read_table, stage
 
 #: Replicates of the registered bootstraps.
 REPLICATES = 2000
@@ -174,14 +174,14 @@ rep AS (SELECT b, sum(a) / sum(an) AS m1, sum(c) / sum(cn) AS m2 FROM (SELECT b,
 SELECT count(*) AS n_rep, round(quantile_cont(m1 - m2, 0.025), 6) AS low, round(quantile_cont(m1 - m2, 0.975), 6) AS high FROM rep""")
 def did_joint(spark, sf):
     """STA-04, STA-07: one set of draws shared by both legs, replicates without a leg dropped."""
-    s = B.scores(spark, sf).where("sample_id is not null")
-    low_seed = s.agg(F.min("seed").alias("lo"))  # one row
-    s = s.join(F.broadcast(low_seed), F.col("seed") == F.col("lo"), "left")
+    s = B.scores(spark, sf)
+    low_seed = s.agg(F.min("seed").alias("lo"))  # one row; of all scores, also those without a sample
+    s = s.where("sample_id is not null").join(F.broadcast(low_seed), F.col("seed") == F.col("lo"), "left")
     a, c = is_swap() & F.col("lo").isNotNull(), is_random() & F.col("lo").isNotNull()
     cl = s.groupBy("sample_id").agg(
         F.sum(F.when(a, F.col("margin")).otherwise(0.0)).alias("a"), F.count_if(a).alias("an"), F.sum(F.when(c, F.col("margin")).otherwise(0.0)).alias("c"), F.count_if(c).alias("cn")
     )
-    rep = I.bootstrap(cl, [], "sample_id", ["a", "an", "c", "cn"], REPLICATES).where("an > 0 and cn > 0")
+    rep = I.bootstrap(stage(cl, "sums"), [], "sample_id", ["a", "an", "c", "cn"], REPLICATES).where("an > 0 and cn > 0")  # read twice
     lo, hi = I.interval(F.col("a") / F.col("an") - F.col("c") / F.col("cn"))
     return rep.agg(F.count("*").alias("n_rep"), r6(lo, "low"), r6(hi, "high"))
 

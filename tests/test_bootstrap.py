@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import duckdb
 import pytest
 
 from oracle import assert_same, connect
@@ -72,3 +73,13 @@ def test_pairs_of_groups_are_made_in_one_pass(spark, connection):
     assert max(exchanged_rows(plan)) <= 20_000  # 10 pairs of groups in 2,000 replicates; there are 182,000 draws
     assert "Join" not in plan.toString().split("FlatMapGroupsInArrow")[0]
     assert_same(spark, connection, QUERIES["did_independent"], SQL["did_independent"], FOLDER)
+
+
+def same_with(spark, folder, name, rows):
+    """Whether a query equals its SQL on the scores of scale 0.001 and more rows, given as SQL over ``scores``."""
+    duckdb.sql(f"COPY (WITH scores AS (FROM '/root/testdata/sf0.001/item_scores.parquet') FROM scores UNION ALL {rows}) TO '{folder}/item_scores.parquet'")
+    assert_same(spark, connect(folder), QUERIES[name], SQL[name], str(folder))
+
+
+def test_lowest_seed_is_that_of_all_scores(spark, tmp_path):
+    same_with(spark, tmp_path, "did_joint", "SELECT * REPLACE ('0' AS seed, NULL AS sample_id) FROM scores")
