@@ -80,10 +80,11 @@ def sufficient_stats_mean(spark, sf):
 
 
 def clusters(spark, sf):
-    """Per component and sample: sums of outcomes and counts in each condition."""
-    return B.scores(spark, sf).where("sample_id is not null").groupBy("component", "sample_id").agg(
+    """Per component and sample: sums of outcomes and counts in each condition. Staged, since they are read twice or more."""
+    sums = B.scores(spark, sf).where("sample_id is not null").groupBy("component", "sample_id").agg(
         F.sum(F.when(is_swap(), outcome()).otherwise(0.0)).alias("ss"), F.count_if(is_swap()).alias("sn"), F.sum(F.when(is_random(), outcome()).otherwise(0.0)).alias("rs"), F.count_if(is_random()).alias("rn")
     )
+    return stage(sums, "sums")
 
 
 _PICK = "('0x' || substr(md5('42|' || b || '|' || j), 1, 12))::BIGINT % k"
@@ -98,7 +99,8 @@ rep AS (SELECT d.component, b, sum(ss) AS ss, sum(sn) AS sn, sum(rs) AS rs, sum(
 def cluster_bootstrap_ci(spark, sf):
     """STA-01, STA-02: cluster bootstrap of accuracy from per-cluster sums."""
     rep = I.bootstrap(clusters(spark, sf), ["component"], "sample_id", ["ss", "sn", "rs", "rn"], REPLICATES)
-    low, high = I.interval((F.col("ss") + F.col("rs")) / (F.col("sn") + F.col("rn")))
+    n = F.col("sn") + F.col("rn")
+    low, high = I.interval(F.when(n > 0, (F.col("ss") + F.col("rs")) / n).otherwise(float("nan")))  # as the SQL, where no draw has either condition
     return rep.groupBy("component").agg(F.count("*").alias("n_rep"), r6(low, "low"), r6(high, "high"))
 
 

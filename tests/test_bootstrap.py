@@ -83,3 +83,7 @@ def same_with(spark, folder, name, rows):
 
 def test_lowest_seed_is_that_of_all_scores(spark, tmp_path):
     same_with(spark, tmp_path, "did_joint", "SELECT * REPLACE ('0' AS seed, NULL AS sample_id) FROM scores")
+
+
+def test_draws_without_either_condition(spark, tmp_path):
+    same_with(spark, tmp_path, "cluster_bootstrap_ci", "SELECT * REPLACE ('other' AS component, 'other' AS probe_condition) FROM scores")
