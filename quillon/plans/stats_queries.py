@@ -128,7 +128,7 @@ def replication_verdict(spark, sf):
     g = I.bootstrap(cl, ["component"], "sample_id", ["ss", "sn", "rs", "rn"], REPLICATES).where("rn > 0 and sn > 0").withColumn("gap", F.col("rs") / F.col("rn") - F.col("ss") / F.col("sn"))
     (lo, hi), (l9, h9) = I.interval(F.col("gap")), I.interval(F.col("gap"), 0.90)
     ci = g.groupBy("component").agg(lo.alias("lo"), hi.alias("hi"), l9.alias("l9"), h9.alias("h9"))
-    base = cl.groupBy("component").agg((F.sum("ss") / F.sum("sn")).alias("acc"))
+    base = cl.groupBy("component").agg(F.try_divide(F.sum("ss"), F.sum("sn")).alias("acc"))  # a component without swaps has no interval
     verdict = (
         F.when(F.col("acc") < 0.3, "VOID").when(F.col("lo") > 0, "DEGRADED").when(F.col("hi") < 0, "IMPROVED").when(I.equivalent(F.col("l9"), F.col("h9"), 0.2), "EQUIVALENT").otherwise("INCONCLUSIVE")
     )

@@ -87,3 +87,7 @@ def test_lowest_seed_is_that_of_all_scores(spark, tmp_path):
 
 def test_draws_without_either_condition(spark, tmp_path):
     same_with(spark, tmp_path, "cluster_bootstrap_ci", "SELECT * REPLACE ('other' AS component, 'other' AS probe_condition) FROM scores")
+
+
+def test_verdicts_beside_a_component_without_swaps(spark, tmp_path):
+    same_with(spark, tmp_path, "replication_verdict", "SELECT * REPLACE ('other' AS component) FROM scores WHERE probe_condition = 'random'")
